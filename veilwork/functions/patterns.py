@@ -14,6 +14,8 @@ from collections.abc import Iterable
 WORD = r"[\p{L}\p{N}_]"
 # White space: the Unicode spaces plus the four ASCII separators 1C-1F.
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# The same characters without brackets, for use inside a class.
+SPACE_CHARS = SPACE[1:-1]
 NOT_AFTER_WORD = f"(?<!{WORD})"
 NOT_BEFORE_WORD = f"(?!{WORD})"
 BOUNDARY = f"(?:{NOT_AFTER_WORD}(?={WORD})|(?<={WORD}){NOT_BEFORE_WORD})"
@@ -70,10 +72,15 @@ def term_regex(terms: Iterable[str]) -> str:
     return _tree_regex(_prefix_tree(terms))
 
 
-def whole_words(*expressions: str) -> str:
-    """Case-insensitive whole-word match of any expression, one group each."""
-    body = "|".join(f"({expression})" for expression in expressions)
-    return f"(?iu){NOT_AFTER_WORD}(?:{body}){NOT_BEFORE_WORD}"
+def whole_words(*term_lists: Iterable[str]) -> str:
+    """Case-insensitive whole-word match of any term, one group per list.
+
+    The first letters are tested before the boundary, which costs more.
+    """
+    lists = [list(terms) for terms in term_lists]
+    first = "".join(re.escape(c) for c in dict.fromkeys(t[0].lower() for terms in lists for t in terms))
+    body = "|".join(f"({term_regex(terms)})" for terms in lists)
+    return f"(?iu)(?=[{first}]){NOT_AFTER_WORD}(?:{body}){NOT_BEFORE_WORD}"
 
 
 def literal_replacement(text: str) -> str:

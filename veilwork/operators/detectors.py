@@ -68,13 +68,9 @@ class WordList:
     terms: tuple[str, ...]
     mask: str
 
-    @property
-    def expression(self) -> str:
-        return rx.term_regex(self.terms)
-
     @property
     def regex(self) -> str:
-        return rx.whole_words(self.expression)
+        return rx.whole_words(self.terms)
 
     def masked(self, text: Column) -> Column:
         return F.regexp_replace(text, F.lit(self.regex), F.lit(rx.literal_replacement(self.mask)))
@@ -106,7 +102,7 @@ class DictionaryDetector:
 
     def with_counts(self, df: DataFrame, text: str) -> DataFrame:
         if self.independent and len(self.lists) == 2:
-            scan = rx.whole_words(*[word_list.expression for word_list in self.lists])
+            scan = rx.whole_words(*[word_list.terms for word_list in self.lists])
             found = f"_{self.name.lower()}_found"
             # Group 1 of a hit is empty when the hit belongs to the second list.
             df = df.select("*", F.regexp_extract_all(F.col(text), F.lit(scan), F.lit(1)).alias(found))

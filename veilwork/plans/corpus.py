@@ -28,8 +28,3 @@ def corpus_jury(corpus: DataFrame, text: str = "text", detectors=DETECTORS) -> D
 def corpus_findings(corpus: DataFrame, key: list[str], text: str = "text", detectors=DETECTORS) -> DataFrame:
     """Every hit in every text."""
     return jury.findings(corpus, key, text, detectors)
-
-
-def spread(corpus: DataFrame, partitions: int) -> DataFrame:
-    """Deal rows out evenly when few input files hold most of the text."""
-    return corpus.repartition(partitions)

@@ -62,6 +62,17 @@ def fits_broadcast(df: DataFrame, max_rows: int = 50_000) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def spread_small_input(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a plain table scan to all cores if it has fewer splits than cores.
+
+    Files of one row group cannot be split, which leaves cores idle on small
+    inputs with costly rows.  A large input has more splits than cores and is
+    returned as it is, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,
