@@ -32,6 +32,12 @@ def headline(spark, sf_dir):
     def prompts():
         return tables.derived(spark, seeds.PROMPTS, events=scan("events"))
 
+    def audit_rows():
+        return tables.derived(spark, seeds.AUDIT_SEED, events=scan("events"))
+
+    def signed():
+        return tables.sign_rotated(spark, audit_rows())
+
     def texts():
         return corpus.texts(scan("documents"), scan("conversations"), scan("pages"))
 
@@ -42,10 +48,10 @@ def headline(spark, sf_dir):
         "corpus_jury": lambda: corpus.corpus_jury(texts()),
         "corpus_findings": lambda: corpus.corpus_findings(texts(), ["collection", "row_key"]),
         "corpus_profile": lambda: reports.tool_by_input_type(jury.scores_only(scan("documents"), "text"), "lang", "source"),
-        "sign": lambda: tables.signed(spark, sf_dir),
-        "sign_and_verify": lambda: integrity.integrity_rollup(tables.checked(spark, sf_dir)),
-        "audit_summary_24h": lambda: reports.audit_summary(tables.audit_seed(spark, sf_dir), tables.AS_OF),
-        "audit_report": lambda: audit_report.audit_report(tables.tampered(spark, sf_dir), tables.keys(spark), tables.AS_OF),
+        "sign": signed,
+        "sign_and_verify": lambda: integrity.integrity_rollup(integrity.verify(tables.tamper(signed()), tables.keys(spark))),
+        "audit_summary_24h": lambda: reports.audit_summary(audit_rows(), tables.AS_OF),
+        "audit_report": lambda: audit_report.audit_report(tables.tamper(signed()), tables.keys(spark), tables.AS_OF),
         "audit_dedup": lambda: catalogue.audit_dedup(spark, sf_dir),
         "tool_win_rate": lambda: reports.tool_win_rate(jury.scores_only(prompts())),
         "stream_sanitize": lambda: jobs.run_once(

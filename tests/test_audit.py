@@ -115,6 +115,25 @@ def test_tampered_table_of_the_fixture(spark, sf_dir):
     assert {r.id for r in self_check} == ids
 
 
+def test_discrepancies_with_a_store_that_has_copies(spark):
+    ring = keyring(spark, KEYS)
+    signed = integrity.sign(_frame(spark, *[ROW | {"id": i} for i in range(5)]), ring, "old")
+    verified = integrity.verify(signed, ring)
+    store = signed.select("id", "signature").filter("id <> 3")
+    other = spark.createDataFrame([(1, "other"), (0, None)], "id long, signature string")
+    copies = store.unionByName(store).unionByName(other)
+    out = integrity.signature_discrepancies(verified, copies).orderBy("id").collect()
+    assert [(r.id, r.stored_signature) for r in out] == [(1, "other"), (3, None)]
+
+
+def test_report_computes_signatures_once(spark, sf_dir):
+    section = integrity.integrity_section(tables.checked(spark, sf_dir))
+    rows = {(r.section, r.item): r.value for r in section.collect()}
+    assert rows[("integrity", "ok")] == 0 and rows[("integrity", "tampered_rows")] > 10
+    final = section._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange [id" in final and final.count("FileScan") == 1
+
+
 def test_older_tables_read_in_todays_columns(spark, sf_dir):
     legacy = tables.legacy(spark, sf_dir)
     assert events.missing_columns(legacy) == [c for c in AUDIT_EVENT.fieldNames() if c in ADDED_LATER]

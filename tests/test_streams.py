@@ -2,9 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilwork import fixed_values as fv
-from veilwork.operators import gate
+from veilwork.operators import gate, integrity
 from veilwork.plans import requests as flows
 from veilwork.session import fresh_path
+from veilwork.sources import audit_table
 from veilwork.streaming import jobs
 from verification import seeds, tables
 
@@ -17,9 +18,12 @@ def _same(left, right):
 
 @pytest.fixture(scope="module")
 def parts(spark, sf_dir):
-    """The events table as six files in order of time."""
+    """The events table as six files that arrive in order of time."""
     folder = fresh_path(spark, "event-parts")
-    tables.table(spark, sf_dir, "events").repartitionByRange(6, "ts").sortWithinPartitions("ts").write.parquet(folder)
+    events = tables.table(spark, sf_dir, "events")
+    for start in range(0, 30, 5):
+        days = F.dayofmonth("ts") - 1
+        events.filter((days >= start) & (days < start + 5)).coalesce(1).write.mode("append").parquet(folder)
     return folder
 
 
@@ -87,3 +91,16 @@ def test_restart_continues_without_repeats(spark, sf_dir):
         jobs.append_to_files(live, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
     written = spark.read.parquet(f"{out}/rows")
     assert written.count() == events.count() == written.select("prompt_id").distinct().count()
+
+
+def test_live_audit_rows_are_signed_and_stored(spark, parts):
+    live = tables.derived(spark, seeds.PROMPTS, events=_stream(spark, parts, 2))
+    live = live.withColumn("request_id", F.concat(F.lit("req-"), F.col("prompt_id").cast("string")))
+    signed = integrity.sign(flows.sanitize_audit(flows.sanitize(live)), tables.keys(spark), "k1")
+    folder = fresh_path(spark, "live-audit")
+    jobs.append_audit_events(signed, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    stored = audit_table.read_events(spark, f"{folder}/rows")
+    assert stored.count() > 0
+    assert integrity.integrity_rollup(integrity.verify(stored, tables.keys(spark))).first().integrity_ok
+    batch = tables.derived(spark, seeds.PROMPTS, events=spark.read.parquet(parts))
+    assert stored.count() == flows.sanitize(batch).filter("code = 200 AND sanitized <> prompt").count()

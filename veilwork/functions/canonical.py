@@ -16,9 +16,10 @@ _BLOCK = 64  # bytes per SHA-256 block
 
 
 def ascii_json(text: Column) -> Column:
-    """Escape every character outside printable ASCII in a JSON text, lower-case hex.
+    """Escape every character outside printable ASCII in written JSON, lower-case hex.
 
-    Texts that need nothing, nearly all, pass through untouched.
+    JSON writers already escape control characters, all but DEL, so texts that
+    need nothing, nearly all, are told apart without a regular expression.
     """
     tokens = F.regexp_extract_all(
         text, F.lit(r"\\u[0-9A-Fa-f]{4}|\\.|[^\\\x20-\x7e]+|[\x20-\x5b\x5d-\x7e]+"), F.lit(0)
@@ -32,7 +33,11 @@ def ascii_json(text: Column) -> Column:
             .otherwise(F.regexp_replace(utf16, "(.{4})", r"\\u$1"))
         )
 
-    needs_work = text.rlike(r"[^\x20-\x7e]|\\u")
+    needs_work = (
+        (F.octet_length(text) != F.length(text))
+        | F.contains(text, F.lit("\\u"))
+        | F.contains(text, F.lit("\x7f"))
+    )
     return F.when(needs_work, F.array_join(F.transform(tokens, escape), "")).otherwise(text)
 
 
@@ -43,20 +48,17 @@ def json_string(text: Column) -> Column:
     return F.when(text.isNull(), F.lit("null")).otherwise(ascii_json(F.rtrim(literal, F.lit("}"))))
 
 
-def json_members(**members: Column) -> Column:
-    """A compact JSON object from member texts that are JSON already, in the order given."""
-    parts: list[Column] = []
-    for i, (name, value) in enumerate(members.items()):
-        parts += [F.lit(("{" if i == 0 else ",") + f'"{name}":'), value]
-    return F.concat(*parts, F.lit("}"))
+def json_value(text: Column) -> Column:
+    """JSON text as a value that is written with keys sorted at every level.
+
+    Missing, empty and unreadable text count as ``{}``.
+    """
+    return F.coalesce(F.try_parse_json(F.nullif(text, F.lit(""))), F.parse_json(F.lit("{}")))
 
 
 def sorted_json(text: Column) -> Column:
-    """Any JSON object text with keys sorted at every level; unreadable text gives ``{}``."""
-    compact = F.to_json(F.try_parse_json(F.nullif(text, F.lit(""))))
-    return F.when(F.coalesce(text, F.lit("{}")) == "{}", F.lit("{}")).otherwise(
-        F.coalesce(ascii_json(compact), F.lit("{}"))
-    )
+    """JSON text in canonical form."""
+    return ascii_json(F.to_json(json_value(text)))
 
 
 def _pads(key: bytes) -> tuple[bytearray, bytearray]:

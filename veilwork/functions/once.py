@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def evaluated_once(df: DataFrame, keep: list[str], columns: list[Column]) -> DataFrame:
+def evaluated_once(df: DataFrame, keep: list[str], columns: list[Column | str]) -> DataFrame:
     """Select ``keep`` and ``columns`` so that later filters use finished values.
 
     Spark pushes a filter below a projection by repeating the projected

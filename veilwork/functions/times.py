@@ -15,7 +15,5 @@ def at(moment: datetime) -> Column:
 
 def iso_time(ts: Column) -> Column:
     """ISO text of a timestamp; the fraction only where there is one."""
-    has_fraction = F.date_format(ts, "SSSSSS") != "000000"
-    return F.when(has_fraction, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).otherwise(
-        F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
-    )
+    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return F.replace(whole, F.lit(".000000"), F.lit(""))

@@ -7,58 +7,64 @@ no code of its own.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilwork import fixed_values as fv
 from veilwork.functions import patterns as rx
-from veilwork.functions.once import evaluated_once
 from veilwork.functions.masking import GUARDS, LOOSE_RULES, STRICT_RULES, PatternRule
+from veilwork.functions.once import evaluated_once
 
 SLOTS = ("id", "phone", "email")
 
 
-@dataclass(frozen=True)
-class PatternDetector:
-    """Counts every rule on the original text, masks one rule after the other."""
+class Detector:
+    """A named sequence of steps, each with a kind, a count slot and a mask."""
 
     name: str
-    rules: tuple[PatternRule, ...]
+    guards: frozenset[str] = frozenset()
 
     @property
-    def guards(self) -> set[str]:
-        return {rule.guard for rule in self.rules if rule.guard}
+    def steps(self) -> tuple:
+        raise NotImplementedError
 
-    def with_counts(self, df: DataFrame, text: str) -> DataFrame:
-        def count(rule: PatternRule) -> Column:
-            hits = rule.hits(F.col(text))
-            if rule.guard:
-                hits = F.when(F.col(f"_{rule.guard}"), hits)
-            return F.coalesce(hits, F.lit(0))
+    def hit_column(self, kind: str) -> str:
+        return f"_{self.name.lower()}_{kind}"
+
+    def hit_columns(self, slot: str | None = None) -> list[str]:
+        return [self.hit_column(step.kind) for step in self.steps if slot in (None, step.slot)]
 
-        return df.select("*", *[count(r).alias(self.hit_column(r.kind)) for r in self.rules])
+    def slot_sum(self, slot: str) -> str:
+        """SQL text of the count a slot holds."""
+        return " + ".join(self.hit_columns(slot)) or "0"
+
+
+@dataclass(frozen=True)
+class PatternDetector(Detector):
+    """Counts every rule on the original text, masks one rule after the other."""
+
+    name: str
+    rules: tuple[PatternRule, ...]
 
     @property
     def steps(self) -> tuple[PatternRule, ...]:
         return self.rules
 
-    def hit_column(self, kind: str) -> str:
-        return f"_{self.name.lower()}_{kind}"
+    @property
+    def guards(self) -> frozenset[str]:
+        return frozenset(rule.guard for rule in self.rules if rule.guard)
+
+    def _where_possible(self, rule: PatternRule, found: Column) -> Column:
+        return F.when(F.col(f"_{rule.guard}"), found) if rule.guard else found
 
-    def slot_count(self, slot: str) -> Column:
-        counts = [F.col(self.hit_column(rule.kind)) for rule in self.rules if rule.slot == slot]
-        return reduce(lambda x, y: x + y, counts, F.lit(0)) if counts else F.lit(0)
+    def with_counts(self, df: DataFrame, text: str) -> DataFrame:
+        hits = [self._where_possible(rule, rule.hits(F.col(text))) for rule in self.rules]
+        counts = [F.coalesce(n, F.lit(0)).alias(name) for n, name in zip(hits, self.hit_columns())]
+        return df.select("*", *counts)
 
     def findings(self, text: Column) -> list[tuple[str, Column]]:
-        out = []
-        for rule in self.rules:
-            matches = rule.matches(text)
-            if rule.guard:
-                matches = F.when(F.col(f"_{rule.guard}"), matches)
-            out.append((rule.kind, matches))
-        return out
+        return [(rule.kind, self._where_possible(rule, rule.matches(text))) for rule in self.rules]
 
 
 @dataclass(frozen=True)
@@ -77,7 +83,7 @@ class WordList:
 
 
 @dataclass(frozen=True)
-class DictionaryDetector:
+class DictionaryDetector(Detector):
     """Case-insensitive whole-word lists, masked one list after the other.
 
     Lists that share no word (and no word with a mask) cannot hit overlapping
@@ -88,7 +94,9 @@ class DictionaryDetector:
     name: str
     lists: tuple[WordList, ...]
 
-    guards = frozenset()
+    @property
+    def steps(self) -> tuple[WordList, ...]:
+        return self.lists
 
     @property
     def independent(self) -> bool:
@@ -102,32 +110,22 @@ class DictionaryDetector:
 
     def with_counts(self, df: DataFrame, text: str) -> DataFrame:
         if self.independent and len(self.lists) == 2:
-            scan = rx.whole_words(*[word_list.terms for word_list in self.lists])
-            found = f"_{self.name.lower()}_found"
-            # Group 1 of a hit is empty when the hit belongs to the second list.
-            df = df.select("*", F.regexp_extract_all(F.col(text), F.lit(scan), F.lit(1)).alias(found))
-            first = F.size(F.array_remove(F.col(found), ""))
-            first_column, second_column = [self.hit_column(w.kind) for w in self.lists]
-            df = df.select("*", F.coalesce(F.when(F.col(found).isNotNull(), first), F.lit(0)).alias(first_column))
-            both = F.coalesce(F.when(F.col(found).isNotNull(), F.size(found)), F.lit(0))
-            return df.select("*", (both - F.col(first_column)).alias(second_column)).drop(found)
+            return self._with_counts_of_one_scan(df, text)
         current = F.col(text)
-        for word_list in self.lists:
+        for word_list, name in zip(self.lists, self.hit_columns()):
             hits = F.regexp_count(current, F.lit(word_list.regex))
-            df = df.select("*", F.coalesce(hits, F.lit(0)).alias(self.hit_column(word_list.kind)))
+            df = df.select("*", F.coalesce(hits, F.lit(0)).alias(name))
             current = word_list.masked(current)
         return df
 
-    @property
-    def steps(self) -> tuple[WordList, ...]:
-        return self.lists
-
-    def hit_column(self, kind: str) -> str:
-        return f"_{self.name.lower()}_{kind}"
-
-    def slot_count(self, slot: str) -> Column:
-        counts = [F.col(self.hit_column(w.kind)) for w in self.lists if w.slot == slot]
-        return reduce(lambda x, y: x + y, counts, F.lit(0)) if counts else F.lit(0)
+    def _with_counts_of_one_scan(self, df: DataFrame, text: str) -> DataFrame:
+        scan = rx.whole_words(*[word_list.terms for word_list in self.lists])
+        first, second = self.hit_columns()
+        # Group 1 of a hit is empty when the hit belongs to the second list.
+        found = F.coalesce(F.regexp_extract_all(F.col(text), F.lit(scan), F.lit(1)), F.expr("array()"))
+        df = df.select("*", found.alias("_found"))
+        df = df.selectExpr("*", f"size(array_remove(_found, '')) AS {first}")
+        return df.selectExpr("*", f"size(_found) - {first} AS {second}").drop("_found")
 
     def findings(self, text: Column) -> list[tuple[str, Column]]:
         out, current = [], text
@@ -156,17 +154,21 @@ def with_guards(df: DataFrame, text: str, detectors) -> DataFrame:
     return df.select("*", *[GUARDS[name](F.col(text)).alias(f"_{name}") for name in names])
 
 
+def working_columns(detectors) -> list[str]:
+    """The hit columns of all detectors."""
+    return [name for detector in detectors for name in detector.hit_columns()]
+
+
 def with_counts(df: DataFrame, text: str, detectors=DETECTORS) -> DataFrame:
     """Add the hit columns of every detector, each evaluated once per row."""
     kept = df.columns
     df = with_guards(df, text, detectors)
     for detector in detectors:
         df = detector.with_counts(df, text)
-    hits = [d.hit_column(step.kind) for d in detectors for step in d.steps]
-    return evaluated_once(df, kept, [F.col(hit) for hit in hits])
+    return evaluated_once(df, kept, working_columns(detectors))
 
 
-def with_mask(df: DataFrame, text: str, detectors, out: str, chosen=None) -> DataFrame:
+def with_mask(df: DataFrame, text: str, detectors, out: str, chosen: str | None = None) -> DataFrame:
     """Add column ``out``: the text as masked by the detector chosen for the row.
 
     Round ``k`` applies the ``k``-th step of each row's detector, so only one
@@ -174,27 +176,16 @@ def with_mask(df: DataFrame, text: str, detectors, out: str, chosen=None) -> Dat
     nor an earlier step has hits, as the text is then still the original.
     """
     rounds = max(len(detector.steps) for detector in detectors)
+    between = [f"_{out}_{k}" for k in range(rounds - 1)]
     current = text
-    for k in range(rounds):
-        branches = None
+    for k, name in enumerate([*between, out]):
+        branches = F
         for detector in detectors:
-            if k >= len(detector.steps):
-                continue
-            so_far = reduce(
-                lambda x, y: x + y, [F.col(detector.hit_column(s.kind)) for s in detector.steps[: k + 1]]
-            )
-            applies = so_far > 0
-            if chosen is not None:
-                applies = (F.col(chosen) == detector.name) & applies
-            masked = detector.steps[k].masked(F.col(current))
-            branches = F.when(applies, masked) if branches is None else branches.when(applies, masked)
-        step_name = out if k == rounds - 1 else f"_{out}_{k}"
-        df = df.select("*", branches.otherwise(F.col(current)).alias(step_name))
-        current = step_name
-    return df.drop(*[f"_{out}_{k}" for k in range(rounds - 1)])
-
-
-def working_columns(df: DataFrame, detectors) -> list[str]:
-    """Names of the helper columns ``with_counts`` added."""
-    hits = [d.hit_column(step.kind) for d in detectors for step in d.steps]
-    return [name for name in hits if name in df.columns]
+            if k < len(detector.steps):
+                applies = f"{' + '.join(detector.hit_columns()[: k + 1])} > 0"
+                if chosen:
+                    applies = f"{chosen} = '{detector.name}' AND {applies}"
+                branches = branches.when(F.expr(applies), detector.steps[k].masked(F.col(current)))
+        df = df.select("*", branches.otherwise(F.col(current)).alias(name))
+        current = name
+    return df.drop(*between)

@@ -18,46 +18,35 @@ from veilwork.session import lookup_join
 PAYLOAD_V1, PAYLOAD_V2 = 1, 2
 
 
-def payload(version: int = PAYLOAD_V1) -> Column:
-    """The signed text of a row: canonical JSON of its fields.
+def with_payload(df: DataFrame, version: int = PAYLOAD_V1) -> DataFrame:
+    """Add ``_payload``, the signed text of a row: canonical JSON of its fields.
 
     Signing and verifying share it, so they cannot disagree.  Version 2 also
     covers the id, the key id and the three tool counts.
     """
-    intents = F.when(
-        F.coalesce(F.col("forbidden_intents"), F.lit("")) == "", F.lit("[]")
-    ).otherwise(
-        canonical.ascii_json(F.to_json(F.split(F.col("forbidden_intents"), ";")))
-    )
-    number = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("string")
-    text = lambda name: canonical.json_string(F.col(name))
+    intents = F.split(F.nullif(F.col("forbidden_intents"), F.lit("")), ";")
     members = {
-        "count_email": number("count_email"),
-        "count_id": number("count_id"),
-        "count_phone": number("count_phone"),
-        "endpoint": text("endpoint"),
-        "event_type": text("event_type"),
-        "forbidden_intents": intents,
-        "message": text("message"),
-        "metadata": canonical.sorted_json(F.col("metadata")),
-        "request_id": text("request_id"),
-        "ts": F.concat(F.lit('"'), iso_time(F.col("ts")), F.lit('"')),
-        "user_role": text("user_role"),
-        "winning_tool": text("winning_tool"),
+        **{name: F.coalesce(F.col(name), F.lit(0)) for name in ("count_email", "count_id", "count_phone")},
+        **{
+            name: F.col(name)
+            for name in ("endpoint", "event_type", "message", "request_id", "user_role", "winning_tool")
+        },
+        "forbidden_intents": F.coalesce(intents, F.array().cast("array<string>")),
+        "metadata": canonical.json_value(F.col("metadata")),
+        "ts": iso_time(F.col("ts")),
     }
     if version == PAYLOAD_V2:
-        members["id"] = F.coalesce(F.col("id").cast("string"), F.lit("null"))
-        members["key_id"] = text("key_id")
-        for tool in "abc":
-            members[f"tool_{tool}_counts"] = text(f"tool_{tool}_counts")
+        members |= {name: F.col(name) for name in ("id", "key_id", "tool_a_counts", "tool_b_counts", "tool_c_counts")}
     elif version != PAYLOAD_V1:
         raise ValueError(f"unknown payload version {version}")
-    return canonical.json_members(**dict(sorted(members.items())))
+    ordered = F.struct(*[members[name].alias(name) for name in sorted(members)])
+    written = df.select("*", F.to_json(ordered, {"ignoreNullFields": "false"}).alias("_json"))
+    return written.select(*df.columns, canonical.ascii_json(F.col("_json")).alias("_payload"))
 
 
 def _with_expected(df: DataFrame, keyring: DataFrame, key_id: str | None, version: int, out: str) -> DataFrame:
     rows = df if "key_id" in df.columns else df.withColumn("key_id", F.lit(key_id))
-    signed_text = rows.withColumn("_payload", payload(version))
+    signed_text = with_payload(rows, version)
     joined = lookup_join(signed_text, keyring, "key_id", "left")
     signature = canonical.hmac_sha256(F.col("facts._payload"), F.col("lookup.ipad"), F.col("lookup.opad"))
     return joined.select(*[F.col(f"facts.{name}") for name in rows.columns], signature.alias(out))
@@ -90,20 +79,53 @@ def tampered(verified: DataFrame, since=None) -> DataFrame:
     return bad if since is None else bad.filter(F.col("ts") >= at(since))
 
 
+def tampered_id_set(verified: DataFrame) -> DataFrame:
+    """Ids of invalid rows, rebalanced by id.
+
+    Results built from the same set read this shuffle again, so that the
+    signatures of the table are computed once for all of them.  Only ids move,
+    and partitions are sized at run time, whatever number of copies an id has.
+    """
+    return tampered(verified).select("id").hint("rebalance", "id")
+
+
 def integrity_rollup(verified: DataFrame) -> DataFrame:
     """One row: is everything valid, how many rows are not, their first and last id."""
-    bad = ~F.col("valid")
-    return verified.agg(
-        (F.count_if(bad) == 0).alias("integrity_ok"),
-        F.count_if(bad).alias("tampered_rows"),
-        F.min(F.when(bad, F.col("id"))).alias("first_tampered_id"),
-        F.max(F.when(bad, F.col("id"))).alias("last_tampered_id"),
+    return _rollup(tampered(verified).select("id"))
+
+
+def _rollup(bad_ids: DataFrame) -> DataFrame:
+    return bad_ids.agg(
+        (F.count("*") == 0).alias("integrity_ok"),
+        F.count("*").alias("tampered_rows"),
+        F.min("id").alias("first_tampered_id"),
+        F.max("id").alias("last_tampered_id"),
     )
 
 
 def tampered_preview(verified: DataFrame, n: int = fv.TAMPERED_SHOWN) -> DataFrame:
     """The first tampered ids, as many as the summary shows; ``tampered`` has all."""
-    return tampered(verified).select("id").orderBy("id").limit(n)
+    return _first_ids(tampered(verified).select("id"), n)
+
+
+def _first_ids(bad_ids: DataFrame, n: int) -> DataFrame:
+    return bad_ids.orderBy("id").limit(n)
+
+
+def integrity_section(verified: DataFrame, n: int = fv.TAMPERED_SHOWN) -> DataFrame:
+    """The integrity part of a summary as ``(section, item, value)``.
+
+    Ok flag, number of tampered rows, and the first tampered ids.
+    """
+    bad_ids = tampered_id_set(verified)
+    rows = _rollup(bad_ids).selectExpr(
+        "stack(2, 'integrity', 'ok', cast(integrity_ok AS bigint),"
+        " 'integrity', 'tampered_rows', tampered_rows) AS (section, item, value)"
+    )
+    shown = _first_ids(bad_ids, n).selectExpr(
+        "'tampered_id' AS section", "cast(id AS string) AS item", "cast(1 AS bigint) AS value"
+    )
+    return rows.unionByName(shown)
 
 
 def tamper_timeline(verified: DataFrame, every: str = "1 day") -> DataFrame:
@@ -125,16 +147,19 @@ def signature_discrepancies(verified: DataFrame, store: DataFrame | None = None)
     """Rows whose stored signature is not the recomputed one.
 
     With a separate signature store ``(id, signature)`` the comparison is with
-    the store, joined on the row id; rows the store lacks are reported too.
+    the store, joined on the row id; rows the store lacks, or holds with another
+    signature as well, are reported too.
     """
     if store is None:
         compared = verified.select("id", F.col("signature").alias("stored_signature"), "expected_signature")
-    else:
-        kept = store.select("id", F.col("signature").alias("stored_signature"))
-        compared = verified.select("id", "expected_signature").join(kept, "id", "left")
-    differs = ~F.col("stored_signature").eqNullSafe(F.col("expected_signature"))
-    return compared.filter(F.col("stored_signature").isNull() | differs).select(
-        "id", "stored_signature", "expected_signature"
+        differs = ~F.col("stored_signature").eqNullSafe(F.col("expected_signature"))
+        return compared.filter(F.col("stored_signature").isNull() | differs)
+    # One row per id, so that copies in the store do not multiply rows.
+    kept = store.groupBy("id").agg(F.min("signature").alias("_low"), F.max("signature").alias("_high"))
+    compared = verified.select("id", "expected_signature").join(kept, "id", "left")
+    low_fits, high_fits = [F.col(name).eqNullSafe(F.col("expected_signature")) for name in ("_low", "_high")]
+    return compared.filter(F.col("_low").isNull() | ~(low_fits & high_fits)).select(
+        "id", F.when(low_fits, F.col("_high")).otherwise(F.col("_low")).alias("stored_signature"), "expected_signature"
     )
 
 

@@ -5,8 +5,6 @@ All steps are projections of the row itself: no shuffle, any number of rows.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +12,7 @@ from veilwork.functions import masking
 from veilwork.operators.detectors import (
     DETECTORS,
     SLOTS,
+    STRICT,
     with_counts,
     with_guards,
     with_mask,
@@ -23,26 +22,33 @@ from veilwork.operators.detectors import (
 
 def detector_output(df: DataFrame, detector, text: str = "prompt") -> DataFrame:
     """One detector alone: ``redacted`` text and its three counts."""
-    df = with_counts(df, text, [detector])
-    df = with_mask(df, text, [detector], "redacted")
-    counts = [detector.slot_count(slot).alias(f"count_{slot}") for slot in SLOTS]
-    return df.select("*", *counts).drop(*working_columns(df, [detector]))
+    masked = with_mask(with_counts(df, text, [detector]), text, [detector], "redacted")
+    counts = [f"{detector.slot_sum(slot)} AS count_{slot}" for slot in SLOTS]
+    return masked.selectExpr("*", *counts).drop(*working_columns([detector]))
+
+
+def _score_name(detector) -> str:
+    return f"score_{detector.name.lower()}"
+
 
+def _score(detector, weights) -> str:
+    factors = (weights or {}).get(detector.name, {})
+    terms = [f"({detector.slot_sum(slot)}) * {_number(factors.get(slot, 1))}" for slot in SLOTS]
+    return " + ".join(terms) if factors else " + ".join(detector.hit_columns())
 
-def _weighted(detector, weights) -> Column:
-    if not weights:
-        return reduce(lambda x, y: x + y, [detector.slot_count(slot) for slot in SLOTS])
-    factor = weights.get(detector.name, {})
-    return reduce(lambda x, y: x + y, [detector.slot_count(s) * F.lit(factor.get(s, 1)) for s in SLOTS])
 
+def _number(value: float) -> str:
+    return f"{value}D" if isinstance(value, float) else str(int(value))
 
-def _winner(text: str, detectors) -> Column:
-    best = F.greatest(*[F.col(f"score_{d.name.lower()}") for d in detectors]) if len(detectors) > 1 else None
-    empty = F.col(text).isNull() | (F.col(text) == "")
-    winner = F.when(empty, F.lit(None).cast("string"))
-    for detector in detectors[:-1]:
-        winner = winner.when(F.col(f"score_{detector.name.lower()}") == best, F.lit(detector.name))
-    return winner.otherwise(F.lit(detectors[-1].name))
+
+def _best(detectors) -> str:
+    names = [_score_name(detector) for detector in detectors]
+    return f"greatest({', '.join(names)})" if len(names) > 1 else names[0]
+
+
+def _winner(text: str, detectors) -> str:
+    wins = " ".join(f"WHEN {_score_name(d)} = {_best(detectors)} THEN '{d.name}'" for d in detectors[:-1])
+    return f"CASE WHEN {text} IS NULL OR {text} = '' THEN NULL {wins} ELSE '{detectors[-1].name}' END"
 
 
 def jury_scores(df: DataFrame, text: str = "prompt", detectors=DETECTORS, weights=None) -> DataFrame:
@@ -51,37 +57,33 @@ def jury_scores(df: DataFrame, text: str = "prompt", detectors=DETECTORS, weight
     The first detector with the highest score wins; null and empty texts have
     no winner.  ``weights`` maps detector name to a factor per slot.
     """
-    df = with_counts(df, text, detectors)
-    slots = [d.slot_count(s).alias(f"{d.name.lower()}_{s}") for d in detectors for s in SLOTS]
-    scores = [_weighted(d, weights).alias(f"score_{d.name.lower()}") for d in detectors]
-    return df.select("*", *slots, *scores).select("*", _winner(text, detectors).alias("winning_tool"))
+    slots = [f"{d.slot_sum(slot)} AS {d.name.lower()}_{slot}" for d in detectors for slot in SLOTS]
+    scores = [f"{_score(d, weights)} AS {_score_name(d)}" for d in detectors]
+    scored = with_counts(df, text, detectors).selectExpr("*", *slots, *scores)
+    return scored.selectExpr("*", f"{_winner(text, detectors)} AS winning_tool")
 
 
 def redaction_jury(df: DataFrame, text: str = "prompt", detectors=DETECTORS, weights=None) -> DataFrame:
     """The whole jury result: ``sanitized`` text, winner, scores and counts."""
     scored = jury_scores(df, text, detectors, weights)
     masked = with_mask(scored, text, detectors, "sanitized", chosen="winning_tool")
-    return masked.drop(*working_columns(masked, detectors))
+    return masked.drop(*working_columns(detectors))
 
 
 def scores_only(df: DataFrame, text: str = "prompt", detectors=DETECTORS, weights=None) -> DataFrame:
     """As ``redaction_jury`` without the masked text."""
-    scored = jury_scores(df, text, detectors, weights)
-    return scored.drop(*working_columns(scored, detectors))
+    return jury_scores(df, text, detectors, weights).drop(*working_columns(detectors))
 
 
 def winner_count(slot: str, detectors=DETECTORS) -> Column:
     """The winning detector's count for a slot, 0 where there is no winner."""
-    value = F.lit(0)
-    for detector in reversed(detectors):
-        name = detector.name
-        value = F.when(F.col("winning_tool") == name, F.col(f"{name.lower()}_{slot}")).otherwise(value)
-    return value
+    counts = " ".join(f"WHEN '{d.name}' THEN {d.name.lower()}_{slot}" for d in detectors)
+    return F.expr(f"CASE winning_tool {counts} ELSE 0 END")
 
 
 def winner_score(detectors=DETECTORS) -> Column:
     """The highest score of the row; positive exactly where text was masked."""
-    return F.greatest(*[F.col(f"score_{d.name.lower()}") for d in detectors])
+    return F.expr(_best(detectors))
 
 
 def consensus(df: DataFrame, text: str = "prompt", detectors=DETECTORS, needed: int = 2) -> DataFrame:
@@ -90,15 +92,13 @@ def consensus(df: DataFrame, text: str = "prompt", detectors=DETECTORS, needed:
     The dictionary detector reports names and locations, which no other
     detector looks for, so those count under their own kinds.
     """
-    df = with_counts(df, text, detectors)
-    kinds: dict[str, list[Column]] = {}
+    kinds: dict[str, list[str]] = {}
     for detector in detectors:
         for step in detector.steps:
-            kinds.setdefault(step.kind, []).append((F.col(detector.hit_column(step.kind)) > 0).cast("int"))
-    votes = [reduce(lambda x, y: x + y, v).alias(f"votes_{kind}") for kind, v in kinds.items()]
-    voted = df.select("*", *votes).drop(*working_columns(df, detectors))
-    agreed = [(F.col(f"votes_{kind}") >= needed).alias(f"agreed_{kind}") for kind in kinds]
-    return voted.select("*", *agreed)
+            kinds.setdefault(step.kind, []).append(f"int({detector.hit_column(step.kind)} > 0)")
+    votes = [f"{' + '.join(hits)} AS votes_{kind}" for kind, hits in kinds.items()]
+    voted = with_counts(df, text, detectors).selectExpr("*", *votes).drop(*working_columns(detectors))
+    return voted.selectExpr("*", *[f"votes_{kind} >= {needed} AS agreed_{kind}" for kind in kinds])
 
 
 def redact_pii(df: DataFrame, text: str = "prompt", out: str = "redacted") -> DataFrame:
@@ -108,10 +108,8 @@ def redact_pii(df: DataFrame, text: str = "prompt", out: str = "redacted") -> Da
 
 def detect_pii_counts(df: DataFrame, text: str = "prompt") -> DataFrame:
     """Strict counts only; 0 on null."""
-    strict = DETECTORS[0]
-    df = with_counts(df, text, [strict])
-    counts = [strict.slot_count(slot).alias(f"count_{slot}") for slot in SLOTS]
-    return df.select("*", *counts).drop(*working_columns(df, [strict]))
+    counts = [f"{STRICT.slot_sum(slot)} AS count_{slot}" for slot in SLOTS]
+    return with_counts(df, text, [STRICT]).selectExpr("*", *counts).drop(*working_columns([STRICT]))
 
 
 def findings(df: DataFrame, key: list[str], text: str = "prompt", detectors=DETECTORS) -> DataFrame:

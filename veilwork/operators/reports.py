@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilwork import fixed_values as fv
-from veilwork.operators import integrity
 from veilwork.schemas import TOOL_COUNTS
 from veilwork.sources.audit_table import from_time
 
@@ -82,20 +81,6 @@ def audit_summary(events: DataFrame, as_of: datetime, hours: int = fv.REPORT_HOU
     return as_rows.unionByName(intents)
 
 
-def integrity_section(verified: DataFrame) -> DataFrame:
-    """The integrity part of the summary: ok flag, tampered rows, first tampered ids."""
-    rollup = integrity.integrity_rollup(verified).select(
-        F.col("integrity_ok").cast("bigint").alias("ok"), "tampered_rows"
-    )
-    rows = rollup.selectExpr(
-        "stack(2, 'integrity', 'ok', ok, 'integrity', 'tampered_rows', tampered_rows) AS (section, item, value)"
-    )
-    shown = integrity.tampered_preview(verified).select(
-        F.lit("tampered_id").alias("section"), F.col("id").cast("string").alias("item"), F.lit(1).cast("bigint").alias("value")
-    )
-    return rows.unionByName(shown)
-
-
 def events_by_type(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type").agg(F.count("*").alias("n"))
 

@@ -19,4 +19,4 @@ def audit_report(
     """
     summary = reports.audit_summary(events, as_of, hours)
     checked = integrity.verify(events, keyring, key_id)
-    return summary.unionByName(reports.integrity_section(checked))
+    return summary.unionByName(integrity.integrity_section(checked))

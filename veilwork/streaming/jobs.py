@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from veilwork import fixed_values as fv
 from veilwork.session import fresh_path
+from veilwork.sources.audit_table import PARTITION
 
 DELAY = "1 hour"
 
@@ -65,18 +66,23 @@ def intents_per_window(events: DataFrame, length: str = "1 hour", delay: str = D
     return _plain_window(counted)
 
 
-def append_to_files(stream: DataFrame, path: str, checkpoint: str, query_name: str | None = None):
+def append_to_files(stream: DataFrame, path: str, checkpoint: str, partition_by: list[str] | None = None):
     """Start a query that appends to Parquet files and stops when the input is used up.
 
     Progress and state are kept in ``checkpoint``; started again with the same
     folders it goes on where it stopped and writes every row once.
     """
     writer = stream.writeStream.format("parquet").outputMode("append").option("path", path)
-    if query_name:
-        writer = writer.queryName(query_name)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def append_audit_events(signed: DataFrame, path: str, checkpoint: str):
+    """As ``append_to_files``, into an audit table partitioned by event date."""
+    return append_to_files(signed.withColumn(PARTITION, F.to_date("ts")), path, checkpoint, [PARTITION])
+
+
 def run_once(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
     """Run a stream to the end of its present input and read what it wrote."""
     folder = fresh_path(spark, label)

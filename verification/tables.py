@@ -65,17 +65,25 @@ def keys(spark: SparkSession) -> DataFrame:
     return keyring(spark, KEYS)
 
 
-def signed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The audit seed signed with one key before the rotation and another after."""
+def sign_rotated(spark: SparkSession, unsigned: DataFrame) -> DataFrame:
+    """Rows signed with one key before the rotation and another after."""
     key = F.when(F.col("ts") < F.lit(ROTATED).cast("timestamp_ntz"), "k1").otherwise("k2")
-    return integrity.sign(audit_seed(spark, sf_dir), keys(spark), key)
+    return integrity.sign(unsigned, keys(spark), key)
 
 
-def tampered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signed rows of which some were edited and some lost their signature."""
+def tamper(rows: DataFrame) -> DataFrame:
+    """Signed rows of which some are edited and some lose their signature."""
     edited = F.when(F.col("id") % 97 == 0, F.concat("message", F.lit(" (edited)"))).otherwise(F.col("message"))
     unsigned = F.when(F.col("id") % 101 != 0, F.col("signature"))
-    return signed(spark, sf_dir).withColumns({"message": edited, "signature": unsigned})
+    return rows.withColumns({"message": edited, "signature": unsigned})
+
+
+def signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sign_rotated(spark, audit_seed(spark, sf_dir))
+
+
+def tampered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tamper(signed(spark, sf_dir))
 
 
 def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
