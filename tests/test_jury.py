@@ -120,8 +120,13 @@ def test_findings_are_the_matches(spark):
         for (tool, kind), pattern in patterns_of.items()
         for i, match in enumerate(plain.hits(pattern, text))
     }
-    found = jury.findings(_frame(spark, texts), ["n"], "text").filter("tool <> 'B'").collect()
+    for n, text in enumerate(texts):
+        for kind, terms in (("name", fv.NAMES), ("location", fv.LOCATIONS)):
+            pattern = r"(?i)\b(?:" + "|".join(sorted(terms, key=len, reverse=True)) + r")\b"
+            expected |= {(n, "B", kind, i, match) for i, match in enumerate(plain.hits(pattern, text))}
+    found = jury.findings(_frame(spark, texts), ["n"], "text").collect()
     assert {(r.n, r.tool, r.kind, r.pos, r["match"]) for r in found} == expected
+    assert len(found) == len(expected)
 
 
 def test_masking_strict_twice_changes_nothing_more(spark, sf_dir):
@@ -166,6 +171,8 @@ def test_overlapping_word_lists_are_counted_one_after_the_other(spark):
     assert DICTIONARY.independent and not lists.independent
     row = jury.detector_output(_frame(spark, ["Petaling Jaya and KL"]), lists, "text").first()
     assert (row.redacted, row.count_id, row.count_phone) == ("Petaling [N] and [L]", 1, 1)
+    found = jury.findings(_frame(spark, ["Petaling Jaya and KL"]), ["n"], "text", [lists]).collect()
+    assert [(r.kind, r["match"]) for r in found] == [("name", "Jaya"), ("location", "KL")]
 
 
 def test_pattern_translation_rejects_what_it_cannot_do():

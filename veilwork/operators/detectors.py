@@ -63,8 +63,10 @@ class PatternDetector(Detector):
         counts = [F.coalesce(n, F.lit(0)).alias(name) for n, name in zip(hits, self.hit_columns())]
         return df.select("*", *counts)
 
-    def findings(self, text: Column) -> list[tuple[str, Column]]:
-        return [(rule.kind, self._where_possible(rule, rule.matches(text))) for rule in self.rules]
+    def with_matches(self, df: DataFrame, text: str) -> DataFrame:
+        """Add the matched texts of every rule as arrays."""
+        matches = [self._where_possible(rule, rule.matches(F.col(text))) for rule in self.rules]
+        return df.select("*", *[m.alias(name) for m, name in zip(matches, self.hit_columns())])
 
 
 @dataclass(frozen=True)
@@ -108,9 +110,21 @@ class DictionaryDetector(Detector):
             seen |= words
         return True
 
+    @property
+    def one_scan(self) -> bool:
+        return self.independent and len(self.lists) == 2
+
+    def _with_found(self, df: DataFrame, text: str, group: int) -> DataFrame:
+        scan = rx.whole_words(*[word_list.terms for word_list in self.lists])
+        found = F.regexp_extract_all(F.col(text), F.lit(scan), F.lit(group))
+        return df.select("*", F.coalesce(found, F.expr("array()")).alias("_found"))
+
     def with_counts(self, df: DataFrame, text: str) -> DataFrame:
-        if self.independent and len(self.lists) == 2:
-            return self._with_counts_of_one_scan(df, text)
+        if self.one_scan:
+            # Group 1 of a hit is empty when the hit belongs to the second list.
+            first, second = self.hit_columns()
+            df = self._with_found(df, text, 1).selectExpr("*", f"size(array_remove(_found, '')) AS {first}")
+            return df.selectExpr("*", f"size(_found) - {first} AS {second}").drop("_found")
         current = F.col(text)
         for word_list, name in zip(self.lists, self.hit_columns()):
             hits = F.regexp_count(current, F.lit(word_list.regex))
@@ -118,22 +132,26 @@ class DictionaryDetector(Detector):
             current = word_list.masked(current)
         return df
 
-    def _with_counts_of_one_scan(self, df: DataFrame, text: str) -> DataFrame:
-        scan = rx.whole_words(*[word_list.terms for word_list in self.lists])
-        first, second = self.hit_columns()
-        # Group 1 of a hit is empty when the hit belongs to the second list.
-        found = F.coalesce(F.regexp_extract_all(F.col(text), F.lit(scan), F.lit(1)), F.expr("array()"))
-        df = df.select("*", found.alias("_found"))
-        df = df.selectExpr("*", f"size(array_remove(_found, '')) AS {first}")
-        return df.selectExpr("*", f"size(_found) - {first} AS {second}").drop("_found")
-
-    def findings(self, text: Column) -> list[tuple[str, Column]]:
-        out, current = [], text
-        for word_list in self.lists:
-            out.append((word_list.kind, F.regexp_extract_all(current, F.lit(word_list.regex), F.lit(0))))
-            if not self.independent:
-                current = word_list.masked(current)
-        return out
+    def with_matches(self, df: DataFrame, text: str) -> DataFrame:
+        """Add the matched words of every list as arrays."""
+        if self.one_scan:
+            # Which list a hit belongs to is decided on the hit, not by a second scan.
+            first, second = self.hit_columns()
+            regex = self.lists[0].regex
+            return (
+                self._with_found(df, text, 0)
+                .select(
+                    "*",
+                    F.filter("_found", lambda hit: hit.rlike(regex)).alias(first),
+                    F.filter("_found", lambda hit: ~hit.rlike(regex)).alias(second),
+                )
+                .drop("_found")
+            )
+        current = F.col(text)
+        for word_list, name in zip(self.lists, self.hit_columns()):
+            df = df.select("*", F.regexp_extract_all(current, F.lit(word_list.regex), F.lit(0)).alias(name))
+            current = word_list.masked(current)
+        return df
 
 
 STRICT = PatternDetector("A", STRICT_RULES)

@@ -114,21 +114,20 @@ def detect_pii_counts(df: DataFrame, text: str = "prompt") -> DataFrame:
 
 def findings(df: DataFrame, key: list[str], text: str = "prompt", detectors=DETECTORS) -> DataFrame:
     """One row per hit: key, detector, kind, position among its hits, matched text."""
-    guarded = with_guards(df.select(*key, text), text, detectors)
-    hits = [
-        _tagged(matches, detector.name, kind)
-        for detector in detectors
-        for kind, matches in detector.findings(F.col(text))
-    ]
-    return guarded.select(*key, F.inline(F.concat(*hits)))
+    found = with_guards(df.select(*key, text), text, detectors)
+    for detector in detectors:
+        found = detector.with_matches(found, text)
+    hits = [_tagged(detector, step.kind) for detector in detectors for step in detector.steps]
+    return found.select(*key, F.inline(F.concat(*hits)))
 
 
-def _tagged(matches: Column, tool: str, kind: str) -> Column:
+def _tagged(detector, kind: str) -> Column:
     """Matches as structs with their detector, kind and position."""
+    matches = F.coalesce(F.col(detector.hit_column(kind)), F.expr("array()"))
     return F.transform(
-        F.coalesce(matches, F.array().cast("array<string>")),
+        matches,
         lambda match, position: F.struct(
-            F.lit(tool).alias("tool"),
+            F.lit(detector.name).alias("tool"),
             F.lit(kind).alias("kind"),
             position.alias("pos"),
             match.alias("match"),
