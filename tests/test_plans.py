@@ -60,7 +60,7 @@ def test_generated_methods_can_be_compiled_by_the_jit(spark, sf_dir):
     package = getattr(getattr(debug, "package$"), "MODULE$")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        for name in ("redaction_jury", "sanitize_end_to_end", "jury_events", "generate_gate", "gate_denied_events", "tampered_ids", "corpus_jury"):
+        for name in ("redaction_jury", "sanitize_end_to_end", "jury_events", "generate_gate", "gate_denied_events", "tampered_ids", "corpus_jury", "authorized_prompts", "policy_matrix"):
             stages = package.codegenStringSeq(catalogue.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan())
             for i in range(stages.size()):
                 size = int(re.search(r"ByteCodeStats\((-?\d+)", str(stages.apply(i)._3().toString())).group(1))

@@ -26,6 +26,11 @@ def with_request_terms(df: DataFrame, role: str = "role", prompt: str = "prompt"
     )
 
 
+def _complete_requests(df: DataFrame) -> DataFrame:
+    """Requests with a role and a prompt; the test reaches the file scan."""
+    return with_request_terms(df.filter((F.col("role") != "") & (F.col("prompt") != "")))
+
+
 def role_known(df: DataFrame, roles: DataFrame, role: str = "role") -> DataFrame:
     """Add ``role_known``: the role has a policy (equi lookup on the role table)."""
     requests = df.withColumn("_role", F.lower(F.col(role)))
@@ -39,7 +44,7 @@ def role_known(df: DataFrame, roles: DataFrame, role: str = "role") -> DataFrame
 
 def without_forbidden_keywords(df: DataFrame, roles: DataFrame, policy: DataFrame) -> DataFrame:
     """Authorized requests by joins: role known, and no keyword of the role in the prompt."""
-    requests = with_request_terms(df).filter(F.col("_role").isNotNull() & F.col("_prompt").isNotNull())
+    requests = _complete_requests(df)
     known = lookup_join(requests, roles.select(F.col("role").alias("_role")).distinct(), "_role", "left_semi")
     keywords = policy.select(F.col("role").alias("_role"), "keyword").distinct()
     contained = F.contains(F.col("facts._prompt"), F.col("lookup.keyword"))
@@ -51,11 +56,12 @@ def keyword_hits(df: DataFrame, policy: DataFrame) -> DataFrame:
 
     Keywords nobody used stay in the result with 0 requests.
     """
-    requests = with_request_terms(df).filter(F.col("_role").isNotNull() & F.col("_prompt").isNotNull())
+    requests = _complete_requests(df)
     rules = policy.withColumnRenamed("role", "_role")
     contained = F.contains(F.col("facts._prompt"), F.col("lookup.keyword"))
-    # Ids are not needed: hits are counted per rule before anything is shuffled.
-    hits = lookup_join(requests.select("_role", "_prompt"), rules, "_role", "inner", contained)
+    # Hits are counted per rule in each task before anything is shuffled.
+    terms = evaluated_once(requests, [], [F.col("_role"), F.col("_prompt")])
+    hits = lookup_join(terms, rules, "_role", "inner", contained)
     counted = hits.groupBy("lookup._role", "lookup.intent", "lookup.keyword").agg(F.count("*").alias("n"))
     zeros = rules.select("_role", "intent", "keyword", F.lit(0).cast("bigint").alias("n"))
     return (

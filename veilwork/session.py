@@ -86,9 +86,11 @@ def lookup_join(
 
     A lookup that is checked to be small is broadcast and the facts do not move.
     A larger one is joined by shuffle; because one key may hold a large share of
-    the facts, each fact row takes one of ``salts`` sub-keys in turn and the lookup
-    is repeated once per sub-key, which splits every hot key into ``salts`` parts
-    and still matches each pair exactly once.
+    the facts, each fact row takes one of ``salts`` sub-keys from its content and
+    the lookup is repeated once per sub-key, which splits every hot key into
+    ``salts`` parts and still matches each pair exactly once.  A recomputed task
+    gives its rows the same sub-keys again.  Rows that are copies in every column
+    stay together; AQE splits their partition by the tasks that wrote it.
     """
     left, right = facts.alias("facts"), lookup.alias("lookup")
     condition = F.col(f"facts.{on}") == F.col(f"lookup.{on}")
@@ -96,8 +98,7 @@ def lookup_join(
         condition = condition & extra_condition
     if fits_broadcast(lookup, max_rows):
         return left.join(F.broadcast(right), condition, how)
-    turn = F.xxhash64(*facts.columns) if facts.isStreaming else F.monotonically_increasing_id()
-    salted = facts.withColumn("_salt", F.pmod(turn, F.lit(salts)).cast("int"))
+    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int"))
     repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     condition = condition & (F.col("facts._salt") == F.col("lookup._salt"))
     return salted.alias("facts").join(repeated.alias("lookup"), condition, how).drop("_salt")
