@@ -94,5 +94,14 @@ REPORT_HOURS = 24
 
 # --- Fixed values: message texts ---
 GATE_DENIED_MESSAGE = "[LLM_PROXY] Attempt to forward prompt containing PII; rejected"
+DENIED_MESSAGE_ROLE = "Denied access attempt: role="
+DENIED_MESSAGE_PROMPT = " prompt="
 TOKEN_USAGE_PREFIX = "[LLM_PROXY] Token usage: "
 JURY_MESSAGE_PREFIX = "PII detected and redacted using Redaction Jury. Winner: Tool "
+
+# --- Fixed values: response labels of the tools' scores ---
+SCORE_LABELS = {
+    "A": "Tool_A_Regex_Count",
+    "B": "Tool_B_Dictionary_Count",
+    "C": "Tool_C_MockAI_Count",
+}

@@ -63,7 +63,7 @@ def denied_events(verified: DataFrame, raw_text: bool = False) -> DataFrame:
         request_id=F.col("request_id"),
         user_role=F.col("role"),
         endpoint=F.lit(fv.VERIFY_ENDPOINT),
-        message=F.concat(F.lit("Denied access attempt: role="), F.col("role"), F.lit(" prompt="), shown),
+        message=F.concat(F.lit(fv.DENIED_MESSAGE_ROLE), F.col("role"), F.lit(fv.DENIED_MESSAGE_PROMPT), shown),
         forbidden_intents=F.col("forbidden_intents"),
     )
 

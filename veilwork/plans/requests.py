@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilwork import fixed_values as fv
 from veilwork.operators import events, jury, policy
 from veilwork.operators.detectors import DETECTORS, SLOTS
 from veilwork.sources.reference_data import Policy
 
-_TOOL_LABELS = {"A": "Tool_A_Regex_Count", "B": "Tool_B_Dictionary_Count", "C": "Tool_C_MockAI_Count"}
-
 
 def reliability_summary() -> Column:
     """The summary part of a response, from jury columns."""
-    scores = [F.col(f"score_{tool.lower()}").alias(label) for tool, label in _TOOL_LABELS.items()]
+    scores = [F.col(f"score_{tool.lower()}").alias(label) for tool, label in fv.SCORE_LABELS.items()]
     counts = [
         F.struct(*[F.col(f"{tool.lower()}_{slot}").alias(slot) for slot in SLOTS]).alias(f"Tool_{tool}")
-        for tool in _TOOL_LABELS
+        for tool in fv.SCORE_LABELS
     ]
     return F.struct(
         F.col("winning_tool").alias("winning_tool"),
