@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm import quality
+from veilwork.llm import bpe, mixing, quality
 
 _QUERIES = {}
 
@@ -23,6 +23,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op1_bpe(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokenizer = bpe.Tokenizer(spark, _vocabulary())
+    coded = tokenizer.decode(tokenizer.encode(docs.select("doc_id", "text"), "text").select("doc_id", "ids"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op3_mixing(spark, sf_dir):
+    return mixing.allocate(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_quality_rules(spark, sf_dir):
     judged = quality.judge(_table(spark, sf_dir, "documents"))

@@ -51,5 +51,43 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM measured"""
 
 
+OP3 = rf"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size,
+         (CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 13)
+               AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+  FROM documents),
+sources AS (
+  SELECT source, sum(size)::HUGEINT AS source_size, 3 * sum(size)::HUGEINT AS most,
+         1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS weight
+  FROM sized GROUP BY source),
+filled AS (
+  SELECT *, (sum(source_size) OVER ()) - coalesce(sum(most) OVER before, 0) AS words,
+         (sum(weight) OVER ()) - coalesce(sum(weight) OVER before, 0) AS shares
+  FROM sources
+  WINDOW before AS (ORDER BY most / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (
+  SELECT words, shares FROM filled WHERE most * shares >= weight * words
+  ORDER BY most / weight, source LIMIT 1),
+targets AS (
+  SELECT source, source_size,
+         CASE WHEN most * shares < weight * words THEN most::DOUBLE
+              ELSE (weight * words)::DOUBLE / shares::DOUBLE END AS target
+  FROM sources, level),
+rated AS (
+  SELECT *, CAST(floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS BIGINT) AS whole,
+         CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS copies
+  FROM targets),
+ranked AS (
+  SELECT doc_id, size, d.source, source_size, target, whole, copies - whole AS part, target - whole * source_size AS wanted,
+         (u / (1 - u)) / ((copies - whole) / (1 - (copies - whole))) AS q
+  FROM sized d JOIN rated t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
+       CAST(size * (whole + CASE WHEN part > 0 AND
+         (sum(size) OVER (PARTITION BY source ORDER BY q RANGE UNBOUNDED PRECEDING))
+         - (sum(size) OVER (PARTITION BY source, q)) / 2 <= wanted THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM ranked"""
+
+
 def oracle_sql():
-    return {"op8_quality_rules": OP8}
+    return {"op3_mixing": OP3, "op8_quality_rules": OP8}
