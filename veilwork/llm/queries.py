@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm import bpe, mixing, quality
+from veilwork.llm import bpe, exact_index, line_templates, mixing, quality, warc
+from veilwork.llm.work import fresh_path
 
 _QUERIES = {}
 
@@ -54,3 +55,21 @@ def op8_quality_rules(spark, sf_dir):
         F.col("row.doc_id").alias("doc_id"),
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
     )
+
+
+@query
+def op6_warc(spark, sf_dir):
+    path = fresh_path(spark, "archive")
+    warc.write(_table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
+@query
+def op9_line_templates(spark, sf_dir):
+    done = line_templates.drop_recurring(_table(spark, sf_dir, "documents"))
+    return done.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", "text")
+
+
+@query
+def op10_exact_index(spark, sf_dir):
+    return exact_index.groups(_table(spark, sf_dir, "documents"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilwork.llm import quality
+from veilwork.llm import line_templates, quality
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -89,5 +89,73 @@ SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
 FROM ranked"""
 
 
+OP6 = """
+WITH hashed AS (
+  SELECT page_id, coalesce(html, '') AS body, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
+         sha1(coalesce(html, '')) AS h
+  FROM pages),
+named AS (
+  SELECT page_id, body, payload_bytes, translate(array_to_string(list_transform(generate_series(0, 7),
+           lambda k: to_base(CAST('0x' || substr(h, CAST(5 * k + 1 AS BIGINT), 5) AS BIGINT), 32, 4)), ''),
+           '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+         min(page_id) OVER (PARTITION BY body) AS first
+  FROM hashed)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to, true AS intact
+FROM named"""
+
+OP10 = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = min(doc_id) OVER same AS kept, sha256(body) AS text_sha256
+FROM texts WINDOW same AS (PARTITION BY body)"""
+
+OP9 = rf"""
+WITH raw AS (
+  SELECT doc_id, coalesce(text, '') AS body, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (
+  SELECT doc_id, body, p, list_transform(regexp_extract_all(l[p], '[^\x20\x09-\x0D]+'),
+         lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w
+  FROM (SELECT doc_id, body, l, unnest(generate_series(1, len(l))) AS p FROM raw)),
+shown AS (
+  SELECT doc_id, body, p, w, [CAST(len(w) AS VARCHAR)] || w[1:{line_templates.LEADING}] AS leaf FROM lines WHERE len(w) > 0),
+placed AS (
+  SELECT *, [lag(leaf) OVER by_doc, lead(leaf) OVER by_doc] AS context
+  FROM shown WINDOW by_doc AS (PARTITION BY doc_id ORDER BY p)),
+different AS (SELECT DISTINCT leaf, w FROM shown),
+tokens AS (SELECT leaf, w, unnest(w) AS token, unnest(generate_series(1, len(w))) AS k FROM different),
+fixed AS (SELECT *, count(*) OVER (PARTITION BY leaf, k, token) AS n FROM tokens),
+templates AS (
+  SELECT leaf, w, list([CAST(k AS VARCHAR), token] ORDER BY k) AS template
+  FROM fixed WHERE n > 1 GROUP BY leaf, w HAVING count(*) * 100 >= len(w) * {line_templates.FIXED_PERCENT}),
+named AS (
+  SELECT doc_id, body, p, context, leaf, template, CASE WHEN template IS NULL THEN p.w END AS own
+  FROM placed p LEFT JOIN templates t USING (leaf, w)),
+found AS (
+  SELECT leaf[1] AS size, template, own FROM named GROUP BY ALL
+  HAVING count(DISTINCT context) >= {line_templates.MIN_CONTEXTS}
+     AND count(DISTINCT context) * 2 >= count(DISTINCT body)),
+marked AS (
+  SELECT doc_id, p, f.size IS NOT NULL AS dropped
+  FROM named n LEFT JOIN found f
+    ON n.leaf[1] = f.size AND n.template IS NOT DISTINCT FROM f.template AND n.own IS NOT DISTINCT FROM f.own),
+counted AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+         list(p) FILTER (dropped) AS gone
+  FROM marked GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped,
+       CASE WHEN coalesce(n_dropped, 0) = 0 THEN text
+            ELSE array_to_string(list_filter(l, lambda x, i: NOT list_contains(gone, i)), chr(10)) END AS text
+FROM raw LEFT JOIN counted USING (doc_id)"""
+
+
 def oracle_sql():
-    return {"op3_mixing": OP3, "op8_quality_rules": OP8}
+    return {
+        "op3_mixing": OP3,
+        "op6_warc": OP6,
+        "op8_quality_rules": OP8,
+        "op9_line_templates": OP9,
+        "op10_exact_index": OP10,
+    }
