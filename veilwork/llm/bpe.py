@@ -20,10 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilwork.llm.arrow import pieces
 from veilwork.llm.text import whole
 
 # Unicode white space (fixed values); str.isspace() also counts U+001C-U+001F.
@@ -31,7 +33,8 @@ _WHITE = "\t-\r \x85\xa0  -     　"
 _NOT_WHITE = re.compile(f"[^{_WHITE}]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 150_000
+CACHED_PAIRS = 250_000
 CACHED_LENGTH = 64
 
 
@@ -69,7 +72,6 @@ class Vocabulary:
         self.inner = [ids[s] for s in symbols]
         self.final = [ids[s + suffix] for s in symbols]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names = {i: t for t, i in ids.items()} | {i: t for t, i in self.special.items()}
         pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(pattern["pattern"]["Regex"].replace(r"[^\s", f"[^{_WHITE}"))
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len)[::-1])) + ")")
@@ -160,7 +162,7 @@ class Vocabulary:
                     fits = memo.get(pair)
                     if fits is None:
                         fits = self._may_follow(last[start], token)
-                        if len(memo) < 2_000_000:
+                        if len(memo) < CACHED_PAIRS:
                             memo[pair] = fits
                     if not fits:
                         continue
@@ -218,8 +220,11 @@ class Encoder:
             data.append(self._plain(part) if special is None else array("i", [special]).tobytes())
         return np.frombuffer(b"".join(data), np.int32)
 
-    def text(self, ids) -> str:
-        return " ".join(map(self.vocabulary.names.__getitem__, ids))
+
+def _token_names(source: str) -> dict[int, str]:
+    """Id -> token; without a decoder, a text is its tokens joined by spaces."""
+    spec = json.loads(source)
+    return {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
 
 
 _encoders: dict[int, Encoder] = {}
@@ -233,6 +238,23 @@ def _encoder(source) -> Encoder:
     return _encoders[source.id]
 
 
+_known_names: dict[int, dict[int, str]] = {}
+
+
+def _names(source) -> dict[int, str]:
+    if source.id not in _known_names:
+        _known_names.clear()
+        _known_names[source.id] = _token_names(source.value)
+    return _known_names[source.id]
+
+
+def _in_pieces(batches: Iterator[pa.RecordBatch], size) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces bounded by the size of their last column."""
+    for batch in batches:
+        sizes = size(batch.column(batch.num_columns - 1)).fill_null(0)
+        yield from pieces(batch, sizes.to_numpy(zero_copy_only=False))
+
+
 class Tokenizer:
     """Encodes and decodes columns with the vocabulary in the file at ``path``.
 
@@ -252,7 +274,7 @@ class Tokenizer:
 
         def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             encoder = _encoder(source.value)
-            for batch in rows:
+            for batch in _in_pieces(rows, pc.binary_length):
                 found = [encoder.ids(text) for text in batch.column(batch.num_columns - 1).to_pylist()]
                 ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
                 values = np.concatenate(found) if found else np.empty(0, np.int32)
@@ -267,11 +289,11 @@ class Tokenizer:
         source = self.source
 
         def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            encoder = _encoder(source.value)
-            for batch in rows:
+            names = _names(source.value)
+            for batch in _in_pieces(rows, pc.list_value_length):
                 lists = batch.column(batch.num_columns - 1)
                 values, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
-                names, found, start = encoder.vocabulary.names, [], 0
+                found, start = [], 0
                 for length in np.nan_to_num(ends).astype(int):
                     found.append(" ".join(map(names.__getitem__, values[start : start + length].tolist())))
                     start += length
