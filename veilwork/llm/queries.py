@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm import bpe, exact_index, line_templates, mixing, quality, warc
+from veilwork.llm import bpe, exact_index, line_templates, mixing, near_duplicates, quality, warc
 from veilwork.llm.work import fresh_path
 
 _QUERIES = {}
@@ -48,6 +48,11 @@ def op3_mixing(spark, sf_dir):
     return mixing.allocate(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_near_duplicates(spark, sf_dir):
+    return near_duplicates.groups(_table(spark, sf_dir, "documents"), percent=85)
+
+
 @query
 def op8_quality_rules(spark, sf_dir):
     judged = quality.judge(_table(spark, sf_dir, "documents"))

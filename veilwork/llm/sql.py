@@ -112,6 +112,31 @@ SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
        doc_id = min(doc_id) OVER same AS kept, sha256(body) AS text_sha256
 FROM texts WINDOW same AS (PARTITION BY body)"""
 
+OP7 = r"""
+WITH RECURSIVE split_up AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS p FROM split_up WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+meet AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+  FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (
+  SELECT a, b FROM meet JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b
+  WHERE 100 * common >= 85 * (x.n + y.n - common)),
+both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, min(r.b) AS component_id,
+       d.doc_id = min(r.b) AS kept
+FROM documents d JOIN reach r ON r.a = d.doc_id LEFT JOIN size s ON s.doc_id = d.doc_id
+GROUP BY d.doc_id, n"""
+
 OP9 = rf"""
 WITH raw AS (
   SELECT doc_id, coalesce(text, '') AS body, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
@@ -155,6 +180,7 @@ def oracle_sql():
     return {
         "op3_mixing": OP3,
         "op6_warc": OP6,
+        "op7_near_duplicates": OP7,
         "op8_quality_rules": OP8,
         "op9_line_templates": OP9,
         "op10_exact_index": OP10,
