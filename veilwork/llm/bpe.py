@@ -33,7 +33,7 @@ _WHITE = "\t-\r \x85\xa0  -     　"
 _NOT_WHITE = re.compile(f"[^{_WHITE}]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
-CACHED_CHUNKS = 150_000
+CACHED_CHUNKS = 350_000
 CACHED_PAIRS = 250_000
 CACHED_LENGTH = 64
 
@@ -177,13 +177,13 @@ class Vocabulary:
 
     def encode_chunk(self, chunk: str) -> list[int]:
         """Ids of a lower-case run without white space."""
-        ids = []
-        for piece in self.pieces.findall(chunk):
-            data = piece.encode()
-            symbols = [self.inner[b] for b in data]
-            symbols[-1] = self.final[data[-1]]
-            ids += self.encode_word(symbols)
-        return ids
+        return [i for piece in self.pieces.findall(chunk) for i in self.encode_piece(piece)]
+
+    def encode_piece(self, piece: str) -> list[int]:
+        data = piece.encode()
+        symbols = [*map(self.inner.__getitem__, data)]
+        symbols[-1] = self.final[data[-1]]
+        return self.encode_word(symbols)
 
 
 class _Chunks(dict):
@@ -191,9 +191,16 @@ class _Chunks(dict):
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
+        self.marks = {mark: array("i", vocabulary.encode_chunk(mark)).tobytes() for mark in ".,!?;:"}
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = array("i", self.vocabulary.encode_chunk(chunk)).tobytes()
+        if chunk.isalpha():
+            ids = array("i", self.vocabulary.encode_piece(chunk)).tobytes()
+        elif chunk[-1] in self.marks and chunk[:-1].isalpha():
+            # Letters and one mark are two pieces; the letters have an entry of their own.
+            return self[chunk[:-1]] + self.marks[chunk[-1]]
+        else:
+            ids = array("i", self.vocabulary.encode_chunk(chunk)).tobytes()
         if len(self) < CACHED_CHUNKS and len(chunk) <= CACHED_LENGTH:
             self[chunk] = ids
         return ids
@@ -202,6 +209,7 @@ class _Chunks(dict):
 class Encoder:
     def __init__(self, source: str):
         self.vocabulary = Vocabulary(source)
+        self.names = _token_names(source)
         self.chunks = _Chunks(self.vocabulary)
 
     def _plain(self, text: str) -> bytes:
@@ -265,10 +273,14 @@ class Tokenizer:
         with open(path, encoding="utf-8") as file:
             self.source = spark.sparkContext.broadcast(_Source(file.read()))
 
-    def encode(self, df: DataFrame, text: str | Column, ids: str = "ids") -> DataFrame:
+    def encode(
+        self, df: DataFrame, text: str | Column, ids: str = "ids", decoded: str | None = None
+    ) -> DataFrame:
         """``df`` with the column ``ids`` (array of int): the whole text, null as empty, encoded.
 
-        Every row is encoded on its own.  A column of ``df`` named ``ids`` is replaced.
+        With ``decoded``, a column of that name holds the ids decoded again, as
+        ``decode`` does, in the same pass.  Every row is encoded on its own.  Columns
+        of ``df`` with the new names are replaced.  An empty table gives an empty one.
         """
         source = self.source
 
@@ -279,10 +291,16 @@ class Tokenizer:
                 ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
                 values = np.concatenate(found) if found else np.empty(0, np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32()))
+                made = {ids: lists}
+                if decoded:
+                    names = encoder.names
+                    texts = [" ".join(map(names.__getitem__, row.tolist())) for row in found]
+                    made[decoded] = pa.array(texts, pa.string())
                 kept = list(batch.columns[:-1])
-                yield pa.RecordBatch.from_arrays([*kept, lists], names=[*batch.schema.names[:-1], ids])
+                yield pa.RecordBatch.from_arrays([*kept, *made.values()], names=[*batch.schema.names[:-1], *made])
 
-        return _mapped(df, whole(text), ids, "array<int>", batches)
+        new = {ids: "array<int>"} | ({decoded: "string"} if decoded else {})
+        return _mapped(df, whole(text), new, batches)
 
     def decode(self, df: DataFrame, ids: str = "ids", text: str = "decoded") -> DataFrame:
         """``df`` with the column ``text``: the tokens of ``ids`` in one text; null ids give the empty text."""
@@ -300,7 +318,7 @@ class Tokenizer:
                 kept = list(batch.columns[:-1])
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.string())], names=[*batch.schema.names[:-1], text])
 
-        return _mapped(df, F.col(f"`{ids}`"), text, "string", batches)
+        return _mapped(df, F.col(f"`{ids}`"), {text: "string"}, batches)
 
 
 class _Source:
@@ -311,9 +329,9 @@ class _Source:
         self.id = hash(value)
 
 
-def _mapped(df: DataFrame, argument: Column, name: str, kind: str, batches) -> DataFrame:
-    """``df`` with one more column that ``batches`` makes of ``argument``."""
-    kept = [c for c in df.columns if c != name]
-    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
-    schema = f"{fields}, `{name}` {kind}" if kept else f"`{name}` {kind}"
-    return df.select(*[F.col(f"`{c}`") for c in kept], argument.alias(name)).mapInArrow(batches, schema)
+def _mapped(df: DataFrame, argument: Column, new: dict[str, str], batches) -> DataFrame:
+    """``df`` with the columns ``new`` (name -> type) that ``batches`` makes of ``argument``."""
+    kept = [c for c in df.columns if c not in new]
+    fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept]
+    schema = ", ".join(fields + [f"`{name}` {kind}" for name, kind in new.items()])
+    return df.select(*[F.col(f"`{c}`") for c in kept], argument.alias("_argument")).mapInArrow(batches, schema)

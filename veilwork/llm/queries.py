@@ -32,10 +32,9 @@ def _vocabulary() -> str:
 
 @query
 def op1_bpe(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _table(spark, sf_dir, "documents")
     tokenizer = bpe.Tokenizer(spark, _vocabulary())
-    coded = tokenizer.decode(tokenizer.encode(docs.select("doc_id", "text"), "text").select("doc_id", "ids"))
-    return coded.select(
+    return tokenizer.encode(docs.select("doc_id", "text"), "text", decoded="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
