@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm import bpe, exact_index, line_templates, mixing, near_duplicates, quality, warc
+from veilwork.llm import bpe, exact_index, line_templates, mixing, near_duplicates, quality, secret_scan, warc
 from veilwork.llm.work import fresh_path
 
 _QUERIES = {}
@@ -61,6 +61,19 @@ def op8_quality_rules(spark, sf_dir):
     )
 
 
+@query
+def op4_secrets(spark, sf_dir):
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda span: span.getField("kind"))
+    counts = [
+        F.size(F.filter(kinds, lambda kind: kind == k)).cast("long").alias(f"n_{form[0]}")  # noqa: B023
+        for k, form in enumerate(secret_scan.FORMS)
+    ]
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans"
+    )
+
+
 @query
 def op6_warc(spark, sf_dir):
     path = fresh_path(spark, "archive")

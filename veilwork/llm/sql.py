@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilwork.llm import line_templates, quality
+from veilwork.llm import line_templates, quality, secret_scan
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -89,6 +89,64 @@ SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
 FROM ranked"""
 
 
+def _sql_form(number: int) -> str:
+    _, pattern, group, least = secret_scan.FORMS[number]
+    pattern = pattern.replace("'", "''")
+    return rf"""
+  SELECT doc_id, {number} AS kind, start, stop FROM (
+    SELECT doc_id, unnest(list_transform(generate_series(1, len(m)), lambda i: {{
+             'start': list_sum(list_transform(p[1:i], lambda x: length(x)))
+                      + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0),
+             'stop': list_sum(list_transform(p[1:i], lambda x: length(x)))
+                     + list_sum(list_transform(m[1:i], lambda x: length(x))),
+             'n': length(v[i])}}), recursive := true)
+    FROM (SELECT doc_id, regexp_split_to_array(body, '{pattern}') AS p, regexp_extract_all(body, '{pattern}') AS m,
+                 regexp_extract_all(body, '{pattern}', {group}) AS v
+          FROM body WHERE regexp_matches(body, '{pattern}')))
+  WHERE n >= {least}"""
+
+
+_KIND = "['" + "', '".join([f[0] for f in secret_scan.FORMS] + [secret_scan.ENTROPY]) + "'][kind + 1]"
+_TOLD = f"string_agg({_KIND} || ':' || start || ':' || stop, ',' ORDER BY start, kind)"
+_MOST = "CASE " + " ".join(
+    f"WHEN regexp_matches(m, '{c.pattern}') THEN {c.most}" for c in secret_scan.CLASSES) + " END"
+
+OP4 = rf"""
+WITH body AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+base AS ({' UNION ALL '.join(_sql_form(k) for k in range(len(secret_scan.FORMS)))}),
+candidate AS (
+  SELECT doc_id, start, start + length(m) AS stop, m FROM (
+    SELECT doc_id, unnest(list_transform(generate_series(1, len(m)), lambda i: {{
+             'start': list_sum(list_transform(p[1:i], lambda x: length(x)))
+                      + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0),
+             'm': m[i]}}), recursive := true)
+    FROM (SELECT doc_id, regexp_split_to_array(body, '{secret_scan.CANDIDATE}') AS p,
+                 regexp_extract_all(body, '{secret_scan.CANDIDATE}') AS m
+          FROM body WHERE regexp_matches(body, '{secret_scan.CANDIDATE}')))
+  WHERE NOT regexp_matches(m, '{secret_scan.ALLOWED}')),
+unknown AS (
+  SELECT * FROM candidate c WHERE NOT EXISTS (
+    SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.start < c.stop AND c.start < b.stop)),
+windows AS (
+  SELECT doc_id, start, m, {_MOST} AS most, unnest(generate_series(1, length(m) - {secret_scan.WINDOW - 1})) AS p FROM unknown),
+letters AS (
+  SELECT doc_id, start, most, p, unnest(string_split(substr(m, p, {secret_scan.WINDOW}), '')) AS c FROM windows),
+counted AS (SELECT doc_id, start, most, p, c, count(*) AS n FROM letters GROUP BY ALL),
+good AS (
+  SELECT doc_id, start, most, p FROM counted GROUP BY ALL
+  HAVING sum({list(secret_scan.WEIGHTS)}[n + 1]) <= most),
+added AS (
+  SELECT doc_id, {len(secret_scan.FORMS)} AS kind, start + min(p) - 1 AS start, start + max(p) - 1 + {secret_scan.WINDOW} AS stop
+  FROM good GROUP BY doc_id, good.start),
+told AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
+         count(*) FILTER (kind = 2) AS n_hex,
+         {_TOLD} FILTER (kind < {len(secret_scan.FORMS)}) AS base_spans, {_TOLD} AS spans
+  FROM (SELECT * FROM base UNION ALL SELECT * FROM added) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN told USING (doc_id)"""
+
 OP6 = """
 WITH hashed AS (
   SELECT page_id, coalesce(html, '') AS body, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
@@ -179,6 +237,7 @@ FROM raw LEFT JOIN counted USING (doc_id)"""
 def oracle_sql():
     return {
         "op3_mixing": OP3,
+        "op4_secrets": OP4,
         "op6_warc": OP6,
         "op7_near_duplicates": OP7,
         "op8_quality_rules": OP8,
