@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm import bpe, exact_index, line_templates, mixing, near_duplicates, quality, secret_scan, warc
+from veilwork.llm import bpe, exact_index, line_templates, mixing, near_duplicates, pseudonyms, quality, secret_scan, warc
 from veilwork.llm.work import fresh_path
 
 _QUERIES = {}
@@ -74,6 +74,16 @@ def op4_secrets(spark, sf_dir):
     )
 
 
+# The key of these checks only; a deployment brings its own.
+_CHECK_KEY = "key of the checks"
+
+
+@query
+def op5_pseudonyms(spark, sf_dir):
+    done = pseudonyms.pseudonymise(_table(spark, sf_dir, "documents"), _CHECK_KEY)
+    return done.select(F.col("row.doc_id").alias("doc_id"), *[f"n_{kind}" for kind in pseudonyms.KINDS], "text")
+
+
 @query
 def op6_warc(spark, sf_dir):
     path = fresh_path(spark, "archive")
