@@ -14,7 +14,8 @@ are left to the operators that find copies.  All lines of a recurring template a
 dropped from all documents.
 
 Lines travel as 64-bit hashes.  Words are compared only in leaves with two or more
-different lines, and whole texts move once, to meet the list of their dropped lines.
+different lines.  The lists of those leaves and of dropped lines per text are
+broadcast up to a number of rows; beyond it, texts are shuffled to meet them.
 """
 
 from __future__ import annotations
@@ -22,35 +23,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.llm.text import held, whole, words
-from veilwork.llm.work import written
+from veilwork.llm.text import SPACES, WORD, held, whole
+from veilwork.llm.work import hinted, written
 
 LEADING = 3
 MIN_CONTEXTS = 5
 FIXED_PERCENT = 70
 FIELD = "<*>"
+# Tables with more rows are joined by a shuffle instead of a broadcast.
+BROADCAST_LEAVES = 2_000_000
+BROADCAST_TEXTS = 500_000
 # A word with a digit; starts are tried at word starts only, so that the scan stays linear.
 _WITH_DIGIT = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
 def _fields(line: Column) -> Column:
-    """The words of a line, with words that have a digit as variable fields."""
+    """The words of a line with one space between them; words that have a digit are variable fields."""
     masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, _WITH_DIGIT, FIELD)).otherwise(line)
-    return words(masked)
+    uneven = line.contains("  ") | line.startswith(" ") | line.endswith(" ")
+    for space in "\t\x0b\x0c\r":
+        uneven = uneven | line.contains(space)
+    return F.when(uneven, F.trim(F.regexp_replace(masked, SPACES, " "))).otherwise(masked)
 
 
 def _lines(bodies: DataFrame, leading: int) -> DataFrame:
-    """``key`` and the array ``shown``: place, words, leaf and hash of every line with a word."""
+    """``key`` and the array ``shown``: place, fields, leaf and hash of every line with a word."""
     cut = held(bodies, ["key"], line=F.split("body", "\n", -1))
-    cut = held(cut, ["key"], word=F.transform("line", _fields))
-    named = F.transform(
-        "word",
-        lambda w, i: F.struct(
-            i.alias("place"), w.alias("word"),
-            F.xxhash64(F.size(w), F.slice(w, 1, leading)).alias("leaf"), F.xxhash64(w).alias("line"),
-        ),
-    )
-    return held(cut, ["key"], shown=F.filter(named, lambda x: F.size(x.getField("word")) > 0))
+    cut = held(cut, ["key"], text=F.transform("line", _fields))
+    named = F.transform("text", lambda x, i: F.struct(
+        i.alias("place"), x.alias("text"),
+        F.xxhash64(F.length(x) - F.length(F.replace(x, F.lit(" "))), F.substring_index(x, " ", leading)).alias("leaf"),
+        F.xxhash64(x).alias("line"),
+    ))
+    return held(cut, ["key"], shown=F.filter(named, lambda x: x.getField("text") != ""))
 
 
 def _placed(bodies: DataFrame, leading: int) -> DataFrame:
@@ -70,11 +75,11 @@ def _generalised(bodies: DataFrame, placed: DataFrame, leading: int, fixed_perce
     """``leaf``, ``line`` -> ``template`` for the lines that share a leaf with other lines."""
     different = placed.select("leaf", "line").distinct()
     shared = different.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1").select("leaf")
-    shared = written(shared, "leaves")
+    shared = hinted(written(shared, "leaves"), BROADCAST_LEAVES)
     texts = _lines(bodies, leading).select(F.inline(F.transform("shown", lambda x: F.struct(
-        x.getField("leaf").alias("leaf"), x.getField("line").alias("line"), x.getField("word").alias("word")))))
-    open_lines = texts.join(shared, "leaf", "left_semi")
-    open_lines = written(open_lines.groupBy("leaf", "line").agg(F.first("word").alias("word")), "lines")
+        x.getField("leaf").alias("leaf"), x.getField("line").alias("line"), x.getField("text").alias("text")))))
+    open_lines = texts.join(shared, "leaf", "left_semi").distinct()
+    open_lines = written(open_lines.select("leaf", "line", F.split("text", " ").alias("word")), "lines")
     tokens = open_lines.select("leaf", "line", F.posexplode("word").alias("at", "token"))
     fixed = tokens.groupBy("leaf", "at", "token").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     # One row per fixed word; the words of one line meet again under their line.
@@ -133,10 +138,10 @@ def drop_recurring(
     ))
     flags = held(flags, ["key"], flag=F.flatten(F.transform(
         "runs", lambda run: F.concat(F.array_repeat(F.lit(False), run), F.array(F.lit(True))))))
-    joined = packed.join(written(flags, "dropped"), "key", "left")
+    joined = packed.join(hinted(written(flags, "dropped"), BROADCAST_TEXTS), "key", "left")
     cut = held(joined, ["row", "flag"], line=F.split(whole(F.col("row").getField(text)), "\n", -1))
     kept = F.array_join(F.filter("line", lambda x, i: ~F.coalesce(F.get("flag", i), F.lit(False))), "\n")
-    filled = F.size(F.filter("line", lambda x: F.translate(x, " \t\x0b\x0c\r", "") != "")).cast("long")
+    filled = F.size(F.filter("line", lambda x: x.rlike(WORD))).cast("long")
     gone = F.coalesce(F.size(F.filter("flag", lambda x: x)), F.lit(0)).cast("long")
     return cut.select(
         "row",

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm import bpe, exact_index, line_templates, mixing, near_duplicates, pseudonyms, quality, secret_scan, warc
-from veilwork.llm.work import fresh_path
+from veilwork.llm import bpe, exact_index, line_templates, mixing, near_duplicates, pseudonyms, quality, secret_scan, toxicity, warc
+from veilwork.llm.work import fresh_path, reachable
 
 _QUERIES = {}
 
 
 def query(function):
-    _QUERIES[function.__name__] = function
-    return function
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        reachable(spark)
+        return function(spark, sf_dir)
+
+    _QUERIES[function.__name__] = run
+    return run
 
 
 def queries():
@@ -42,6 +46,18 @@ def op1_bpe(spark, sf_dir):
     )
 
 
+@query
+def op2_toxicity(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return model.score(docs).select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op3_mixing(spark, sf_dir):
     return mixing.allocate(_table(spark, sf_dir, "documents"))

@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_folder: str | None = None
 
 
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers that share this file system import the package from where it is now."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = spark.sparkContext.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
@@ -42,3 +52,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def hinted(table: DataFrame, most_rows: int) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if it has at most ``most_rows`` rows.
+
+    A larger one is joined by a shuffle, with the same result.
+    """
+    return F.broadcast(table) if table.count() <= most_rows else table
