@@ -51,7 +51,7 @@ def directory(keys: DataFrame, capacity: int = CAPACITY, depth: int = DEPTH) ->
     levels = slots.withColumn("bits", F.explode(F.sequence(F.lit(0), F.lit(depth))))
     levels = levels.withColumn("bucket", shift("slot"))
     full = levels.groupBy("bits", "bucket").agg(F.sum("load").alias("total"))
-    fitting = levels.join(full, ["bits", "bucket"]).filter((F.col("total") <= capacity) | (F.col("bits") == depth))
+    fitting = levels.join(full.hint("merge"), ["bits", "bucket"]).filter((F.col("total") <= capacity) | (F.col("bits") == depth))
     least = F.min(F.struct("bits", "bucket")).alias("least")
     return fitting.groupBy("slot").agg(least).select("slot", "least.bucket", "least.bits")
 
