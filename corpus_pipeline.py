@@ -1,10 +1,26 @@
-"""A training-text pipeline: documents through the operators of ``veilwork.llm``, stage by stage."""
+"""A training-text pipeline: documents through the operators of ``veilwork.llm``, stage by stage.
+
+Every stage works on all rows its predecessor kept and, but for the last, returns the
+columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veilwork.llm import bpe, line_templates, mixing, near_duplicates, quality
+from veilwork.llm.work import reachable, written
+
+# Similarity of near duplicates, in percent.
+NEAR = 80
+
 
-from veilwork.llm import quality
+def vocabulary() -> str:
+    """The vocabulary file of the last stage."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,16 +28,44 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.passing(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines of recurring templates; ``n_chars`` follows the text."""
+    cut = line_templates.without_recurring_lines(docs)
+    return cut.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id."""
+    return near_duplicates.representatives(docs, percent=NEAR)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mix(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document: doc_id, lang, source, n_tokens, ids."""
+    coded = bpe.Tokenizer(spark, vocabulary()).encode(docs.select("doc_id", "lang", "source", "text"), "text")
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("near duplicates", near_dedup),
+    ("source mix", mixed_sources),
+    ("tokens", encoded),
+]
+
+# Encoding cannot be written in SQL; the tests run the stages against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from veilwork.llm.work import written
-
+    """The result of the last stage over ``documents``; every other stage is written and read again."""
+    reachable(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for position, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if position < len(STAGES) - 1:
-            docs = written(docs, "stage")
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)

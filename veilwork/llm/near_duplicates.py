@@ -40,10 +40,11 @@ from veilwork.llm.arrow import pieces
 from veilwork.llm.components import components
 from veilwork.llm.shingles import shingle_sets, signatures
 from veilwork.llm.text import whole
-from veilwork.llm.work import written
+from veilwork.llm.work import hinted, written
 
 COORDINATES = 64
 MISS = 1e-7
+BROADCAST_ROWS = 1_000_000
 BLOCK_CLASSES = 512
 BLOCK_SHINGLES = 1_000_000
 # Text that is hashed at a time; a single longer text is a piece of its own.
@@ -293,6 +294,31 @@ def links(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return inside.union(across).union(remaining).filter("not pivot").select("a", "b")
 
 
+def _described(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Texts with their digest, and one narrow row per document with its set and signature."""
+    rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), whole(text).alias("text"))
+    texts = rows.select(F.unhex(F.md5("text")).alias("text_key"), "text", "doc_id")
+    schema = "doc_id bigint, text_key binary, n_shingles bigint, set_key binary, signature array<int>"
+    return texts.drop("doc_id"), written(texts.mapInArrow(_describe, schema), "described")
+
+
+def _components_of(texts: DataFrame, described: DataFrame, percent: int) -> DataFrame:
+    """The described rows with ``component_id``."""
+    classes = described.filter("n_shingles > 0").groupBy("set_key").agg(
+        F.min("doc_id").alias("smallest"), F.min("text_key").alias("text_key"),
+        F.min("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"),
+    )
+    classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    joined = components(links(classes, texts, percent)).withColumnRenamed("node", "class")
+    labelled = classes.join(joined, "class", "left").select(
+        "set_key", "smallest", F.coalesce("label", F.col("class")).alias("label"))
+    smallest = labelled.groupBy("label").agg(F.min("smallest").alias("component_id"))
+    found = written(labelled.join(smallest, "label").select("set_key", "component_id"), "found")
+    result = described.drop("signature").join(found, "set_key", "left")
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return result.withColumn("component_id", own).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """Per row: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -304,24 +330,21 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
     that repeat an id and its text are kept together.  Other columns are not read; an
     empty table gives an empty result.
     """
-    body = whole(text)
-    rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), body.alias("text"))
-    texts = rows.select(F.unhex(F.md5("text")).alias("text_key"), "text", "doc_id")
-    schema = "doc_id bigint, text_key binary, n_shingles bigint, set_key binary, signature array<int>"
-    described = written(texts.mapInArrow(_describe, schema), "described")
-    classes = described.filter("n_shingles > 0").groupBy("set_key").agg(
-        F.min("doc_id").alias("smallest"), F.min("text_key").alias("text_key"),
-        F.min("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"),
-    )
-    classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
-    joined = components(links(classes, texts.drop("doc_id"), percent)).withColumnRenamed("node", "class")
-    labelled = classes.join(joined, "class", "left").select(
-        "set_key", "smallest", F.coalesce("label", F.col("class")).alias("label"))
-    smallest = labelled.groupBy("label").agg(F.min("smallest").alias("component_id"))
-    found = labelled.join(smallest, "label").select("set_key", "component_id")
-    empty = F.col("n_shingles") == 0
-    result = described.drop("signature", "text_key").join(written(found, "found"), "set_key", "left")
-    result = result.withColumn("component_id", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")))
-    return result.select(
-        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
-    )
+    texts, described = _described(df, doc_id, text)
+    return _components_of(texts, described, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
+    """The rows of ``df`` that ``groups`` keeps, with its columns.
+
+    The narrow list of the others is broadcast up to ``BROADCAST_ROWS`` rows and joined
+    by a shuffle beyond.
+    """
+    texts, described = _described(df, doc_id, text)
+    gone = _components_of(texts, described, percent).filter("not kept")
+    gone = hinted(written(gone.select(F.col("doc_id").alias("gone_id"), "text_key").distinct(), "gone"), BROADCAST_ROWS)
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    row = F.col("row")
+    packed = packed.select("row", F.unhex(F.md5(whole(row.getField(text)))).alias("key"))
+    same = (F.col("key") == F.col("text_key")) & row.getField(doc_id).cast("long").eqNullSafe(F.col("gone_id"))
+    return packed.join(gone, same, "left_anti").select(*[row.getField(c).alias(c) for c in df.columns])

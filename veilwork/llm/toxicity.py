@@ -178,18 +178,22 @@ class Model:
     def score(self, df: DataFrame, text: str = "text") -> DataFrame:
         """``df`` without ``text`` and with ``score``; null and empty texts are scored too.
 
+        A column of ``df`` named ``score`` is replaced.  Rows are scored one by one, so
+        repeated rows get equal scores; an empty table gives an empty result.
+
         Without labels to learn from, every score is 0.
         """
-        rated = with_features(df, text, self.entries)
+        names = [c for c in df.columns if c not in (text, "score")]
+        # Own names inside, so that no column of ``df`` can clash.
+        inner = df.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], F.col(f"`{text}`").alias("_body"))
+        rated = with_features(inner, "_body", self.entries)
+        outer = [F.col(f"_{i}").alias(c) for i, c in enumerate(names)]
         if self.trees is None:
-            return rated.drop("rates").withColumn("score", F.lit(0.0))
+            return rated.select(*outer, F.lit(0.0).alias("score"))
         vectors = rated.withColumn("_features", array_to_vector("rates")).drop("rates")
         margins = self.trees.transform(vectors).withColumn("_margin", vector_to_array("_raw").getItem(1))
         scored = self.scale.transform(margins)
-        return scored.select(
-            *[F.col(f"`{c}`") for c in rated.columns if c != "rates"],
-            F.least(F.greatest("_score", F.lit(0.0)), F.lit(1.0)).alias("score"),
-        )
+        return scored.select(*outer, F.least(F.greatest("_score", F.lit(0.0)), F.lit(1.0)).alias("score"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Model:
