@@ -8,6 +8,10 @@ is stored, and back-pointers give the ids.  Whether one token may follow another
 is a test on the pair alone: undo the later of their merges step by step and see
 that no earlier merge would have joined across the seam.  The work is linear in
 the length of a word, however long it is.
+
+Letters, numbers and cases are those of Python's Unicode tables (15.1 with Python
+3.13); a character that a later version of Unicode added counts as neither letter
+nor number.
 """
 
 from __future__ import annotations
@@ -21,7 +25,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +36,10 @@ _WHITE = "\t-\r \x85\xa0  -     　"
 _NOT_WHITE = re.compile(f"[^{_WHITE}]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
+# How words are cut into pieces (fixed values).
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SUFFIXES = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+
 CACHED_CHUNKS = 350_000
 CACHED_PAIRS = 250_000
 CACHED_LENGTH = 64
@@ -45,6 +52,27 @@ def _byte_symbols() -> list[str]:
     return [chr(b) if b in printable else chr(next(free)) for b in range(256)]
 
 
+def _kind(char: str) -> str:
+    return "L" if char.isalpha() else unicodedata.category(char)[0].replace("L", "P")
+
+
+def _pieces(chunk: str) -> Iterator[str]:
+    """The matches of ``PIECES``, one after another, in a run without white space."""
+    start = 0
+    while start < len(chunk):
+        end = next((start + len(s) for s in SUFFIXES if chunk.startswith(s, start)), 0)
+        if not end:
+            kind, end = _kind(chunk[start]), start + 1
+            if kind == "L":
+                while end < len(chunk) and _kind(chunk[end]) == "L":
+                    end += 1
+            elif kind != "N":
+                while end < len(chunk) and _kind(chunk[end]) not in "LN":
+                    end += 1
+        yield chunk[start:end]
+        start = end
+
+
 class Vocabulary:
     """A vocabulary with word ends, from the JSON of the ``tokenizers`` library.
 
@@ -73,7 +101,8 @@ class Vocabulary:
         self.final = [ids[s + suffix] for s in symbols]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pieces = regex.compile(pattern["pattern"]["Regex"].replace(r"[^\s", f"[^{_WHITE}"))
+        if pattern["pattern"]["Regex"] != PIECES:
+            raise ValueError(f"pieces other than {PIECES} are not known")
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len)[::-1])) + ")")
         self._memo: dict[int, bool] = {}
         self._build(size)
@@ -177,7 +206,7 @@ class Vocabulary:
 
     def encode_chunk(self, chunk: str) -> list[int]:
         """Ids of a lower-case run without white space."""
-        return [i for piece in self.pieces.findall(chunk) for i in self.encode_piece(piece)]
+        return [i for piece in _pieces(chunk) for i in self.encode_piece(piece)]
 
     def encode_piece(self, piece: str) -> list[int]:
         data = piece.encode()
@@ -332,6 +361,9 @@ class _Source:
 def _mapped(df: DataFrame, argument: Column, new: dict[str, str], batches) -> DataFrame:
     """``df`` with the columns ``new`` (name -> type) that ``batches`` makes of ``argument``."""
     kept = [c for c in df.columns if c not in new]
-    fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept]
+    # Own names inside, so that no column of ``df`` can clash.
+    inner = [f"_{i}" for i in range(len(kept))]
+    fields = [f"{n} {df.schema[c].dataType.simpleString()}" for n, c in zip(inner, kept, strict=True)]
     schema = ", ".join(fields + [f"`{name}` {kind}" for name, kind in new.items()])
-    return df.select(*[F.col(f"`{c}`") for c in kept], argument.alias("_argument")).mapInArrow(batches, schema)
+    columns = [F.col(f"`{c}`").alias(n) for n, c in zip(inner, kept, strict=True)]
+    return df.select(*columns, argument.alias("argument")).mapInArrow(batches, schema).toDF(*kept, *new)
