@@ -9,14 +9,18 @@ each round are written to the shared folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from veilwork.llm.work import written
 
 
-def _state(edges: DataFrame):
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _stored(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, written, and a summary of them that tells whether a round changed anything."""
+    seen = Observation()
+    summary = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")
+    table = written(edges.observe(seen, F.count(F.lit(1)).alias("n"), summary), "edges")
+    return table, (seen.get.get("n"), seen.get.get("s"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,19 +30,19 @@ def components(edges: DataFrame) -> DataFrame:
     to another node are not in the result; an empty table gives an empty result.
     """
     current = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    current = written(current, "edges")
-    before = _state(current)
-    while True:
+    current, before = _stored(current)
+    while before[0]:
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # The minima are stored, so that the join with them can split hot nodes.
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = written(least, "minima")
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = written(large, "edges")
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(small, "a")
-        current = moved.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        current = written(current.union(moved.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        after = _state(current)
+        small = written(large.groupBy("a").agg(F.min("b").alias("m")), "minima")
+        moved = large.join(small, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        current, after = _stored(moved.union(small.select("a", F.col("m").alias("b"))).distinct())
         if after == before:
-            labels = current.select(F.col("a").alias("node"), F.col("b").alias("label"))
-            return labels.union(current.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+            break
         before = after
+    labels = current.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    return labels.union(current.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

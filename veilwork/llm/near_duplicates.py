@@ -183,20 +183,20 @@ def _packed(links: list[tuple]) -> pa.RecordBatch:
 
 
 def _within_blocks(matches: int, percent: int):
-    """Links that connect the classes of a block, and one row (x, x, true) that names its pivot."""
+    """(class, smallest class that links inside its block connect it with); (x, x, true) names the pivot."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, ["cluster", "block"]):
-            members, links, degree = _Members(rows), [], defaultdict(int)
+            members, degree = _Members(rows), defaultdict(int)
             for at, row in enumerate(rows):
                 for other in members.collisions(row, matches, percent).tolist():
                     mine, theirs = members.find(row["label"]), members.find(rows[other]["label"])
                     if mine != theirs and members.linked(row, other, percent):
                         members.root[max(mine, theirs)] = min(mine, theirs)
-                        links.append((row["class"], rows[other]["class"], False))
                         degree[at] += 1
                         degree[other] += 1
                 members.post(at)
+            links = [(r["class"], members.find(r["label"]), False) for r in rows if members.find(r["label"]) != r["class"]]
             if rows[0]["blocks"] > 1:
                 pivot = rows[max(range(len(rows)), key=lambda at: (degree[at], -at))]["class"]
                 links.append((pivot, pivot, True))
@@ -207,7 +207,7 @@ def _within_blocks(matches: int, percent: int):
 
 
 def _against_probes(matches: int, percent: int):
-    """Links between the probes of a group and the members of its block."""
+    """Pairs of labels that links between the probes of a group and the members of its block connect."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, ["cluster", "target", "chunk"]):
@@ -222,21 +222,21 @@ def _against_probes(matches: int, percent: int):
                     mine, theirs = members.find(row["label"]), members.find(rows[other]["label"])
                     if mine != theirs and members.linked(row, other, percent):
                         members.root[max(mine, theirs)] = min(mine, theirs)
-                        links.append((row["class"], rows[other]["class"], False))
+                        links.append((row["label"], rows[other]["label"], False))
             if links:
                 yield _packed(links)
 
     return work
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """``members`` with ``label``: the smallest class that the links connect a class with."""
-    found = components(links.select("a", "b")).withColumnRenamed("node", "class")
-    return members.drop("label").join(found, "class", "left").withColumn("label", F.coalesce("label", F.col("class")))
+def _relabelled(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``members`` with labels that the pairs connect made equal."""
+    found = components(pairs).select(F.col("node").alias("label"), F.col("label").alias("new"))
+    return members.join(found, "label", "left").withColumn("label", F.coalesce("new", "label")).drop("new")
 
 
 def _probed(members: DataFrame, probes: DataFrame, matches: int, percent: int) -> DataFrame:
-    """Links of ``probes`` with the members of all other blocks of their cluster.
+    """Pairs of labels from links of ``probes`` with the members of all other blocks of their cluster.
 
     Members of a block meet the probes of a cluster in chunks, so a task holds one
     block and one chunk.
@@ -255,8 +255,8 @@ def _probed(members: DataFrame, probes: DataFrame, matches: int, percent: int) -
     return sorted_rows.mapInArrow(_against_probes(matches, percent), _LINKS_DDL)
 
 
-def links(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect exactly the classes that full links connect.
+def connected(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """``class`` -> ``label``: the smallest class that links connect it with, where that is another one.
 
     ``classes``: class, text_key, n_shingles, signature; ``texts``: text_key, text.
     """
@@ -280,18 +280,21 @@ def links(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     members = written(members, "members")
     blocked = members.repartition("cluster", "block").sortWithinPartitions("cluster", "block", "class")
     inside = written(blocked.mapInArrow(_within_blocks(matches, percent), _LINKS_DDL), "links")
+    stars = inside.filter("not pivot").select(F.col("a").alias("class"), F.col("b").alias("label"))
     large = members.filter("blocks > 1")
     if large.isEmpty():
-        return inside.filter("not pivot").select("a", "b")
-    pivots = inside.filter("pivot").select(F.col("a").alias("class"))
-    known = written(_labelled(large, inside), "labelled")
-    across = written(_probed(known, known.join(pivots, "class", "left_semi"), matches, percent), "links")
-    known = written(_labelled(large, inside.union(across)), "labelled")
-    counts = known.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+        return stars
+    known = large.drop("label").join(stars, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    known = written(known, "labelled")
+    pivots = known.join(inside.filter("pivot").select(F.col("a").alias("class")), "class", "left_semi")
+    across = written(_probed(known, pivots, matches, percent), "links").select("a", "b")
+    joined = written(_relabelled(known, across), "labelled")
+    counts = joined.groupBy("cluster", "label").agg(F.count("*").alias("n"))
     most = counts.groupBy("cluster").agg(F.max(F.struct("n", "label")).getField("label").alias("most"))
-    rest = known.join(most, "cluster").filter("label <> most").drop("most")
-    remaining = written(_probed(known, rest, matches, percent), "links")
-    return inside.union(across).union(remaining).filter("not pivot").select("a", "b")
+    rest = joined.join(most, "cluster").filter("label <> most").drop("most")
+    remaining = written(_probed(joined, rest, matches, percent), "links").select("a", "b")
+    first = known.select("class", "label").union(stars.join(known, "class", "left_anti"))
+    return _relabelled(first, across.union(remaining)).filter("class <> label").select("class", "label")
 
 
 def _described(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -309,8 +312,7 @@ def _components_of(texts: DataFrame, described: DataFrame, percent: int) -> Data
         F.min("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"),
     )
     classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
-    joined = components(links(classes, texts, percent)).withColumnRenamed("node", "class")
-    labelled = classes.join(joined, "class", "left").select(
+    labelled = classes.join(connected(classes, texts, percent), "class", "left").select(
         "set_key", "smallest", F.coalesce("label", F.col("class")).alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("smallest").alias("component_id"))
     found = written(labelled.join(smallest, "label").select("set_key", "component_id"), "found")
