@@ -18,7 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from veilwork.operators import integrity, jury, policy, reports  # noqa: E402
 from veilwork.plans import audit_report, corpus  # noqa: E402
 from veilwork.plans import requests as flows  # noqa: E402
-from veilwork.session import build_session, spread_small_input  # noqa: E402
+from veilwork.session import build_session  # noqa: E402
 from veilwork.streaming import jobs  # noqa: E402
 from verification import catalogue, seeds, tables  # noqa: E402
 
@@ -27,7 +27,7 @@ def headline(spark, sf_dir):
     """name -> job; a job returns the DataFrame to run."""
 
     def scan(name):
-        return spread_small_input(tables.table(spark, sf_dir, name))
+        return tables.table(spark, sf_dir, name)
 
     def prompts():
         return tables.derived(spark, seeds.PROMPTS, events=scan("events"))
@@ -44,7 +44,7 @@ def headline(spark, sf_dir):
     return {
         "jury_prompts": lambda: jury.redaction_jury(prompts()),
         "sanitize_prompts": lambda: flows.sanitize(prompts()),
-        "authorized_prompts": lambda: policy.authorized(prompts()),
+        "authorized_prompts": lambda: catalogue.authorized_prompts(spark, sf_dir),
         "corpus_jury": lambda: corpus.corpus_jury(texts()),
         "corpus_findings": lambda: corpus.corpus_findings(texts(), ["collection", "row_key"]),
         "corpus_profile": lambda: reports.tool_by_input_type(jury.scores_only(scan("documents"), "text"), "lang", "source"),
@@ -54,6 +54,7 @@ def headline(spark, sf_dir):
         "audit_report": lambda: audit_report.audit_report(tables.tamper(signed()), tables.keys(spark), tables.AS_OF),
         "audit_dedup": lambda: catalogue.audit_dedup(spark, sf_dir),
         "tool_win_rate": lambda: reports.tool_win_rate(jury.scores_only(prompts())),
+        "authorized_compiled": lambda: policy.authorized(prompts()),
         "stream_sanitize": lambda: jobs.run_once(
             spark, flows.sanitize(tables.derived(spark, seeds.PROMPTS, events=tables.event_stream(spark, sf_dir))), "bench"
         ),
@@ -72,9 +73,12 @@ def main() -> None:
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "8g",
+            "spark.sql.files.maxPartitionBytes": "4m",
+            "spark.sql.files.openCostInBytes": "256k",
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
+    tables.use_local_folder(spark)
     timings = {}
     for name, job in headline(spark, sf_dir).items():
         runs = []

@@ -61,7 +61,7 @@ def test_signature_equals_standard_library(spark):
         ROW | {"id": 3, "count_id": None, "winning_tool": None, "metadata": "{}", "message": None},
     ]
     for key_id, key in KEYS.items():
-        signed = integrity.sign(_frame(spark, *rows), keyring(spark, KEYS), key_id).orderBy("id").collect()
+        signed = integrity.sign(_frame(spark, *rows), keyring(spark, KEYS), key_id, integrity.PAYLOAD_V1).orderBy("id").collect()
         assert [r.signature for r in signed] == [_python_signature(row, key) for row in rows]
 
 
@@ -98,6 +98,44 @@ def test_missing_signature_wrong_key_and_rotation(spark):
         keyring(spark, {})
 
 
+def test_signatures_do_not_depend_on_the_session(spark):
+    ring = keyring(spark, KEYS)
+    missing_hour = _frame(spark, ROW | {"ts": datetime(2024, 3, 10, 2, 30)}, ROW | {"ts": datetime(2024, 3, 10, 2, 30, 0, 120)})
+    signed = [tuple(r) for r in integrity.sign(missing_hour, ring, "old").select("ts", "signature").collect()]
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        again = integrity.sign(missing_hour, ring, "old")
+        assert [tuple(r) for r in again.select("ts", "signature").collect()] == signed
+        assert integrity.integrity_rollup(integrity.verify(again, ring)).first().integrity_ok
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_upgraded_tables_can_be_verified(spark):
+    ring = keyring(spark, KEYS)
+    new = integrity.sign(_frame(spark, ROW), ring, "new")
+    old = integrity.sign(_frame(spark, ROW | {"id": 2}), ring, "old", integrity.PAYLOAD_V1).drop("key_id", "payload_version")
+    table = events.to_audit_schema(events.audit_schema_union(old, new))
+    assert [r.valid for r in integrity.verify(table, ring, key_id="old").collect()] == [True, True]
+    assert sorted(r.valid for r in integrity.verify(table, ring).collect()) == [False, True]
+
+
+def test_ids_tell_events_apart_and_times_order_them(spark):
+    rows = [ROW | {"id": 0, "request_id": None, "message": m, "ts": datetime(2024, 1, d)} for m, d in (("a", 3), ("b", 1), ("c", 2))]
+    built = events.log_to_audit(_frame(spark, *rows).drop("id"))
+    assert built.select("id").distinct().count() == 3 and built.filter("id < 0").count() == 0
+    assert reports.latest_event(built).first().message == "a"
+    assert [r.message for r in reports.sample_events(built, ROW["event_type"]).collect()] == ["b", "c", "a"]
+
+
+def test_parsed_log_lines_become_audit_rows(spark, sf_dir):
+    seed = tables.audit_seed(spark, sf_dir)
+    stored = events.log_to_audit(logs.read_log_lines(logs.event_log_json(seed)))
+    assert {(r.ts, r.message) for r in stored.collect()} == {(r.ts, r.message) for r in events.priority_events(seed).collect()}
+    epoch = spark.createDataFrame([(1710037800.25, "x", fv.DENIED, "r", "u", "e")], "created double, message string, event_type string, request_id string, user_role string, endpoint string")
+    assert events.log_to_audit(epoch).first().ts == datetime(2024, 3, 10, 2, 30, 0, 250_000)
+
+
 def test_keys_stay_out_of_plans(spark):
     signed = integrity.sign(_frame(spark, ROW), keyring(spark, KEYS), "old")
     plan = signed._jdf.queryExecution().toString()
@@ -138,7 +176,7 @@ def test_older_tables_read_in_todays_columns(spark, sf_dir):
     legacy = tables.legacy(spark, sf_dir)
     assert events.missing_columns(legacy) == [c for c in AUDIT_EVENT.fieldNames() if c in ADDED_LATER]
     upgraded = events.to_audit_schema(legacy)
-    assert upgraded.schema.fieldNames() == AUDIT_EVENT.fieldNames()
+    assert upgraded.schema.fieldNames() == AUDIT_EVENT.fieldNames() + ["key_id", "payload_version"]
     assert upgraded.filter(" OR ".join(f"{c} IS NOT NULL" for c in ADDED_LATER)).count() == 0
     with pytest.raises(ValueError):
         events.to_audit_schema(legacy.drop("message"))
@@ -164,10 +202,14 @@ def test_append_read_and_prune(spark, sf_dir):
 def test_deduplicate_with_one_very_common_key(spark):
     rows = [ROW | {"id": i, "request_id": "hot", "message": "same"} for i in range(500)]
     rows += [ROW | {"id": 1000 + i, "request_id": f"r{i % 20}"} for i in range(100)]
-    out = events.deduplicate(_frame(spark, *rows).repartition(8)).collect()
-    assert len(out) == 21
-    assert {r.request_id: r.id for r in out}["hot"] == 0
-    assert {r.request_id: r.id for r in out}["r7"] == 1007
+    rows += [ROW | {"id": 2000 + i, "request_id": None} for i in range(3)]  # cannot be told to be copies
+    rows += [ROW | {"id": 3000, "request_id": "r7", "message": "another event"}, ROW | {"id": 3001, "request_id": "r7", "user_role": "x"}]
+    out = events.deduplicate(_frame(spark, *rows).repartition(8))
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+    kept = out.collect()
+    assert len(kept) == 26
+    assert {r.request_id: r.id for r in kept}["hot"] == 0
+    assert sorted(r.id for r in kept if r.request_id == "r7") == [1007, 3000, 3001]
 
 
 def test_denied_and_jury_events(spark):
@@ -276,6 +318,9 @@ def test_token_usage_ignores_unreadable_messages(spark):
         {"ts": F.lit("2024-01-01").cast("timestamp_ntz"), "user_role": F.lit("admin")}
     )
     assert reports.token_usage(events.token_events(answers)).first().total_tokens == 5
+    usage = answers.withColumn("usage", F.create_map(F.lit("prompt_tokens"), F.lit(3), F.lit("total_tokens"), F.col("total_tokens")))
+    told = [r.message.partition("{")[2] for r in events.token_events(usage.drop("total_tokens")).orderBy("request_id").collect()]
+    assert told == ["'prompt_tokens': 3, 'total_tokens': 5}", "'prompt_tokens': 3}"]
 
 
 def test_audit_rows_of_log_records(spark):

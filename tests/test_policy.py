@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import plain
 from veilwork import fixed_values as fv
 from veilwork.operators import policy
@@ -46,9 +48,11 @@ def test_lookup_join_beyond_the_broadcast_bound(spark):
     # One key holds most of the facts; the lookup is over the bound of 1 row.
     facts = spark.createDataFrame([(i, "hot" if i % 10 else f"k{i % 50}") for i in range(1000)], "n int, k string")
     lookup = spark.createDataFrame([("hot", 1), ("hot", 2), ("k0", 3), ("absent", 4)], "k string, v int")
-    assert not fits_broadcast(lookup, 1) and fits_broadcast(lookup, 4)
+    # The size of rows that come from Python is not known, that of literals is.
+    assert not fits_broadcast(lookup) and fits_broadcast(reference_data.role_table(spark))
+    facts = facts.withColumn("m", F.create_map(F.lit("a"), F.col("n")))
     for how in ("inner", "left", "left_semi", "left_anti"):
-        salted = lookup_join(facts, lookup, "k", how, max_rows=1, salts=7)
+        salted = lookup_join(facts, lookup, "k", how, salts=7)
         plan = salted._jdf.queryExecution().optimizedPlan().toString()
         assert "_salt" in plan
         expected = facts.join(lookup, "k", how)
@@ -60,10 +64,30 @@ def test_lookup_join_beyond_the_broadcast_bound(spark):
 def test_policy_read_from_tables(spark):
     roles = spark.createDataFrame([("guest", "leak", 0), ("guest", "spy", 1)], "role string, intent string, ord int")
     words = spark.createDataFrame([("leak", "dump"), ("spy", "watch")], "intent string, keyword string")
-    rules = reference_data.read_policy(roles, words)
-    frame = spark.createDataFrame([("Guest", "watch and DUMP"), ("guest", "hi"), ("client", "hi")], "role string, prompt string")
-    rows = policy.with_decision(frame, rules).collect()
-    assert [(r.authorized, r.forbidden_intents) for r in rows] == [(False, "leak;spy"), (True, None), (False, None)]
+    roles = roles.union(spark.createDataFrame([("visitor", None, None)], "role string, intent string, ord int"))
+    known, rules = reference_data.read_policy(roles, words)
+    asked = [("Guest", "watch and DUMP"), ("guest", "hi"), ("client", "hi"), ("visitor", "dump")]
+    frame = spark.createDataFrame(asked, "role string, prompt string")
+    passed = policy.without_forbidden_keywords(frame, known, rules).collect()
+    assert sorted((r.role, r.prompt) for r in passed) == [("guest", "hi"), ("visitor", "dump")]
+
+
+def test_a_policy_too_large_to_broadcast(spark):
+    rng = random.Random(9)
+    keywords = ["".join(rng.choice("abcdef") for _ in range(rng.choice([1, 2, 5, 6]))) for _ in range(100_000)]
+    keywords = [k for k in keywords if len(k) > 2][:99_990] + ["zq", "y"]
+    rules = spark.createDataFrame([("client", "i", 0, k) for k in dict.fromkeys(keywords)], "role string, intent string, ord int, keyword string")
+    known = spark.createDataFrame([("client",), ("admin",)], "role string")
+    texts = ["Hello there", "xx zq", "sky", "abcdef fedcba", "", "a b c d"] + ["".join(rng.choice("abcxwv ") for _ in range(30)) for _ in range(60)]
+    rows = [(i, role, t) for i, (t, role) in enumerate((t, r) for t in texts for r in ("client", "admin", "other"))]
+    frame = spark.createDataFrame(rows, "n int, role string, prompt string")
+    words = set(keywords)
+    passed = {i for i, role, t in rows if t and (role == "admin" or role == "client" and not any(k in t.lower() for k in words))}
+    assert not fits_broadcast(rules)
+    assert {r.n for r in policy.without_forbidden_keywords(frame, known, rules).collect()} == passed
+    hits = {r.keyword: r.requests for r in policy.keyword_hits(frame, rules).filter("requests > 0").collect()}
+    expected = {k: sum(k in t.lower() for i, role, t in rows if role == "client") for k in words}
+    assert hits == {k: n for k, n in expected.items() if n}
 
 
 def test_keyword_hits_keep_unused_keywords(spark):

@@ -64,7 +64,7 @@ LOCATIONS = [
 # --- Fixed values: patterns of detector A (strict) and detector C (loose) ---
 STRICT_ID = r"\b\d{2}(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])-?\d{2}-?\d{4}\b"
 STRICT_PHONE = r"\b(?:\+?6?01)[0-46-9]-*[0-9]{7,8}\b"
-STRICT_EMAIL = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9.-]+"
+STRICT_EMAIL = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
 LOOSE_ID = r"\b\d{2}[-/]?\d{2}[-/]?\d{2}[-/]?\d{2}[-/]?\d{4}\b"
 LOOSE_PHONE = r"\b(?:\+?6?01\d{1}[-\s]?\d{3,4}[-\s]?\d{3,4}|[0-9]{10,11})\b"
 LOOSE_EMAIL = r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b"
@@ -94,8 +94,7 @@ REPORT_HOURS = 24
 
 # --- Fixed values: message texts ---
 GATE_DENIED_MESSAGE = "[LLM_PROXY] Attempt to forward prompt containing PII; rejected"
-DENIED_MESSAGE_ROLE = "Denied access attempt: role="
-DENIED_MESSAGE_PROMPT = " prompt="
+DENIED_MESSAGE = "Denied access attempt: role=%s prompt=%s"
 TOKEN_USAGE_PREFIX = "[LLM_PROXY] Token usage: "
 JURY_MESSAGE_PREFIX = "PII detected and redacted using Redaction Jury. Winner: Tool "
 

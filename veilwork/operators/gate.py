@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilwork import fixed_values as fv
 from veilwork.functions.masking import has_strict_pii
 from veilwork.functions.once import evaluated_once
-from veilwork.sources.requests import body_is_valid
+from veilwork.sources.requests import is_text, json_body
 
 
 def generate_gate(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -20,23 +20,19 @@ def generate_gate(lines: DataFrame, value: str = "value") -> DataFrame:
     """
     body = lines.select(
         "*",
-        body_is_valid(F.col(value)).alias("_valid"),
+        json_body(F.col(value), "sanitized_prompt", "provider", "model").alias("_body"),
         F.json_object_keys(F.col(value)).alias("_keys"),
-        F.try_parse_json(F.col(value)).alias("_json"),
     )
-    prompt = F.try_variant_get("_json", "$.sanitized_prompt", "variant")
-    is_text = F.coalesce(F.schema_of_variant(prompt) == "STRING", F.lit(False))
+    text_of = lambda name: F.try_variant_get(F.col(f"_body.{name}"), "$", "string")
     has_provider = F.coalesce(F.array_contains("_keys", "provider"), F.lit(False))
     fields = body.select(
         *lines.columns,
-        "_valid",
-        F.when(F.col("_valid") & is_text, F.try_variant_get("_json", "$.sanitized_prompt", "string")).alias(
-            "sanitized_prompt"
-        ),
-        F.when(has_provider, F.try_variant_get("_json", "$.provider", "string"))
-        .when(F.col("_valid"), F.lit(fv.DEFAULT_PROVIDER))
+        F.col("_body").isNotNull().alias("_valid"),
+        F.when(is_text(F.col("_body.sanitized_prompt")), text_of("sanitized_prompt")).alias("sanitized_prompt"),
+        F.when(has_provider, text_of("provider"))
+        .when(F.col("_body").isNotNull(), F.lit(fv.DEFAULT_PROVIDER))
         .alias("provider"),
-        F.try_variant_get("_json", "$.model", "string").alias("model"),
+        text_of("model").alias("model"),
     )
     text = F.col("sanitized_prompt")
     reason = (

@@ -18,11 +18,12 @@ from veilwork.session import lookup_join
 PAYLOAD_V1, PAYLOAD_V2 = 1, 2
 
 
-def with_payload(df: DataFrame, version: int = PAYLOAD_V1) -> DataFrame:
+def with_payload(df: DataFrame, version: int | Column = PAYLOAD_V1) -> DataFrame:
     """Add ``_payload``, the signed text of a row: canonical JSON of its fields.
 
     Signing and verifying share it, so they cannot disagree.  Version 2 also
-    covers the id, the key id and the three tool counts.
+    covers the id, the key id and the three tool counts.  The version may differ
+    from row to row; one that is not known has no payload.
     """
     intents = F.split(F.nullif(F.col("forbidden_intents"), F.lit("")), ";")
     members = {
@@ -35,40 +36,54 @@ def with_payload(df: DataFrame, version: int = PAYLOAD_V1) -> DataFrame:
         "metadata": canonical.json_value(F.col("metadata")),
         "ts": iso_time(F.col("ts")),
     }
-    if version == PAYLOAD_V2:
-        members |= {name: F.col(name) for name in ("id", "key_id", "tool_a_counts", "tool_b_counts", "tool_c_counts")}
-    elif version != PAYLOAD_V1:
-        raise ValueError(f"unknown payload version {version}")
-    ordered = F.struct(*[members[name].alias(name) for name in sorted(members)])
-    written = df.select("*", F.to_json(ordered, {"ignoreNullFields": "false"}).alias("_json"))
+    added = {name: F.col(name) for name in ("id", "key_id", "tool_a_counts", "tool_b_counts", "tool_c_counts")}
+
+    def told(fields: dict[str, Column]) -> Column:
+        ordered = F.struct(*[fields[name].alias(name) for name in sorted(fields)])
+        return F.to_json(ordered, {"ignoreNullFields": "false"})
+
+    if isinstance(version, int):
+        if version not in (PAYLOAD_V1, PAYLOAD_V2):
+            raise ValueError(f"unknown payload version {version}")
+        text = told(members if version == PAYLOAD_V1 else members | added)
+    else:
+        text = F.when(version == PAYLOAD_V1, told(members)).when(version == PAYLOAD_V2, told(members | added))
+    written = df.select("*", text.alias("_json"))
     return written.select(*df.columns, canonical.ascii_json(F.col("_json")).alias("_payload"))
 
 
-def _with_expected(df: DataFrame, keyring: DataFrame, key_id: str | None, version: int, out: str) -> DataFrame:
-    rows = df if "key_id" in df.columns else df.withColumn("key_id", F.lit(key_id))
-    signed_text = with_payload(rows, version)
-    joined = lookup_join(signed_text, keyring, "key_id", "left")
+def _with_signature(rows: DataFrame, keyring: DataFrame, version: int | Column, out: str) -> DataFrame:
+    # The keyring is one local row per key.
+    joined = lookup_join(with_payload(rows, version), keyring, "key_id", "left", small=True)
     signature = canonical.hmac_sha256(F.col("facts._payload"), F.col("lookup.ipad"), F.col("lookup.opad"))
     return joined.select(*[F.col(f"facts.{name}") for name in rows.columns], signature.alias(out))
 
 
-def sign(df: DataFrame, keyring: DataFrame, key_id: str | Column, version: int = PAYLOAD_V1) -> DataFrame:
-    """Add ``key_id`` and ``signature`` to unsigned audit rows.
+def sign(df: DataFrame, keyring: DataFrame, key_id: str | Column, version: int = PAYLOAD_V2) -> DataFrame:
+    """Add ``key_id``, ``payload_version`` and ``signature`` to unsigned audit rows.
 
     ``key_id`` is one key's name, or a column where keys have been rotated.
     """
     key = key_id if isinstance(key_id, Column) else F.lit(key_id)
-    unsigned = df.drop("signature").withColumn("key_id", key)
-    return _with_expected(unsigned, keyring, None, version, "signature")
+    unsigned = df.drop("signature").withColumns({"key_id": key, "payload_version": F.lit(version)})
+    return _with_signature(unsigned, keyring, version, "signature")
 
 
 def verify(df: DataFrame, keyring: DataFrame, key_id: str | None = None, version: int = PAYLOAD_V1) -> DataFrame:
     """Add ``expected_signature`` and ``valid``.
 
     A missing signature, an unknown key and a wrong signature are all invalid.
-    ``key_id`` names the key of tables that store none.
+    ``key_id`` and ``version`` hold for rows that store none, as rows from before
+    they were stored.
     """
-    checked = _with_expected(df, keyring, key_id, version, "expected_signature")
+    stored = lambda name, kind: F.col(name) if name in df.columns else F.lit(None).cast(kind)
+    rows = df.withColumns(
+        {
+            "key_id": F.coalesce(stored("key_id", "string"), F.lit(key_id).cast("string")),
+            "payload_version": F.coalesce(stored("payload_version", "int"), F.lit(version)),
+        }
+    )
+    checked = _with_signature(rows, keyring, F.col("payload_version"), "expected_signature")
     matches = F.col("signature") == F.col("expected_signature")
     return checked.withColumn("valid", F.coalesce(matches, F.lit(False)))
 

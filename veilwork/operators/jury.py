@@ -82,10 +82,20 @@ def winner_count(slot: str, detectors=DETECTORS) -> Column:
 
 
 def winner_score(detectors=DETECTORS) -> Column:
-    """The highest score of the row; positive exactly where text was masked."""
+    """The highest score of the row."""
     return F.expr(_best(detectors))
 
 
+def was_masked(text: str = "prompt") -> Column:
+    """The jury changed the text: judged by the text itself, whatever the scores and weights."""
+    return ~F.col("sanitized").eqNullSafe(F.coalesce(F.col(text), F.lit("")))
+
+
+def redacted_only(judged: DataFrame, text: str = "prompt") -> DataFrame:
+    """Rows of ``redaction_jury`` results whose text was changed."""
+    return judged.filter(was_masked(text) & F.col(text).isNotNull())
+
+
 def consensus(df: DataFrame, text: str = "prompt", detectors=DETECTORS, needed: int = 2) -> DataFrame:
     """Per kind of data: how many detectors report it and whether enough agree.
 

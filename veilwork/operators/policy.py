@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilwork.functions.once import evaluated_once
-from veilwork.session import lookup_join
+from veilwork.session import fits_broadcast, lookup_join
 from veilwork.sources.reference_data import Policy
 
 
@@ -42,13 +42,43 @@ def role_known(df: DataFrame, roles: DataFrame, role: str = "role") -> DataFrame
     )
 
 
+# Keywords are looked up by their first characters, where the policy is not small.
+GRAM = 3
+
+
+def _keyword_matches(terms: DataFrame, rules: DataFrame) -> DataFrame:
+    """Pairs of ``terms`` (_role, _prompt, ...) and ``rules`` (_role, keyword, ...) with the keyword in the prompt.
+
+    A small policy is broadcast.  A larger one is joined on role and the first
+    characters of the keyword, which a prompt that contains it must have too, so
+    that a prompt meets only keywords that begin like a part of it.
+    """
+    contained = F.contains(F.col("facts._prompt"), F.col("lookup.keyword"))
+    if fits_broadcast(rules):
+        return lookup_join(terms, rules, "_role", "inner", contained)
+    start = F.substring("keyword", 1, GRAM)
+    keyed = rules.withColumn("_gram", F.concat_ws("\u001f", F.col("_role"), start))
+    grams = F.flatten(F.array(*[
+        F.transform(F.sequence(F.lit(1), F.length("_prompt")), lambda i: F.substring(F.col("_prompt"), i, F.lit(n)))  # noqa: B023
+        for n in range(1, GRAM + 1)
+    ]))
+    # Ends of the prompt give shorter pieces, which are pieces of it all the same.
+    placed = terms.withColumn("_piece", F.explode(F.array_distinct(grams)))
+    placed = placed.withColumn("_gram", F.concat_ws("\u001f", F.col("_role"), F.col("_piece"))).drop("_piece")
+    return lookup_join(placed, keyed, "_gram", "inner", (F.col("facts._role") == F.col("lookup._role")) & contained)
+
+
 def without_forbidden_keywords(df: DataFrame, roles: DataFrame, policy: DataFrame) -> DataFrame:
     """Authorized requests by joins: role known, and no keyword of the role in the prompt."""
     requests = _complete_requests(df)
     known = lookup_join(requests, roles.select(F.col("role").alias("_role")).distinct(), "_role", "left_semi")
     keywords = policy.select(F.col("role").alias("_role"), "keyword").distinct()
-    contained = F.contains(F.col("facts._prompt"), F.col("lookup.keyword"))
-    return lookup_join(known, keywords, "_role", "left_anti", contained).drop("_role", "_prompt")
+    if fits_broadcast(keywords):
+        contained = F.contains(F.col("facts._prompt"), F.col("lookup.keyword"))
+        return lookup_join(known, keywords, "_role", "left_anti", contained).drop("_role", "_prompt")
+    terms = evaluated_once(known, [], [F.col("_role"), F.col("_prompt")]).distinct()
+    denied = _keyword_matches(terms, keywords).select("facts._role", "facts._prompt").distinct()
+    return known.join(denied, ["_role", "_prompt"], "left_anti").select(*df.columns)
 
 
 def keyword_hits(df: DataFrame, policy: DataFrame) -> DataFrame:
@@ -58,10 +88,9 @@ def keyword_hits(df: DataFrame, policy: DataFrame) -> DataFrame:
     """
     requests = _complete_requests(df)
     rules = policy.withColumnRenamed("role", "_role")
-    contained = F.contains(F.col("facts._prompt"), F.col("lookup.keyword"))
     # Hits are counted per rule in each task before anything is shuffled.
     terms = evaluated_once(requests, [], [F.col("_role"), F.col("_prompt")])
-    hits = lookup_join(terms, rules, "_role", "inner", contained)
+    hits = _keyword_matches(terms, rules)
     counted = hits.groupBy("lookup._role", "lookup.intent", "lookup.keyword").agg(F.count("*").alias("n"))
     zeros = rules.select("_role", "intent", "keyword", F.lit(0).cast("bigint").alias("n"))
     return (

@@ -46,9 +46,9 @@ def intent_frequency(events: DataFrame, since: datetime | None = None) -> DataFr
     denied = events.filter((F.col("event_type") == fv.DENIED) & (F.col("forbidden_intents") != ""))
     if since is not None:
         denied = from_time(denied, since)
-    listed = denied.select("id", F.posexplode(F.split("forbidden_intents", ";")).alias("pos", "intent"))
+    listed = denied.select("ts", "id", F.posexplode(F.split("forbidden_intents", ";")).alias("pos", "intent"))
     counted = listed.groupBy("intent").agg(
-        F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("_first")
+        F.count("*").alias("n"), F.min(F.struct("ts", "id", "pos")).alias("_first")
     )
     ordered = counted.orderBy(F.col("n").desc(), "_first", "intent")
     return ordered.select("intent", "n", F.col("_first.id").alias("first_seen_id"))
@@ -106,14 +106,14 @@ def recent_events(events: DataFrame, n: int = fv.RECENT_EVENTS) -> DataFrame:
 
 
 def latest_event(events: DataFrame, event_type: str | None = None) -> DataFrame:
-    """The row with the highest id, of one event type or of all."""
+    """The newest row by time, then id, of one event type or of all."""
     kept = events if event_type is None else events.filter(F.col("event_type") == event_type)
-    return kept.orderBy(F.col("id").desc()).limit(1)
+    return kept.orderBy(F.col("ts").desc(), F.col("id").desc()).limit(1)
 
 
 def sample_events(events: DataFrame, event_type: str, n: int = 5) -> DataFrame:
-    """A few events of a type, lowest ids first."""
-    return events.filter(F.col("event_type") == event_type).orderBy("id").limit(n)
+    """A few events of a type, the oldest first; equal times by id."""
+    return events.filter(F.col("event_type") == event_type).orderBy("ts", "id").limit(n)
 
 
 def audit_log_view(events: DataFrame) -> DataFrame:
@@ -157,6 +157,9 @@ def reliability_view(events: DataFrame) -> DataFrame:
     )
 
 
+# The tools of the reports below, where no others are given.
+TOOLS = tuple(fv.SCORE_LABELS)
+
 # --- metrics over jury results -------------------------------------------------
 
 
@@ -168,46 +171,46 @@ def tool_win_rate(judged: DataFrame) -> DataFrame:
     return wins.select("winning_tool", "wins", total.alias("judged_rows"))
 
 
-def tool_avg_detections(judged: DataFrame) -> DataFrame:
+def tool_avg_detections(judged: DataFrame, tools=TOOLS) -> DataFrame:
     """Detections per tool as sum and row count; divide for the average."""
     rows = judged.filter(F.col("winning_tool").isNotNull())
-    totals = rows.agg(
-        F.count("*").alias("n"), *[_long_sum(f"score_{tool}").alias(tool) for tool in "abc"]
-    )
-    return totals.selectExpr("stack(3, 'A', a, n, 'B', b, n, 'C', c, n) AS (tool, detections, judged_rows)")
+    totals = rows.agg(F.count("*").alias("n"), *[_long_sum(f"score_{t.lower()}").alias(f"hits_{t}") for t in tools])
+    listed = ", ".join(f"'{t}', hits_{t}, n" for t in tools)
+    return totals.selectExpr(f"stack({len(tools)}, {listed}) AS (tool, detections, judged_rows)")
 
 
-def tool_agreement(judged: DataFrame) -> DataFrame:
+def tool_agreement(judged: DataFrame, tools=TOOLS) -> DataFrame:
     """How the tools' scores compare pairwise: -1, 0 or 1 per pair."""
+    low = [t.lower() for t in tools]
+    pairs = [(x, y) for i, x in enumerate(low) for y in low[i + 1 :]]
     sign = lambda x, y: F.signum(F.col(f"score_{x}") - F.col(f"score_{y}")).cast("int")
     rows = judged.filter(F.col("winning_tool").isNotNull())
-    return rows.groupBy(
-        sign("a", "b").alias("a_vs_b"), sign("b", "c").alias("b_vs_c"), sign("a", "c").alias("a_vs_c")
-    ).agg(F.count("*").alias("n"))
+    return rows.groupBy(*[sign(x, y).alias(f"{x}_vs_{y}") for x, y in pairs]).agg(F.count("*").alias("n"))
 
 
-def tool_by_input_type(judged: DataFrame, *columns: str) -> DataFrame:
+def tool_by_input_type(judged: DataFrame, *columns: str, tools=TOOLS) -> DataFrame:
     """Rows, detections and wins per tool for each input type, with subtotals.
 
     ``level`` tells subtotals (columns rolled up) from rows whose type is NULL.
     """
-    wins = [F.count_if(F.col("winning_tool") == t).alias(f"wins_{t.lower()}") for t in "ABC"]
-    hits = [_long_sum(f"score_{t}").alias(f"hits_{t}") for t in "abc"]
+    wins = [F.count_if(F.col("winning_tool") == t).alias(f"wins_{t.lower()}") for t in tools]
+    hits = [_long_sum(f"score_{t.lower()}").alias(f"hits_{t.lower()}") for t in tools]
     return judged.rollup(*columns).agg(
         F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"), *hits, *wins
     )
 
 
-def tool_by_role(judged: DataFrame) -> DataFrame:
+def tool_by_role(judged: DataFrame, tools=TOOLS) -> DataFrame:
     """Wins per role, one column per tool."""
-    pivot = judged.groupBy("role").pivot("winning_tool", ["A", "B", "C"]).agg(F.count(F.lit(1)))
-    return pivot.select("role", *[F.coalesce(F.col(t), F.lit(0)).alias(f"wins_{t.lower()}") for t in "ABC"])
+    pivot = judged.groupBy("role").pivot("winning_tool", list(tools)).agg(F.count(F.lit(1)))
+    return pivot.select("role", *[F.coalesce(F.col(t), F.lit(0)).alias(f"wins_{t.lower()}") for t in tools])
 
 
-def tool_trend_daily(judged: DataFrame) -> DataFrame:
+def tool_trend_daily(judged: DataFrame, tools=TOOLS) -> DataFrame:
     """Wins and detections per day and tool."""
     rows = judged.filter(F.col("winning_tool").isNotNull())
-    score = F.greatest("score_a", "score_b", "score_c")
+    scores = [F.col(f"score_{t.lower()}") for t in tools]
+    score = F.greatest(*scores) if len(scores) > 1 else scores[0]
     day = F.window("ts", "1 day")["start"].cast("date").alias("day")
     return rows.groupBy(day, "winning_tool").agg(
         F.count("*").alias("wins"), F.sum(score.cast("bigint")).alias("detections")

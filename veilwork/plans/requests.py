@@ -11,12 +11,13 @@ from veilwork.operators.detectors import DETECTORS, SLOTS
 from veilwork.sources.reference_data import Policy
 
 
-def reliability_summary() -> Column:
-    """The summary part of a response, from jury columns."""
-    scores = [F.col(f"score_{tool.lower()}").alias(label) for tool, label in fv.SCORE_LABELS.items()]
+def reliability_summary(detectors=DETECTORS) -> Column:
+    """The summary part of a response, from the jury columns of ``detectors``."""
+    labels = {d.name: fv.SCORE_LABELS.get(d.name, f"Tool_{d.name}_Count") for d in detectors}
+    scores = [F.col(f"score_{tool.lower()}").alias(label) for tool, label in labels.items()]
     counts = [
         F.struct(*[F.col(f"{tool.lower()}_{slot}").alias(slot) for slot in SLOTS]).alias(f"Tool_{tool}")
-        for tool in fv.SCORE_LABELS
+        for tool in labels
     ]
     return F.struct(
         F.col("winning_tool").alias("winning_tool"),
@@ -25,7 +26,9 @@ def reliability_summary() -> Column:
     )
 
 
-def sanitize(requests: DataFrame, rules: Policy = Policy(), valid: str | None = None, detectors=DETECTORS) -> DataFrame:
+def sanitize(
+    requests: DataFrame, rules: Policy = Policy(), valid: str | None = None, detectors=DETECTORS, weights=None
+) -> DataFrame:
     """Every request with its outcome and, where admitted, the jury's result.
 
     One pass: a request that is not admitted carries no text into the jury, so
@@ -33,16 +36,16 @@ def sanitize(requests: DataFrame, rules: Policy = Policy(), valid: str | None =
     """
     decided = policy.sanitize_disposition(requests, rules, valid)
     admitted = decided.withColumn("_admitted", F.when(F.col("code") == 200, F.col("prompt")))
-    judged = jury.redaction_jury(admitted, "_admitted", detectors)
+    judged = jury.redaction_jury(admitted, "_admitted", detectors, weights)
     return judged.select(
         *[F.col(name) for name in judged.columns if name not in ("_admitted", "status")],
         F.when(F.col("code") == 200, "sanitized").otherwise("denied").alias("status"),
     )
 
 
-def sanitize_audit(sanitized: DataFrame, raw_text: bool = False) -> DataFrame:
-    """Audit rows of ``sanitize`` results; needs ``ts`` and ``request_id``."""
-    return events.jury_events(sanitized.filter(F.col("code") == 200), raw_text)
+def sanitize_audit(sanitized: DataFrame, raw_text: bool = False, detectors=DETECTORS) -> DataFrame:
+    """Audit rows of ``sanitize`` results of the same ``detectors``; needs ``ts`` and ``request_id``."""
+    return events.jury_events(sanitized.filter(F.col("code") == 200), raw_text, detectors=detectors)
 
 
 def verify(requests: DataFrame, rules: Policy = Policy(), valid: str | None = None) -> DataFrame:

@@ -51,6 +51,11 @@ AUDIT_EVENT = T.StructType(
     ]
 )
 
+# How a stored row was signed.
+SIGNED_WITH = T.StructType(
+    [T.StructField("key_id", T.StringType()), T.StructField("payload_version", T.IntegerType())]
+)
+
 # Columns that older audit tables lack; they read as NULL.
 ADDED_LATER = ["signature", "winning_tool", "tool_a_counts", "tool_b_counts", "tool_c_counts"]
 AUDIT_COLUMNS = AUDIT_EVENT.fieldNames()

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Settings every job of this package is written for. None of them depends on
@@ -21,7 +20,7 @@ RECOMMENDED_SETTINGS = {
     ),
 }
 
-_fallback_folder: str | None = None
+_declared_folder: str | None = None
 
 
 def build_session(app_name: str = "veilwork", master: str | None = None, **extra: str) -> SparkSession:
@@ -34,19 +33,18 @@ def build_session(app_name: str = "veilwork", master: str | None = None, **extra
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, from ``spark.checkpoint.dir``.
+def declare_shared_folder(path: str) -> None:
+    """Name the work folder of sessions that have no ``spark.checkpoint.dir`` (tests, one machine)."""
+    global _declared_folder
+    _declared_folder = path.rstrip("/")
 
-    Only where the cluster names none (tests, single machine) a temporary
-    folder is made, once per process.
-    """
-    global _fallback_folder
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if _fallback_folder is None:
-        _fallback_folder = tempfile.mkdtemp(prefix="veilwork-")
-    return _fallback_folder
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor can reach: ``spark.checkpoint.dir``, or else the declared one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _declared_folder
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -54,23 +52,20 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = 50_000) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows.
+def fits_broadcast(df: DataFrame) -> bool:
+    """True if the plan's own estimate of ``df`` is below ``spark.sql.autoBroadcastJoinThreshold``.
 
-    Reads at most ``max_rows + 1`` rows to decide.
+    No job runs; a table of unknown size does not fit.
     """
-    return df.limit(max_rows + 1).count() <= max_rows
-
+    session = df.sparkSession._jsparkSession.sessionState().conf()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= session.autoBroadcastJoinThreshold()
 
-def spread_small_input(scan: DataFrame) -> DataFrame:
-    """Deal the rows of a plain table scan to all cores if it has fewer splits than cores.
 
-    Files of one row group cannot be split, which leaves cores idle on small
-    inputs with costly rows.  A large input has more splits than cores and is
-    returned as it is, without a shuffle.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+def _salt(facts: DataFrame, salts: int) -> Column:
+    """A number from the content of the row; columns that cannot be hashed take no part."""
+    hashed = [f.name for f in facts.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    return F.pmod(F.xxhash64(*[F.col(f"`{name}`") for name in hashed]), F.lit(salts)).cast("int")
 
 
 def lookup_join(
@@ -79,13 +74,14 @@ def lookup_join(
     on: str,
     how: str,
     extra_condition=None,
-    max_rows: int = 50_000,
+    small: bool | None = None,
     salts: int = 64,
 ) -> DataFrame:
     """Join ``facts.<on>`` to ``lookup.<on>``, keeping only columns the join type keeps.
 
-    A lookup that is checked to be small is broadcast and the facts do not move.
-    A larger one is joined by shuffle; because one key may hold a large share of
+    A lookup whose estimated bytes are below the broadcast threshold, or that the
+    caller knows to be local and small, is broadcast and the facts do not move.
+    Any other is joined by shuffle; because one key may hold a large share of
     the facts, each fact row takes one of ``salts`` sub-keys from its content and
     the lookup is repeated once per sub-key, which splits every hot key into
     ``salts`` parts and still matches each pair exactly once.  A recomputed task
@@ -96,9 +92,9 @@ def lookup_join(
     condition = F.col(f"facts.{on}") == F.col(f"lookup.{on}")
     if extra_condition is not None:
         condition = condition & extra_condition
-    if fits_broadcast(lookup, max_rows):
+    if small if small is not None else fits_broadcast(lookup):
         return left.join(F.broadcast(right), condition, how)
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int"))
+    salted = facts.withColumn("_salt", _salt(facts, salts))
     repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     condition = condition & (F.col("facts._salt") == F.col("lookup._salt"))
     return salted.alias("facts").join(repeated.alias("lookup"), condition, how).drop("_salt")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilwork.functions.times import at
-from veilwork.schemas import AUDIT_EVENT
+from veilwork.schemas import AUDIT_EVENT, SIGNED_WITH
 
 PARTITION = "event_date"
 
@@ -31,8 +31,7 @@ def read_events(spark: SparkSession, path: str, since: datetime | None = None) -
     only later rows.
     """
     schema = T.StructType(
-        AUDIT_EVENT.fields
-        + [T.StructField("key_id", T.StringType()), T.StructField(PARTITION, T.DateType())]
+        AUDIT_EVENT.fields + SIGNED_WITH.fields + [T.StructField(PARTITION, T.DateType())]
     )
     events = spark.read.schema(schema).parquet(path)
     return events if since is None else from_time(events, since)

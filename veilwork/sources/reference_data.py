@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwork import fixed_values as fv
-from veilwork.session import fits_broadcast
 
 
 @dataclass(frozen=True)
@@ -31,36 +30,34 @@ class Policy:
         return [role for role, intents in self.role_intents.items() if intent in intents]
 
 
+def _rows(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A small table made of literals, so that the plan knows that it is small."""
+    literals = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*literals)))
+
+
 def role_table(spark: SparkSession, policy: Policy = Policy()) -> DataFrame:
     """One row per known role."""
-    return spark.createDataFrame([(role,) for role in policy.roles], "role string")
+    return _rows(spark, [(role,) for role in policy.roles], ["role"])
 
 
 def policy_table(spark: SparkSession, policy: Policy = Policy()) -> DataFrame:
     """One row per role, forbidden intent and keyword; ``ord`` is policy order."""
-    pairs = [
-        (role, intent, order)
+    triples = [
+        (role, intent, order, keyword)
         for role, intents in policy.role_intents.items()
         for order, intent in enumerate(intents)
+        for keyword in policy.intent_keywords.get(intent, [])
     ]
-    keywords = [(i, k) for i, phrases in policy.intent_keywords.items() for k in phrases]
-    intents = spark.createDataFrame(pairs, "role string, intent string, ord int")
-    return intents.join(F.broadcast(spark.createDataFrame(keywords, "intent string, keyword string")), "intent")
+    return _rows(spark, triples, ["role", "intent", "ord", "keyword"])
 
 
-def read_policy(roles: DataFrame, keywords: DataFrame, max_rows: int = 5_000) -> Policy:
-    """Compile stored policy tables ``(role, intent, ord)`` and ``(intent, keyword)``.
+def read_policy(roles: DataFrame, keywords: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored tables ``(role, intent, ord)`` and ``(intent, keyword)`` as role and policy tables.
 
-    Only for tables that are checked to be small, since they become part of the
-    query; join larger ones with ``operators.policy.without_forbidden_keywords``.
+    Both stay tables, of any size.  A role whose intent is NULL, or has no
+    keyword, is known and forbids nothing.
     """
-    for table in (roles, keywords):
-        if not fits_broadcast(table, max_rows):
-            raise ValueError(f"more than {max_rows} policy rows: join the table instead")
-    role_intents: dict[str, list[str]] = {}
-    for row in roles.orderBy("role", "ord").toLocalIterator():
-        role_intents.setdefault(row["role"], []).append(row["intent"])
-    intent_keywords: dict[str, list[str]] = {}
-    for row in keywords.orderBy("intent", "keyword").toLocalIterator():
-        intent_keywords.setdefault(row["intent"], []).append(row["keyword"])
-    return Policy(role_intents, intent_keywords)
+    known = roles.select("role").distinct()
+    rules = roles.filter(F.col("intent").isNotNull()).join(keywords, "intent")
+    return known, rules.select("role", "intent", "ord", "keyword")

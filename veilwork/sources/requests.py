@@ -18,20 +18,57 @@ def stream_request_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.text(path)
 
 
-def body_is_valid(value: Column) -> Column:
-    """A JSON object with at least one key."""
-    return F.coalesce(F.size(F.json_object_keys(value)), F.lit(0)) > 0
+# Standard JSON only: no single quotes, raw control characters or other leniencies.
+_STRICT = {
+    "allowSingleQuotes": "false",
+    "allowUnquotedControlChars": "false",
+    "allowNonNumericNumbers": "false",
+    "allowUnquotedFieldNames": "false",
+    "allowComments": "false",
+}
 
 
-def parse_requests(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Add ``role``, ``prompt`` and ``valid``; fields of invalid bodies are NULL."""
-    parsed = lines.select(
-        "*",
-        body_is_valid(F.col(value)).alias("valid"),
-        F.from_json(F.col(value), REQUEST).alias("_body"),
+def json_body(value: Column, *fields: str) -> Column:
+    """The fields of a JSON object as variants, or NULL where the text is anything else.
+
+    The text is read as the only element of an array, so that text after the
+    object makes it invalid.  Of a repeated key the last value counts.  An object
+    without keys is as good as none.
+    """
+    schema = "array<struct<" + ", ".join(f"{name}: variant" for name in fields) + ">>"
+    read = F.from_json(F.concat(F.lit("["), value, F.lit("]")), schema, _STRICT)
+    only = F.when(F.size(read) == 1, F.get(read, F.lit(0)))
+    return F.when(F.coalesce(F.size(F.json_object_keys(value)), F.lit(0)) > 0, only)
+
+
+def is_text(field: Column) -> Column:
+    """The variant is a JSON string."""
+    return F.coalesce(F.schema_of_variant(field) == "STRING", F.lit(False))
+
+
+def _filled(field: Column) -> Column:
+    """The variant as text; NULL for the values that count as empty: null, false, 0, "", [] and {}."""
+    kind, text = F.schema_of_variant(field), F.try_variant_get(field, "$", "string")
+    number = F.try_variant_get(field, "$", "double")
+    empty = (
+        (kind == "VOID")
+        | ((kind == "BOOLEAN") & (text == "false"))
+        | (~kind.isin("STRING", "BOOLEAN") & (number == 0))
+        | F.to_json(field).isin("[]", "{}")
     )
-    fields = [F.when(F.col("valid"), F.col(f"_body.{n}")).alias(n) for n in ("role", "prompt")]
-    return parsed.select(*lines.columns, "valid", *fields)
+    shown = F.when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.to_json(field)).otherwise(text)
+    return F.when(~F.coalesce(empty, F.lit(False)), shown)
+
+
+def parse_requests(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Add ``role``, ``prompt`` and ``valid``; fields of invalid bodies are NULL.
+
+    Values that count as empty (null, false, 0, empty lists and objects) are NULL
+    too, so that no check takes them for a prompt.
+    """
+    parsed = lines.select("*", json_body(F.col(value), *REQUEST.fieldNames()).alias("_body"))
+    fields = [_filled(F.col(f"_body.{n}")).alias(n) for n in REQUEST.fieldNames()]
+    return parsed.select(*lines.columns, F.col("_body").isNotNull().alias("valid"), *fields)
 
 
 def with_request_identity(df: DataFrame, source_key: list[str], endpoint: str, live: bool = False) -> DataFrame:

@@ -1,9 +1,10 @@
 """The same work on arriving data.
 
 Requests are handled by the batch functions of ``plans`` and ``operators``,
-which take streaming input as it is.  This module adds what needs time: removal
-of repeated events and counts over time windows, both with a watermark, so
-state stays bounded by the delay and not by the age of the stream.
+which take streaming input as it is.  This module adds what needs state: removal
+of repeated events and counts over time windows.  Neither has a watermark, since a
+watermark drops events that arrive late and holds the last windows back; state
+is a hash per event or a row per window.
 """
 
 from __future__ import annotations
@@ -12,58 +13,88 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwork import fixed_values as fv
+from veilwork.operators.events import copy_key, key_hash
 from veilwork.session import fresh_path
 from veilwork.sources.audit_table import PARTITION
 
-DELAY = "1 hour"
+COUNTED = ("blocked", "malaysian_ic", "emails")
 
 
-def with_event_time(events: DataFrame, delay: str = DELAY) -> DataFrame:
-    """Set the watermark on ``ts``, which must be a zoned timestamp for that."""
-    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+def deduplicated(events: DataFrame) -> DataFrame:
+    """One row of each event, whenever its copies arrive.
 
-
-def deduplicated(events: DataFrame, key: tuple[str, ...] = ("request_id", "event_type"), delay: str = DELAY) -> DataFrame:
-    """One row per key among events that arrive within the delay."""
-    once = with_event_time(events, delay).dropDuplicatesWithinWatermark(list(key))
-    return once.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-
-
-def _plain_window(df: DataFrame) -> DataFrame:
-    start, end = F.col("window.start").cast("timestamp_ntz"), F.col("window.end").cast("timestamp_ntz")
-    return df.select(start.alias("window_start"), end.alias("window_end"), *[c for c in df.columns if c != "window"])
+    Copies are told as in ``operators.events.deduplicate``; the first to arrive stays
+    and rows without a request id pass.  The keys, 16 bytes each, are kept for good:
+    no event is ever dropped for being late.
+    """
+    named = events.filter(F.col("request_id").isNotNull())
+    one, two = key_hash(copy_key(events))
+    once = named.select("*", one.alias("_one"), two.alias("_two")).dropDuplicates(["_one", "_two"])
+    return once.select(*events.columns).unionByName(events.filter(F.col("request_id").isNull()))
 
 
-def rolling_counts(events: DataFrame, length: str = "24 hours", step: str = "1 hour", delay: str = DELAY) -> DataFrame:
-    """Blocked requests and redacted ids and e-mails over rolling windows.
+def counts_per_step(events: DataFrame, step: str = "1 hour") -> DataFrame:
+    """Blocked requests and redacted ids and e-mails per step of time.
 
-    Counts per step come first; only those few rows are then copied into the
-    windows they belong to, not every event.
+    On a stream, each batch updates all steps it has events of, however old.
     """
     kept = events.filter(F.col("event_type").isin(fv.DENIED, fv.REDACTED))
     redacted = F.col("event_type") == fv.REDACTED
     amount = lambda name: F.sum(F.when(redacted, F.col(name)).otherwise(0).cast("bigint"))
-    per_step = (
-        with_event_time(kept, delay)
-        .groupBy(F.window("ts", step))
-        .agg(
-            F.count_if(~redacted).alias("blocked"),
-            amount("count_id").alias("malaysian_ic"),
-            amount("count_email").alias("emails"),
-        )
+    counted = kept.groupBy(F.window("ts", step)).agg(
+        F.count_if(~redacted).alias("blocked"),
+        amount("count_id").alias("malaysian_ic"),
+        amount("count_email").alias("emails"),
     )
-    rolled = per_step.groupBy(F.window(F.window_time("window"), length, step)).agg(
-        *[F.sum(name).alias(name) for name in ("blocked", "malaysian_ic", "emails")]
+    return counted.select(F.col("window.start").alias("step_start"), *COUNTED)
+
+
+def rolled(steps: DataFrame, length: str = "24 hours", step: str = "1 hour") -> DataFrame:
+    """Rolling windows from the counts of steps: those few rows are copied, not every event."""
+    return (
+        steps.groupBy(F.window("step_start", length, step))
+        .agg(*[F.sum(name).alias(name) for name in COUNTED])
+        .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *COUNTED)
     )
-    return _plain_window(rolled)
 
 
-def intents_per_window(events: DataFrame, length: str = "1 hour", delay: str = DELAY) -> DataFrame:
+def intents_per_window(events: DataFrame, length: str = "1 hour") -> DataFrame:
     """Forbidden intents counted per time window."""
     denied = events.filter((F.col("event_type") == fv.DENIED) & (F.col("forbidden_intents") != ""))
-    listed = with_event_time(denied, delay).select("ts", F.explode(F.split("forbidden_intents", ";")).alias("intent"))
+    listed = denied.select("ts", F.explode(F.split("forbidden_intents", ";")).alias("intent"))
     counted = listed.groupBy(F.window("ts", length), "intent").agg(F.count("*").alias("n"))
-    return _plain_window(counted)
+    return counted.select(
+        F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "intent", "n"
+    )
+
+
+def keep_current(counts: DataFrame, path: str, checkpoint: str):
+    """Start a query that keeps the whole present result of a streaming aggregate below ``path``.
+
+    The result (one row per window and group) is written anew with each batch, in a
+    folder named by the batch: a repeated batch writes the same rows to the same
+    place.  Every event counts, late ones too, and no window waits to be closed.
+    """
+
+    def store(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    writer = counts.writeStream.outputMode("complete").foreachBatch(store)
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, counts: DataFrame, path: str) -> DataFrame:
+    """The result as of the last batch that ``keep_current`` has written."""
+    stored = spark.read.schema(counts.schema.add("batch", "long")).parquet(path)
+    last = stored.agg(F.max("batch")).first()[0]
+    return stored.filter(F.col("batch") == F.lit(last)).drop("batch")
+
+
+def counted_once(spark: SparkSession, counts: DataFrame, label: str) -> DataFrame:
+    """Run a streaming aggregate to the end of its present input and read its result."""
+    folder = fresh_path(spark, label)
+    keep_current(counts, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    return current(spark, counts, f"{folder}/rows")
 
 
 def append_to_files(stream: DataFrame, path: str, checkpoint: str, partition_by: list[str] | None = None):

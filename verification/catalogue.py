@@ -24,9 +24,13 @@ JURY_SCORES = ["score_a", "score_b", "score_c"]
 _QUERIES = {}
 
 
-def query(function):
-    _QUERIES[function.__name__] = function
-    return function
+def query(function, name=None):
+    def run(spark, d):
+        t.use_local_folder(spark)
+        return function(spark, d)
+
+    _QUERIES[name or function.__name__] = run
+    return run
 
 
 def _judged(spark, d, *extra) -> DataFrame:
@@ -94,9 +98,9 @@ def _one_tool(detector):
     return run
 
 
-_QUERIES["tool_a"] = _one_tool(detectors.STRICT)
-_QUERIES["tool_b"] = _one_tool(detectors.DICTIONARY)
-_QUERIES["tool_c"] = _one_tool(detectors.LOOSE)
+query(_one_tool(detectors.STRICT), "tool_a")
+query(_one_tool(detectors.DICTIONARY), "tool_b")
+query(_one_tool(detectors.LOOSE), "tool_c")
 
 
 @query
@@ -132,7 +136,7 @@ def reliability_summary(spark, d):
 
 @query
 def redacted_only(spark, d):
-    changed = _judged(spark, d).filter(jury.winner_score() > 0)
+    changed = jury.redacted_only(_judged(spark, d))
     return changed.select("prompt_id", "winning_tool", "sanitized")
 
 
@@ -210,6 +214,8 @@ def token_events(spark, d):
         "ts",
         F.concat(F.lit("req-"), F.col("event_id").cast("string")).alias("request_id"),
         F.lit("client").alias("user_role"),
+        F.when(F.col("event_type") == "click", F.col("event_id") % 300).alias("prompt_tokens"),
+        F.when(F.col("event_id") % 4 != 0, F.when(F.col("event_type") == "click", F.col("event_id") % 200)).alias("completion_tokens"),
         F.when(F.col("event_type") == "click", F.col("event_id") % 500).alias("total_tokens"),
     )
     return events.token_events(usage).select("ts", "event_type", "request_id", "user_role", "endpoint", "message")
@@ -229,6 +235,20 @@ def jury_events(spark, d):
     return flows.sanitize_audit(flows.sanitize(t.requests(spark, d)), raw_text=True).drop("id")
 
 
+# A fourth detector that outweighs the others where it finds something, and a slot that counts nothing.
+ORDERS = detectors.PatternDetector("D", (detectors.PatternRule("order", "id", r"\bOrder \d+", "[REDACTED_ORDER]"),))
+FOUR_TOOLS = [*detectors.DETECTORS, ORDERS]
+FOUR_WEIGHTS = {"A": {"email": 0}, "C": {"email": 0}, "D": {"id": 5}}
+
+
+@query
+def jury_events_four_tools(spark, d):
+    done = flows.sanitize(t.requests(spark, d), detectors=FOUR_TOOLS, weights=FOUR_WEIGHTS)
+    return flows.sanitize_audit(done, detectors=FOUR_TOOLS).select(
+        "request_id", "winning_tool", "count_id", "count_email", "message", "metadata", "tool_a_counts"
+    )
+
+
 @query
 def priority_events(spark, d):
     return events.priority_events(t.audit_seed(spark, d)).select("id", "event_type")
@@ -272,12 +292,23 @@ def audit_signed(spark, d):
     return t.signed(spark, d).select("id", "key_id", "signature")
 
 
+@query
+def audit_signed_v2(spark, d):
+    return integrity.sign(t.audit_seed(spark, d), t.keys(spark), t.rotated_key()).select("id", "key_id", "payload_version", "signature")
+
+
+@query
+def tampered_ids_mixed(spark, d):
+    checked = integrity.verify(t.mixed_versions(spark, d), t.keys(spark), key_id="k1")
+    return integrity.tampered(checked).select("id")
+
+
 @query
 def audit_round_trip(spark, d):
     path = fresh_path(spark, "audit")
     audit_table.append_events(t.signed(spark, d), path)
     stored = audit_table.read_events(spark, path, since=reports.window_start(AS_OF, 96))
-    return stored.select(*UNSIGNED_COLUMNS, "signature", "key_id", "event_date")
+    return stored.select(*UNSIGNED_COLUMNS, "signature", "key_id", "payload_version", "event_date")
 
 
 @query
@@ -332,7 +363,9 @@ def pii_totals_window(spark, d):
 
 @query
 def intent_frequency(spark, d):
-    return reports.intent_frequency(t.audit_seed(spark, d))
+    # Rows as they are built, with ids that are hashes of their fields.
+    denied = flows.verify_audit(flows.verify(t.requests(spark, d)))
+    return reports.intent_frequency(denied).select("intent", "n")
 
 
 @query
@@ -340,6 +373,11 @@ def audit_summary_24h(spark, d):
     return reports.audit_summary(t.audit_seed(spark, d), AS_OF)
 
 
+@query
+def audit_summary_stored(spark, d):
+    return reports.audit_summary(t.stored(spark, d), AS_OF)
+
+
 @query
 def audit_summary_hours(spark, d):
     return audit_report.audit_report(t.tampered(spark, d), t.keys(spark), AS_OF, hours=240)
@@ -355,35 +393,31 @@ def token_usage(spark, d):
     return reports.token_usage(t.audit_seed(spark, d))
 
 
-def _newest_signed(spark, d):
-    # Only the rows that are shown need a signature.
-    newest = t.audit_seed(spark, d).orderBy(F.col("ts").desc(), F.col("id").desc()).limit(fv.RECENT_EVENTS)
-    return t.sign_rotated(spark, newest)
-
-
 @query
 def recent_events_100(spark, d):
-    return reports.recent_events(_newest_signed(spark, d))
+    return reports.recent_events(t.stored(spark, d))
 
 
 @query
 def latest_jury_event(spark, d):
-    return reports.latest_event(t.audit_seed(spark, d), fv.JURY_REDACTED).select("id", "ts", "winning_tool", "message")
+    built = flows.sanitize_audit(flows.sanitize(t.requests(spark, d)))
+    return reports.latest_event(built, fv.JURY_REDACTED).select("ts", "request_id", "winning_tool", "message")
 
 
 @query
 def sample_jury_events(spark, d):
-    return reports.sample_events(t.audit_seed(spark, d), fv.JURY_REDACTED).select("id", "winning_tool", "tool_b_counts")
+    built = flows.sanitize_audit(flows.sanitize(t.requests(spark, d)))
+    return reports.sample_events(built, fv.JURY_REDACTED).select("ts", "request_id", "winning_tool", "tool_b_counts")
 
 
 @query
 def audit_log_view(spark, d):
-    return reports.audit_log_view(_newest_signed(spark, d))
+    return reports.audit_log_view(t.stored(spark, d))
 
 
 @query
 def reliability_view(spark, d):
-    return reports.reliability_view(_newest_signed(spark, d))
+    return reports.reliability_view(t.stored(spark, d))
 
 
 def _scores(spark, d):
@@ -448,20 +482,18 @@ def stream_gate(spark, d):
 
 @query
 def stream_audit_dedup(spark, d):
-    once = _audit_stream(spark, d)
-    twice = once.unionByName(_audit_stream(spark, d).filter(F.col("event_type") == fv.DENIED))
-    rows = jobs.deduplicated(twice).select("request_id", "event_type", "ts", "user_role", "message")
-    return jobs.run_once(spark, rows, "stream-dedup")
+    rows = jobs.deduplicated(t.with_copies(_audit_stream(spark, d)))
+    return jobs.run_once(spark, rows.select("request_id", "event_type", "ts", "user_role", "message"), "stream-dedup")
 
 
 @query
 def stream_blocked_24h(spark, d):
-    return jobs.run_once(spark, jobs.rolling_counts(_audit_stream(spark, d)), "stream-blocked")
+    return jobs.rolled(jobs.counted_once(spark, jobs.counts_per_step(_audit_stream(spark, d)), "stream-blocked"))
 
 
 @query
 def stream_intents_hourly(spark, d):
-    return jobs.run_once(spark, jobs.intents_per_window(_audit_stream(spark, d)), "stream-intents")
+    return jobs.counted_once(spark, jobs.intents_per_window(_audit_stream(spark, d)), "stream-intents")
 
 
 def queries():

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from veilwork import fixed_values as fv
-from veilwork.functions.canonical import _pads
 from verification import seeds
 from verification.tables import KEYS, ROTATED
 
@@ -61,7 +60,8 @@ def _prompt_jury(body: str, **more: str) -> str:
 
 
 def _values(pairs: list[tuple]) -> str:
-    quoted = ["(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in pairs]
+    text = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+    quoted = ["(" + ", ".join(map(text, row)) + ")" for row in pairs]
     return "VALUES " + ", ".join(quoted)
 
 
@@ -91,12 +91,15 @@ PARSED = {
     "request_lines": seeds.REQUEST_LINES,
     "bodies": "SELECT line_id, value, CASE WHEN json_valid(value) THEN value END AS body FROM request_lines",
     "parsed": """SELECT line_id, value, coalesce(json_type(body) = 'OBJECT' AND len(json_keys(body)) > 0, false) AS valid,
-        json_extract_string(body, '$.role') AS role, json_extract_string(body, '$.prompt') AS prompt FROM bodies""",
+        json_extract_string(body, '$.role') AS role, json_extract_string(body, '$.prompt') AS prompt FROM bodies WHERE line_id >= 0
+        UNION ALL SELECT line_id, value, valid, role, prompt FROM request_lines
+        JOIN (""" + _values([(i, *told) for i, _, *told in seeds.ODD_BODIES]) + """) AS o(line_id, valid, role, prompt) USING (line_id)""",
 }
 
 
 def _hmac(payload: str, key: bytes) -> str:
-    inner, outer = (bytes(pad).hex() for pad in _pads(key))
+    # The keys of the checks are shorter than a block of SHA-256.
+    inner, outer = (bytes(b ^ pad for b in key.ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
     return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({payload}))))"
 
 
@@ -123,6 +126,25 @@ _PAYLOAD = " || ".join(
         f"""',"winning_tool":' || {_text('winning_tool')} || '}}'""",
     ]
 )
+_PAYLOAD_V2 = " || ".join(
+    [
+        """'{"count_email":' || coalesce(count_email, 0)""",
+        """',"count_id":' || coalesce(count_id, 0)""",
+        """',"count_phone":' || coalesce(count_phone, 0)""",
+        f"""',"endpoint":' || {_text('endpoint')}""",
+        f"""',"event_type":' || {_text('event_type')}""",
+        """',"forbidden_intents":' || coalesce('["' || replace(forbidden_intents, ';', '","') || '"]', '[]')""",
+        """',"id":' || id""",
+        f"""',"key_id":' || {_text('key_id')}""",
+        f"""',"message":' || {_text('message')}""",
+        """',"metadata":' || metadata""",
+        f"""',"request_id":' || {_text('request_id')}""",
+        *[f"""',"tool_{x}_counts":' || {_text(f'tool_{x}_counts')}""" for x in "abc"],
+        f"""',"ts":"' || {_ISO} || '"'""",
+        f"""',"user_role":' || {_text('user_role')}""",
+        f"""',"winning_tool":' || {_text('winning_tool')} || '}}'""",
+    ]
+)
 SIGNED = {
     **SEED,
     "with_payload": f"SELECT *, {_PAYLOAD} AS payload, CASE WHEN ts < TIMESTAMP '{ROTATED}' THEN 'k1' ELSE 'k2' END AS key_id FROM audit_seed",
@@ -186,7 +208,9 @@ GATE = {
         CASE WHEN list_contains(json_keys(value), 'provider') THEN json_extract_string(value, '$.provider') WHEN ok THEN 'openai' END AS provider,
         json_extract_string(value, '$.model') AS model FROM gate_bodies""",
     "gated": f"""SELECT *, CASE WHEN NOT ok THEN 'invalid_body' WHEN sanitized_prompt IS NULL OR sanitized_prompt = '' THEN 'missing_prompt'
-        WHEN {_mask('sanitized_prompt', *STRICT)} <> sanitized_prompt THEN 'contains_pii' ELSE 'forward' END AS reason FROM gate_fields""",
+        WHEN {_mask('sanitized_prompt', *STRICT)} <> sanitized_prompt THEN 'contains_pii' ELSE 'forward' END AS reason FROM gate_fields WHERE line_id >= 0
+        UNION ALL SELECT l.*, NULL, o.sanitized_prompt, o.provider, NULL, o.reason FROM gate_lines l
+        JOIN ({_values([(-i, *told) for i, _, *told in seeds.ODD_GATE_BODIES])}) AS o(line_id, sanitized_prompt, provider, reason) ON l.line_id = o.line_id""",
 }
 _GATE_OUTCOME = "CASE WHEN reason = 'forward' THEN 200 ELSE 400 END AS code, reason = 'contains_pii' AS audit"
 
@@ -222,7 +246,6 @@ def _sums(names: dict[str, str]) -> str:
 _STREAMED = {
     **SEED,
     "hourly_base": "SELECT *, date_trunc('hour', ts) AS hour FROM audit_seed WHERE event_type IN ('SECURITY_DENIED', 'PII_REDACTED')",
-    "last_seen": "SELECT max(ts) AS ts FROM hourly_base",
 }
 
 
@@ -320,7 +343,9 @@ def oracle_sql() -> dict[str, str]:
         **GATE,
     )
     sql["token_events"] = f"""SELECT ts, 'LLM_TOKEN_USAGE' AS event_type, 'req-' || CAST(event_id AS VARCHAR) AS request_id, 'client' AS user_role,
-        '/generate' AS endpoint, '{fv.TOKEN_USAGE_PREFIX}' || '{{' || chr(39) || 'total_tokens' || chr(39) || ': ' || CAST(event_id % 500 AS VARCHAR) || '}}' AS message
+        '/generate' AS endpoint, replace('{fv.TOKEN_USAGE_PREFIX}' || '{{"prompt_tokens": ' || CAST(event_id % 300 AS VARCHAR)
+        || CASE WHEN event_id % 4 <> 0 THEN ', "completion_tokens": ' || CAST(event_id % 200 AS VARCHAR) ELSE '' END
+        || ', "total_tokens": ' || CAST(event_id % 500 AS VARCHAR) || '}}', '"', chr(39)) AS message
         FROM events WHERE event_type = 'click'"""
 
     # audit events and the audit table
@@ -360,14 +385,31 @@ def oracle_sql() -> dict[str, str]:
     base = "ts, event_type, request_id, user_role, endpoint, message, count_id, count_email, count_phone, forbidden_intents, metadata"
     tools = "winning_tool, tool_a_counts, tool_b_counts, tool_c_counts"
     sql["audit_schema_union"] = _with(
-        f"""SELECT id, {base}, CAST(NULL AS VARCHAR) AS signature, {tools} FROM audit_seed
-        UNION ALL SELECT -id - 1, {base}, NULL, NULL, NULL, NULL, NULL FROM audit_seed""",
+        f"""SELECT id, {base}, CAST(NULL AS VARCHAR) AS signature, {tools}, CAST(NULL AS VARCHAR) AS key_id, CAST(NULL AS INTEGER) AS payload_version
+        FROM audit_seed UNION ALL SELECT -id - 1, {base}, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM audit_seed""",
+        **SEED,
+    )
+    copies = {
+        "once": "SELECT * REPLACE (CASE WHEN id % 10 <> 0 THEN request_id END AS request_id) FROM audit_seed",
+        "events_left": """SELECT * FROM once UNION ALL SELECT * FROM once WHERE event_type = 'SECURITY_DENIED' AND request_id IS NULL
+            UNION ALL SELECT * REPLACE (message || ' again' AS message) FROM once WHERE id % 7 = 0""",
+    }
+    sql["audit_dedup"] = _with(f"SELECT id, {base}, {tools} FROM events_left", **SEED, **copies)
+    two = {
+        "v2": f"SELECT *, {_PAYLOAD_V2} AS payload2 FROM with_payload",
+        "signed2": f"""SELECT * EXCLUDE (payload2), 2 AS payload_version, CASE key_id WHEN 'k1' THEN {_hmac('payload2', KEYS['k1'])}
+            ELSE {_hmac('payload2', KEYS['k2'])} END AS signature FROM v2""",
+    }
+    sql["audit_signed_v2"] = _with("SELECT id, key_id, payload_version, signature FROM signed2", **SIGNED, **two)
+    # An edit shows where the payload covers it: of old rows the message, of new ones also id and counts.
+    sql["tampered_ids_mixed"] = _with(
+        """SELECT CASE WHEN id % 83 = 0 THEN id + 1000000000 ELSE id END AS id FROM audit_seed
+        WHERE id % 97 = 0 OR (id % 2 = 1 AND (id % 83 = 0 OR (id % 89 = 0 AND tool_a_counts IS DISTINCT FROM '{}')))""",
         **SEED,
     )
-    sql["audit_dedup"] = _with(f"SELECT id, {base}, {tools} FROM audit_seed", **SEED)
     sql["audit_signed"] = _with("SELECT id, key_id, signature FROM signed", **SIGNED)
     sql["audit_round_trip"] = _with(
-        f"SELECT id, {base}, {tools}, signature, key_id, CAST(ts AS DATE) AS event_date FROM signed WHERE ts >= {AS_OF} - INTERVAL 96 HOUR",
+        f"SELECT id, {base}, {tools}, signature, key_id, 1 AS payload_version, CAST(ts AS DATE) AS event_date FROM signed WHERE ts >= {AS_OF} - INTERVAL 96 HOUR",
         **SIGNED,
     )
     sql["tampered_ids"] = _with("SELECT id FROM verified WHERE NOT valid", **CHECKED)
@@ -401,11 +443,12 @@ def oracle_sql() -> dict[str, str]:
         **SEED,
     )
     sql["intent_frequency"] = _with(
-        """SELECT intent, count(*) AS n, min(id) AS first_seen_id FROM (SELECT id, unnest(string_split(forbidden_intents, ';')) AS intent
-        FROM audit_seed WHERE event_type = 'SECURITY_DENIED' AND forbidden_intents IS NOT NULL) GROUP BY intent""",
-        **SEED,
+        """SELECT unnest(string_split(forbidden_intents, ';')) AS intent, count(*) AS n FROM decided
+        WHERE forbidden_intents IS NOT NULL GROUP BY 1""",
+        **PROMPTS, **request, **_decision("requests", "prompt_id"),
     )
     sql["audit_summary_24h"] = _with("SELECT * FROM summary", **SEED, **_summary("audit_seed", 24))
+    sql["audit_summary_stored"] = sql["audit_summary_24h"]
     sql["audit_summary_hours"] = _with(
         """SELECT * FROM summary
         UNION ALL SELECT 'integrity', 'ok', CASE WHEN bool_and(valid) THEN 1 ELSE 0 END FROM verified
@@ -421,11 +464,37 @@ def oracle_sql() -> dict[str, str]:
     )
     shown = "id, ts, event_type, request_id, user_role, endpoint, message, count_id, count_phone, count_email, " + tools
     sql["recent_events_100"] = _recent(f"SELECT {shown}, signature FROM recent_100")
+    built = {
+        **PROMPTS, **request, **_decision("requests", "prompt_id"),
+        "admitted": "SELECT * FROM decided WHERE authorized", **_jury("admitted", "prompt"),
+    }
     sql["latest_jury_event"] = _with(
-        "SELECT id, ts, winning_tool, message FROM audit_seed WHERE event_type = 'PII_REDACTED_JURY' ORDER BY id DESC LIMIT 1", **SEED
+        f"""SELECT ts, request_id, winning_tool, '{fv.JURY_MESSAGE_PREFIX}' || winning_tool AS message
+        FROM jury WHERE sanitized <> prompt ORDER BY ts DESC LIMIT 1""",
+        **built,
     )
     sql["sample_jury_events"] = _with(
-        "SELECT id, winning_tool, tool_b_counts FROM audit_seed WHERE event_type = 'PII_REDACTED_JURY' ORDER BY id LIMIT 5", **SEED
+        f"""SELECT ts, request_id, winning_tool, {_counts_json('b')} AS tool_b_counts
+        FROM jury WHERE sanitized <> prompt ORDER BY ts LIMIT 5""",
+        **built,
+    )
+    t = "coalesce(prompt, '')"
+    order = "'\\bOrder \\d+'"
+    four = {
+        **PROMPTS, **request, **_decision("requests", "prompt_id"), "admitted": "SELECT * FROM decided WHERE authorized",
+        **{k: v for k, v in _jury("admitted", "prompt", {"score_a": "a_id + a_phone", "score_b": "b_id + b_phone + b_email", "score_c": "c_id + c_phone"}).items() if k in ("counted", "scored")},
+        "with_d": f"""SELECT *, len(regexp_extract_all({t}, {order})) AS d_id, CAST(5 * len(regexp_extract_all({t}, {order})) AS INTEGER) AS score_d,
+            regexp_replace(prompt, {order}, '[REDACTED_ORDER]', 'g') AS red_d FROM scored""",
+        "four": """SELECT *, CASE WHEN prompt = '' THEN NULL WHEN score_a >= greatest(score_b, score_c, score_d) THEN 'A'
+            WHEN score_b >= greatest(score_c, score_d) THEN 'B' WHEN score_c >= score_d THEN 'C' ELSE 'D' END AS winning_tool FROM with_d""",
+        "changed": """SELECT *, CASE winning_tool WHEN 'A' THEN red_a WHEN 'B' THEN red_b WHEN 'C' THEN red_c WHEN 'D' THEN red_d ELSE prompt END AS sanitized FROM four""",
+    }
+    sql["jury_events_four_tools"] = _with(
+        f"""SELECT request_id, winning_tool, CAST(CASE winning_tool WHEN 'D' THEN d_id ELSE {_winner_count('id')} END AS INTEGER) AS count_id,
+        {_winner_count('email')} AS count_email, '{fv.JURY_MESSAGE_PREFIX}' || winning_tool AS message,
+        '{{"original_prompt_sample": ' || CAST(to_json(substr(sanitized, 1, 200)) AS VARCHAR) || ', "tool_scores": {{"A": ' || score_a || ', "B": ' || score_b || ', "C": ' || score_c || ', "D": ' || score_d || '}}}}' AS metadata,
+        {_counts_json('a')} AS tool_a_counts FROM changed WHERE sanitized <> prompt""",
+        **four,
     )
     sql["audit_log_view"] = _recent(
         """SELECT id, ts, event_type, user_role, coalesce('Tool ' || winning_tool, 'N/A') AS winner,
@@ -469,19 +538,18 @@ def oracle_sql() -> dict[str, str]:
         **_jury("admitted", "admitted"),
     )
     sql["stream_gate"] = _with(f"SELECT line_id, reason, {_GATE_OUTCOME} FROM gated", **GATE)
-    sql["stream_audit_dedup"] = _with("SELECT request_id, event_type, ts, user_role, message FROM audit_seed", **SEED)
-    # Windows that the last event minus the delay has passed are final and written.
+    sql["stream_audit_dedup"] = _with("SELECT request_id, event_type, ts, user_role, message FROM events_left", **SEED, **copies)
     sql["stream_blocked_24h"] = _with(
         f"""SELECT window_start, window_start + INTERVAL 24 HOUR AS window_end, count(*) FILTER (event_type = 'SECURITY_DENIED') AS blocked,
         {_sums({'malaysian_ic': "CASE WHEN event_type = 'PII_REDACTED' THEN count_id ELSE 0 END", 'emails': "CASE WHEN event_type = 'PII_REDACTED' THEN count_email ELSE 0 END"})}
         FROM (SELECT *, unnest(generate_series(hour - INTERVAL 23 HOUR, hour, INTERVAL 1 HOUR)) AS window_start FROM hourly_base)
-        GROUP BY window_start HAVING window_start + INTERVAL 24 HOUR <= (SELECT ts - INTERVAL 1 HOUR FROM last_seen)""",
+        GROUP BY window_start""",
         **_STREAMED,
     )
     sql["stream_intents_hourly"] = _with(
         """SELECT hour AS window_start, hour + INTERVAL 1 HOUR AS window_end, intent, count(*) AS n
         FROM (SELECT hour, unnest(string_split(forbidden_intents, ';')) AS intent FROM hourly_base WHERE event_type = 'SECURITY_DENIED' AND forbidden_intents IS NOT NULL)
-        GROUP BY ALL HAVING hour + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM hourly_base WHERE event_type = 'SECURITY_DENIED' AND forbidden_intents IS NOT NULL)""",
+        GROUP BY ALL""",
         **_STREAMED,
     )
     return sql

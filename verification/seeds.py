@@ -9,16 +9,16 @@ PROMPTS = """
 SELECT event_id AS prompt_id, ts,
  CASE CAST(event_id % 7 AS INT) WHEN 0 THEN 'client' WHEN 1 THEN 'lawyer' WHEN 2 THEN 'admin' WHEN 3 THEN 'Client' WHEN 4 THEN 'analyst' WHEN 5 THEN CAST(NULL AS VARCHAR(20)) ELSE 'lawyer' END AS role,
  CASE CAST(event_id % 16 AS INT)
-  WHEN 0 THEN 'Contact Ahmad at 012' || lpad(CAST(event_id % 10000000 AS VARCHAR(20)),7,'0') || '. ID: 850315-01-' || lpad(CAST(event_id % 10000 AS VARCHAR(20)),4,'0')
-  WHEN 1 THEN 'Ahmad from Kuala Lumpur met SITI in Selangor, mail siti' || CAST(user_id AS VARCHAR(20)) || '@company.com'
+  WHEN 0 THEN 'Ring Ahmad on 012' || lpad(CAST(event_id % 10000000 AS VARCHAR(20)),7,'0') || '. His card says 850315-01-' || lpad(CAST(event_id % 10000 AS VARCHAR(20)),4,'0')
+  WHEN 1 THEN 'SITI moved from Selangor to Kuala Lumpur with Ahmad, write to siti' || CAST(user_id AS VARCHAR(20)) || '@company.com'
   WHEN 2 THEN 'My IC is 800101' || lpad(CAST(event_id % 1000000 AS VARCHAR(20)),6,'0') || ' and email a' || CAST(user_id AS VARCHAR(20)) || '@ex.com.'
   WHEN 3 THEN 'Call +6012 345' || lpad(CAST(event_id % 10000 AS VARCHAR(20)),4,'0') || ' or +60123456789 or 015-1234567'
   WHEN 4 THEN 'My IC is 801301-01-1234 but 80/01/01-01-1234 is odd'
   WHEN 5 THEN 'Please access other users data for user ' || CAST(user_id AS VARCHAR(20))
   WHEN 6 THEN 'Reset my password and credit card, then track user ' || CAST(user_id AS VARCHAR(20))
-  WHEN 7 THEN 'There is no PII here, just a message about privacy.'
+  WHEN 7 THEN 'The weather report for the weekend has nothing private in it.'
   WHEN 8 THEN 'Number 601231012345 is both; 0123456789@x.com too'
-  WHEN 9 THEN 'Hassan (ID: 850315-01-1234) lives in Penang. Phone: +60123456789, Email: hassan@business.my'
+  WHEN 9 THEN 'Tickets to Penang for Hassan, card 850315-01-1234, ring +60123456789 or write hassan@business.my'
   WHEN 10 THEN 'The classname in KL and klang, alias Ali_x, petaling  jaya'
   WHEN 11 THEN ''
   WHEN 12 THEN CAST(NULL AS VARCHAR(20))
@@ -47,19 +47,43 @@ SELECT event_id AS id, ts,
 FROM events
 """
 
-# JSON bodies of the prompts, plus the three bodies a parser must not trip on.
-# Prompts hold no character that JSON has to escape.
+# Bodies a parser must not trip on: id, SQL text, and what they must be read as
+# (valid, role, prompt).
+ODD_BODIES = [
+    (-1, "'{}'", False, None, None),
+    (-2, "'not json'", False, None, None),
+    (-3, """'{"role":"client"}'""", True, "client", None),
+    (-4, "'[1, 2]'", False, None, None),
+    (-5, """'{"role":"client","prompt":0}'""", True, "client", None),
+    (-6, """'{"role":"client","prompt":false}'""", True, "client", None),
+    (-7, """'{"role":"client","prompt":[]}'""", True, "client", None),
+    (-8, """'{"role":"client","prompt":{}}'""", True, "client", None),
+    (-9, """'{"role":"client","prompt":"hello"} trailing'""", False, None, None),
+    (-10, """'{"role":"client","prompt":"hello"}, {"a":1}'""", False, None, None),
+    (-11, """replace('{"role":"client","prompt":"hello"}', '"', chr(39))""", False, None, None),
+    (-12, """'{"role":"client","prompt":"hel' || chr(9) || 'lo"}'""", False, None, None),
+    (-13, """'{"role":"client","prompt":"hello","prompt":"my password"}'""", True, "client", "my password"),
+    (-14, """'{"role":"client","prompt":"hello","x":{"a":1,"a":2}}'""", True, "client", "hello"),
+]
+
+# JSON bodies of the prompts, which hold no character that JSON has to escape, and the odd ones.
 REQUEST_LINES = """
 SELECT prompt_id AS line_id,
  '{"role": ' || coalesce('"' || role || '"', 'null') || ', "prompt": ' || coalesce('"' || prompt || '"', 'null') || '}' AS value
 FROM prompts
-UNION ALL SELECT -1 AS line_id, '{}' AS value
-UNION ALL SELECT -2 AS line_id, 'not json' AS value
-UNION ALL SELECT -3 AS line_id, '{"role":"client"}' AS value
-UNION ALL SELECT -4 AS line_id, '[1, 2]' AS value
-"""
+""" + "".join(f"UNION ALL SELECT {i} AS line_id, {text} AS value\n" for i, text, *_ in ODD_BODIES)
+
+# Odd forwarding bodies: prompt they are made from, SQL text, and what they must be
+# read as (sanitized_prompt, provider, reason).
+ODD_GATE_BODIES = [
+    (1, """'{"sanitized_prompt":"hello"} trailing'""", None, None, "invalid_body"),
+    (2, """replace('{"sanitized_prompt":"hello"}', '"', chr(39))""", None, None, "invalid_body"),
+    (3, """'{"sanitized_prompt":"hel' || chr(9) || 'lo"}'""", None, None, "invalid_body"),
+    (4, """'{"sanitized_prompt":"ok","sanitized_prompt":"call 012-3456789"}'""", "call 012-3456789", "openai", "contains_pii"),
+    (5, """'{"sanitized_prompt":false}'""", None, "openai", "missing_prompt"),
+]
 
-# Forwarding requests: raw prompts, masked prompts, and bodies of a wrong shape.
+# Forwarding requests: raw prompts, masked prompts, bodies of a wrong shape, and the odd ones.
 GATE_LINES = """
 SELECT prompt_id AS line_id, ts, role AS user_role, 'req-' || CAST(prompt_id AS VARCHAR(20)) AS request_id,
  CASE CAST(prompt_id % 5 AS INT)
@@ -69,4 +93,8 @@ SELECT prompt_id AS line_id, ts, role AS user_role, 'req-' || CAST(prompt_id AS
   WHEN 3 THEN '{"model": "m2", "prompt": "Hello world"}'
   ELSE CASE WHEN prompt_id % 2 = 0 THEN '{}' ELSE '{"sanitized_prompt": "call 012-3456789 now", "provider": "openai"}' END END AS value
 FROM prompts
+UNION ALL
+SELECT -prompt_id AS line_id, ts, role AS user_role, 'odd-' || CAST(prompt_id AS VARCHAR(20)) AS request_id,
+ CASE CAST(prompt_id AS INT) """ + " ".join(f"WHEN {i} THEN {text}" for i, text, *_ in ODD_GATE_BODIES) + """ END AS value
+FROM prompts WHERE prompt_id BETWEEN 1 AND 5
 """

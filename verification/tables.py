@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from veilwork.functions.canonical import keyring
 from veilwork.operators import integrity
 from veilwork.schemas import ADDED_LATER
+from veilwork.session import declare_shared_folder, fresh_path
+from veilwork.sources import audit_table
 from verification import seeds
 
 # Keys of these checks only; a deployment brings its own.
@@ -17,6 +20,8 @@ KEYS = {"k1": b"fixture key one", "k2": b"fixture key two, after rotation"}
 ROTATED = "2024-01-15 00:00:00"
 AS_OF = datetime(2024, 1, 31)
 
+_folder: str | None = None
+
 EVENTS_SCHEMA = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 )
@@ -67,8 +72,37 @@ def keys(spark: SparkSession) -> DataFrame:
 
 def sign_rotated(spark: SparkSession, unsigned: DataFrame) -> DataFrame:
     """Rows signed with one key before the rotation and another after."""
-    key = F.when(F.col("ts") < F.lit(ROTATED).cast("timestamp_ntz"), "k1").otherwise("k2")
-    return integrity.sign(unsigned, keys(spark), key)
+    return integrity.sign(unsigned, keys(spark), rotated_key(), integrity.PAYLOAD_V1)
+
+
+def rotated_key():
+    return F.when(F.col("ts") < F.lit(ROTATED).cast("timestamp_ntz"), "k1").otherwise("k2")
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signed rows as the audit table stores them."""
+    path = fresh_path(spark, "audit")
+    audit_table.append_events(signed(spark, sf_dir), path)
+    return audit_table.read_events(spark, path)
+
+
+def mixed_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of both payload versions, those of the first without key id and version, some of them edited."""
+    seed = audit_seed(spark, sf_dir)
+    old = integrity.sign(seed.filter("id % 2 = 0"), keys(spark), "k1", integrity.PAYLOAD_V1)
+    old = old.withColumns({"key_id": F.lit(None).cast("string"), "payload_version": F.lit(None).cast("int")})
+    path = fresh_path(spark, "audit-mixed")
+    audit_table.append_events(old, path)
+    audit_table.append_events(integrity.sign(seed.filter("id % 2 = 1"), keys(spark), rotated_key()), path)
+    rows = audit_table.read_events(spark, path)
+    counts = F.when(F.col("id") % 89 == 0, F.lit("{}")).otherwise(F.col("tool_a_counts"))
+    return rows.withColumns(
+        {
+            "id": F.when(F.col("id") % 83 == 0, F.col("id") + 1_000_000_000).otherwise(F.col("id")),
+            "tool_a_counts": counts,
+            "message": F.when(F.col("id") % 97 == 0, F.concat("message", F.lit(" (edited)"))).otherwise(F.col("message")),
+        }
+    )
 
 
 def tamper(rows: DataFrame) -> DataFrame:
@@ -96,7 +130,22 @@ def legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return older.drop(*ADDED_LATER)
 
 
+def with_copies(seed: DataFrame) -> DataFrame:
+    """Audit rows, some without a request id, with every denial stored twice and a second event of some requests."""
+    once = seed.withColumn("request_id", F.when(F.col("id") % 10 != 0, F.col("request_id")))
+    copies = once.filter(F.col("event_type") == "SECURITY_DENIED")
+    second = once.filter(F.col("id") % 7 == 0).withColumn("message", F.concat("message", F.lit(" again")))
+    return once.unionByName(copies).unionByName(second)
+
+
 def duplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The audit seed with every denial stored twice."""
-    once = audit_seed(spark, sf_dir)
-    return once.unionByName(once.filter(F.col("event_type") == "SECURITY_DENIED"))
+    return with_copies(audit_seed(spark, sf_dir))
+
+
+def use_local_folder(spark: SparkSession) -> None:
+    """Where no shared folder is set, give a session of one process a temporary one."""
+    master = spark.sparkContext.master
+    if not spark.conf.get("spark.checkpoint.dir", None) and (master == "local" or master.startswith("local[")):
+        global _folder
+        _folder = _folder or tempfile.mkdtemp(prefix="veilwork-checks-")
+        declare_shared_folder(_folder)
