@@ -248,20 +248,21 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     empty result.
     """
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
-    step = held(packed, ["row"], body=whole(F.col("row").getField(text)))
+    given = F.col("row").getField(text)
+    step = held(packed, ["row"], body=whole(given), missing=given.isNull())
     # Every value has a digit or an at sign; other texts are not searched.
     found = F.when(F.col("body").rlike("[0-9@]"), F.regexp_extract_all("body", F.lit(PATTERN), F.lit(0)))
-    step = held(step, ["row", "body"], value=F.coalesce(found, F.expr("cast(array() as array<string>)")))
-    step = held(step, ["row", "body"], made=F.transform("value", lambda v: _replaced(key, v)))
+    step = held(step, ["row", "body", "missing"], value=F.coalesce(found, F.expr("cast(array() as array<string>)")))
+    step = held(step, ["row", "body", "missing"], made=F.transform("value", lambda v: _replaced(key, v)))
     pieces = F.when(F.size("made") > 0, F.split("body", PATTERN, -1)).otherwise(F.array("body"))
-    step = held(step, ["row", "made"], piece=pieces)
+    step = held(step, ["row", "made", "missing"], piece=pieces)
     joined = F.array_join(
         F.zip_with("piece", "made", lambda p, m: F.concat(p, F.coalesce(m.getField("text"), F.lit("")))), ""
     )
     counts = [
         F.size(F.array_compact(F.transform("made", _is(kind)))).cast("long").alias(f"n_{kind}") for kind in KINDS
     ]
-    told = F.when(F.col("row").getField(text).isNull(), F.lit(None)).otherwise(joined)
+    told = F.when(~F.col("missing"), joined)
     return step.select("row", told.alias("text"), *counts)
 
 
