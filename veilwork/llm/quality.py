@@ -28,9 +28,10 @@ STOP_WORDS = (
 
 
 class Rule(NamedTuple):
-    """Reject if ``scale * measure`` is below ``least`` or above ``most`` times ``per``.
+    """Reject if ``scale * (measure + grace)`` is below ``least`` or above ``most`` times ``per``.
 
-    ``per`` is another measure, or None for 1.
+    ``per`` is another measure, or None for 1.  ``grace`` keeps a rate from being
+    judged on texts too short to have one.
     """
 
     name: str
@@ -39,6 +40,7 @@ class Rule(NamedTuple):
     scale: int = 1
     least: int | None = None
     most: int | None = None
+    grace: int = 0
 
 
 BASE_RULES = (
@@ -50,13 +52,13 @@ DEFAULT_RULES = (
     Rule("too_many_words", "n_words", most=1_000_000),
     Rule("word_length", "word_chars", per="n_words", least=2, most=12),
     Rule("symbols", "n_symbols", per="n_words", scale=100, most=10),
-    Rule("stop_words", "n_stop_words", per="n_words", scale=100, least=5),
+    Rule("stop_words", "n_stop_words", per="n_words", scale=100, least=5, grace=2),
     Rule("repeated_lines", "n_dup_lines", per="n_lines", scale=100, most=40),
 )
 
 
 def _breach(rule: Rule) -> Column:
-    value = F.col(rule.measure) * F.lit(rule.scale)
+    value = (F.col(rule.measure) + F.lit(rule.grace)) * F.lit(rule.scale)
     unit = F.col(rule.per) if rule.per else F.lit(1)
     low = value < unit * F.lit(rule.least) if rule.least is not None else F.lit(False)
     high = value > unit * F.lit(rule.most) if rule.most is not None else F.lit(False)

@@ -11,9 +11,9 @@ def _sql_rule(rule: quality.Rule) -> str:
     unit = rule.per or "1"
     parts = []
     if rule.least is not None:
-        parts.append(f"{rule.scale} * {rule.measure} < {rule.least} * {unit}")
+        parts.append(f"{rule.scale} * ({rule.measure} + {rule.grace}) < {rule.least} * {unit}")
     if rule.most is not None:
-        parts.append(f"{rule.scale} * {rule.measure} > {rule.most} * {unit}")
+        parts.append(f"{rule.scale} * ({rule.measure} + {rule.grace}) > {rule.most} * {unit}")
     return "(" + " OR ".join(parts) + ")"
 
 

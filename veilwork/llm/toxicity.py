@@ -110,7 +110,8 @@ def _rates(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     inside = odd.copy()
     inside[:1] = False
     inside[-1:] = False
-    inside[1:-1] &= part[:-2] & part[2:]
+    known = part | odd
+    inside[1:-1] &= known[:-2] & known[2:] & (part[:-2] | part[2:])
     obfuscated = counted(inside)
     result = np.zeros((len(texts), len(FEATURES)))
     result[:, 3] = counted(upper) / np.maximum(counted(letter), 1)
