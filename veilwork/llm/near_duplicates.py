@@ -242,8 +242,9 @@ def _probed(members: DataFrame, probes: DataFrame, matches: int, percent: int) -
     block and one chunk.
     """
     chunk = F.floor((F.row_number().over(Window.partitionBy("cluster", "block").orderBy("class")) - 1) / F.lit(BLOCK_CLASSES))
-    probes = probes.withColumn("chunk", F.col("block") + F.col("blocks") * chunk)  # of one block each
-    last = probes.groupBy("cluster").agg(F.collect_set("chunk").alias("chunks"))
+    probes = written(probes.withColumn("chunk", F.col("block") + F.col("blocks") * chunk), "probes")  # of one block each
+    # One row per large cluster, so that a cluster with very many members is not one key of a join.
+    last = hinted(written(probes.groupBy("cluster").agg(F.collect_set("chunk").alias("chunks")), "chunks"), BROADCAST_ROWS)
     sent = probes.withColumn("target", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sent = sent.filter("target <> block").withColumn("probe", F.lit(True))
     met = members.join(last, "cluster").withColumn("chunk", F.explode("chunks")).drop("chunks")
@@ -291,7 +292,7 @@ def connected(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     joined = written(_relabelled(known, across), "labelled")
     counts = joined.groupBy("cluster", "label").agg(F.count("*").alias("n"))
     most = counts.groupBy("cluster").agg(F.max(F.struct("n", "label")).getField("label").alias("most"))
-    rest = joined.join(most, "cluster").filter("label <> most").drop("most")
+    rest = joined.join(hinted(written(most, "most"), BROADCAST_ROWS), "cluster").filter("label <> most").drop("most")
     remaining = written(_probed(joined, rest, matches, percent), "links").select("a", "b")
     first = known.select("class", "label").union(stars.join(known, "class", "left_anti"))
     return _relabelled(first, across.union(remaining)).filter("class <> label").select("class", "label")
