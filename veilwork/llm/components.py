@@ -4,7 +4,7 @@ Every round replaces edges by edges to smaller neighbours (first from all larger
 neighbours of a node, then from all smaller ones) until each component is a star
 around its smallest node.  A round is two joins on a node; hot nodes are
 pre-aggregated for their minimum and split by adaptive skew joins.  The edges of
-each round are written to the shared folder.
+each round are written to the shared folder, and those of the round before deleted.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from veilwork.llm.work import written
+from veilwork.llm.work import discard, written
 
 
 def _stored(edges: DataFrame) -> tuple[DataFrame, tuple]:
@@ -40,7 +40,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = written(large, "edges")
         small = written(large.groupBy("a").agg(F.min("b").alias("m")), "minima")
         moved = large.join(small, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        current, after = _stored(moved.union(small.select("a", F.col("m").alias("b"))).distinct())
+        following, after = _stored(moved.union(small.select("a", F.col("m").alias("b"))).distinct())
+        discard(current, least, large, small)
+        current = following
         if after == before:
             break
         before = after
