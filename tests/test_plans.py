@@ -72,3 +72,31 @@ def test_generated_methods_can_be_compiled_by_the_jit(spark, sf_dir):
 def test_integrity_joins_only_the_keyring(spark, sf_dir):
     plan = _plan(integrity.integrity_rollup(tables.checked(spark, sf_dir)))
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("name", ["recent_events_100", "audit_log_view", "reliability_view"])
+def test_top_rows_are_taken_from_stored_signatures(spark, sf_dir, name):
+    plan = _plan(catalogue.queries()[name](spark, sf_dir))
+    assert "TakeOrderedAndProject" in plan and "sha2(" not in plan
+
+
+def test_the_report_of_a_day_reads_its_partitions(spark, sf_dir):
+    plan = _plan(catalogue.queries()["audit_summary_stored"](spark, sf_dir))
+    assert "PartitionFilters: [isnotnull(event_date" in plan
+
+
+def test_dedup_reduces_before_the_shuffle(spark, sf_dir):
+    plan = _plan(catalogue.queries()["audit_dedup"](spark, sf_dir))
+    assert plan.count("WindowGroupLimit") >= 2 and "SortAggregate" not in plan
+
+
+def test_nothing_in_the_library_falls_back_to_local_folders():
+    import pathlib
+
+    import veilwork
+
+    root = pathlib.Path(veilwork.__file__).parent
+    for file in root.rglob("*.py"):
+        if "llm" not in file.parts:
+            text = file.read_text()
+            assert "mkdtemp" not in text and ".rdd" not in text, file
