@@ -315,7 +315,9 @@ def _components_of(texts: DataFrame, described: DataFrame, percent: int) -> Data
     classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     labelled = classes.join(connected(classes, texts, percent), "class", "left").select(
         "set_key", "smallest", F.coalesce("label", F.col("class")).alias("label"))
-    smallest = labelled.groupBy("label").agg(F.min("smallest").alias("component_id"))
+    labelled = written(labelled, "labelled")
+    # Stored, so that the join with them can split a component with very many classes.
+    smallest = written(labelled.groupBy("label").agg(F.min("smallest").alias("component_id")), "smallest")
     found = written(labelled.join(smallest, "label").select("set_key", "component_id"), "found")
     result = described.drop("signature").join(found, "set_key", "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
