@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilwork.operators import integrity, jury, policy, reports
+from veilwork.operators.detectors import STRICT
 from verification import catalogue, tables
 
 
@@ -100,3 +101,10 @@ def test_nothing_in_the_library_falls_back_to_local_folders():
         if "llm" not in file.parts:
             text = file.read_text()
             assert "mkdtemp" not in text and ".rdd" not in text, file
+
+
+def test_one_tool_runs_only_its_own_patterns(spark, sf_dir):
+    prompts = tables.prompts(spark, sf_dir)
+    whole = _plan(jury.scores_only(prompts)).count("regexp_extract_all")
+    strict = _plan(jury.scores_only(prompts, detectors=[STRICT]).select("score_a"))
+    assert "ahmad" not in strict and strict.count("regexp_extract_all") < whole
