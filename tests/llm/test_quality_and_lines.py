@@ -75,3 +75,21 @@ def test_odd_texts_have_a_defined_result(spark, lined):
     assert found[None] is None and found[901] == "" and found[902] == "\n\n" and found[904] == "x" * 50_000
     assert found[903] == ""  # all its lines recur
     assert line_templates.without_recurring_lines(docs.limit(0)).count() == 0
+
+
+def _prose(seed):
+    rng = random.Random(seed)
+    return lambda n=12: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+
+
+def _kept(spark, rows):
+    return {r.row.doc_id: r.text for r in line_templates.drop_recurring(documents(spark, rows)).collect()}
+
+
+def test_blocks_of_several_lines_go(spark):
+    line = _prose(11)
+    block, footer = [line(6) for _ in range(3)], [line(6), line(6)]
+    own = {i: [line(), line()] for i in range(24)}
+    rows = [(i, "\n".join([own[i][0], *block, own[i][1]])) for i in range(12)]
+    rows += [(i, "\n".join([*own[i], *footer])) for i in range(12, 24)]
+    assert _kept(spark, rows) == {i: "\n".join(lines) for i, lines in own.items()}
