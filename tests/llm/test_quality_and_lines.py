@@ -93,3 +93,14 @@ def test_blocks_of_several_lines_go(spark):
     rows = [(i, "\n".join([own[i][0], *block, own[i][1]])) for i in range(12)]
     rows += [(i, "\n".join([*own[i], *footer])) for i in range(12, 24)]
     assert _kept(spark, rows) == {i: "\n".join(lines) for i, lines in own.items()}
+
+
+def test_a_group_of_near_copies_counts_once(spark):
+    line = _prose(12)
+    common, rare, body = line(6), line(6), [line() for _ in range(20)]
+    own = {i: [line(), line()] for i in range(8)}
+    rows = [(i, "\n".join([own[i][0], common, own[i][1], rare if i < 3 else line(6)])) for i in range(8)]
+    copies = [(100 + i, "\n".join([*body[:10], common, *body[10:], rare, f"{line(1)} end"])) for i in range(60)]
+    found = _kept(spark, rows + copies)
+    for i, text in rows + copies:  # common is in 8 texts and one group; rare in 3 and one
+        assert found[i] == text.replace(f"{common}\n", "")
