@@ -104,3 +104,12 @@ def test_a_group_of_near_copies_counts_once(spark):
     found = _kept(spark, rows + copies)
     for i, text in rows + copies:  # common is in 8 texts and one group; rare in 3 and one
         assert found[i] == text.replace(f"{common}\n", "")
+
+
+def test_values_from_finite_lists_are_variable_fields(spark):
+    line = _prose(13)
+    names, towns = [line(1) for _ in range(20)], [line(1) for _ in range(10)]
+    own = {i: [line(), line()] for i in range(200)}
+    said = "The order of user {} was sent from the city {} without any delay today"
+    rows = [(i, "\n".join([a, said.format(names[i % 20], towns[i // 20]), b])) for i, (a, b) in own.items()]
+    assert _kept(spark, rows) == {i: "\n".join(lines) for i, lines in own.items()}

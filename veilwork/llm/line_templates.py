@@ -187,7 +187,7 @@ def recurring(
     ``bodies`` has ``key`` (a digest of the text) and ``body``.
     """
     placed = written(_counted(bodies, leading), "placed")
-    templates = written(_generalised(bodies, placed, leading, fixed_percent, by_share=False), "templates")
+    templates = written(_generalised(bodies, placed, leading, fixed_percent, by_share=True), "templates")
     lines = placed.join(templates, ["leaf", "line"], "left")
     lines = written(lines.select(
         "key", "total", "place", "at", "n_words", F.coalesce("template", F.col("line")).alias("template")), "named")
