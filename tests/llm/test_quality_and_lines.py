@@ -113,3 +113,20 @@ def test_values_from_finite_lists_are_variable_fields(spark):
     said = "The order of user {} was sent from the city {} without any delay today"
     rows = [(i, "\n".join([a, said.format(names[i % 20], towns[i // 20]), b])) for i, (a, b) in own.items()]
     assert _kept(spark, rows) == {i: "\n".join(lines) for i, lines in own.items()}
+
+
+def test_long_passages_go_from_two_texts(spark):
+    line = _prose(14)
+    long, middle = [line(20) for _ in range(3)], [line(18) for _ in range(2)]
+    rows, left = [], {}
+    for i in range(7):  # 60 words in two texts, 36 in three
+        own, other = [line(25) for _ in range(4)], [line(18) for _ in range(2)]
+        part = long if i < 2 else middle if i < 5 else other
+        rows.append((i, "\n".join([*own[:2], *part, *own[2:]])))
+        left[i] = "\n".join(own) if i < 5 else rows[-1][1]
+    short = line(18)
+    rows += [(10 + i, "\n".join([line(25), short, line(25)])) for i in range(4)]
+    whole = [line(25) for _ in range(8)]  # versions of one text keep what they share
+    rows += [(20 + i, "\n".join([*whole[:7], line(25)])) for i in range(2)]
+    left |= {i: text for i, text in rows if i >= 10}
+    assert _kept(spark, rows) == left

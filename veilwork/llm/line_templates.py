@@ -44,7 +44,7 @@ MIN_CONTEXTS = 5
 FIXED_PERCENT = 70
 MIN_GROUPS = 5
 # Sequences of lines of more words than the first number recur in as many groups as the second.
-RUNS = ()
+RUNS = ((50, 2), (30, 3))
 # Texts are near copies from this similarity on, in percent of their shingles.
 NEAR = 80
 # A text counts for sequences if so many of its words, in percent, are in lines that no other group has.
