@@ -141,3 +141,20 @@ def test_pseudonyms_of_odd_tables(spark):
     assert sorted(r.text == r.row.text for r in rows) == [False, True, True]
     assert pseudonyms.pseudonymise(docs.limit(0), "k").count() == 0
     assert pseudonyms.pseudonymise(documents(spark, [(1, "1" * 50_000 + " " + "a" * 50_000 + "@")]), "k").first().n_card == 0
+
+
+def test_cards_beside_other_numbers(spark):
+    texts = [
+        "4111 1111 1111 1111", "4111 1111 1111 1111 123.", "exp 4111-1111-1111-1111 12/27", "no 12 4111 1111 1111 1111",
+        "4111111111111111 999", "7-4111111111111111-123", *[f"4111 1111 1111 1111 {n:03d}" for n in range(0, 100, 9)],
+        "1234 5678 9012 345",
+    ]
+    found = _changed(spark, texts)
+    card = found[0].text
+    assert card != texts[0] and luhn(card.replace(" ", ""))
+    for i, text in enumerate(texts[:-1]):
+        told = text
+        for between in (" ", "-", ""):
+            told = told.replace(between.join(["4111", "1111", "1111", "1111"]), card.replace(" ", between))
+        assert found[i].text == told and found[i].n_card == 1
+    assert found[len(texts) - 1].text == texts[-1]

@@ -15,6 +15,10 @@ whatever way their separators are written.  A domain is a pair of numbers below
 | phone | ten digits, ``+`` and country code in front   | the ten digits                            |
 | card  | 13 to 19 digits with a right Luhn digit       | all but the last; that is computed anew   |
 
+Other numbers that stand beside a card number, as its check value or date, stay as they are: of the
+whole groups of digits, those are the card that have a right Luhn digit; groups written in
+the usual way win, then longer ones.
+
 What does not validate stays as it is.  The key is a secret of the caller.
 """
 
@@ -37,6 +41,8 @@ SHAPES = (
     ("phone", r"(?<![0-9+])\+[0-9]{1,3}[ -]?(?:\([0-9]{3}\)|[0-9]{3})[ -]?[0-9]{3}[ -]?[0-9]{4}(?![0-9])"),
     ("card", r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"),
 )
+# Cards as they are printed, with spaces for separators.
+_USUAL = r"^(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{4,5})$"
 KINDS = tuple(kind for kind, _ in SHAPES)
 PATTERN = "|".join(shape for _, shape in SHAPES)
 
@@ -111,7 +117,7 @@ def luhn_sum(digits: Column) -> Column:
     )
 
 
-def _card(key: str, value: Column) -> Column:
+def _one_card(key: str, value: Column) -> Column:
     def changed(digits: Column) -> Column:
         body = F.length(digits) - 1
         half = (body / F.lit(2)).cast("int")
@@ -127,6 +133,32 @@ def _card(key: str, value: Column) -> Column:
     return _let(_digits(value), changed)
 
 
+def _card(key: str, value: Column) -> Column:
+    """``value`` with the card among its groups of digits changed, or null."""
+
+    def spans(group: Column) -> Column:
+        last = F.size(group) - 1
+        part = lambda i, j: F.slice(group, i + 1, j - i + 1)
+        every = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.transform(
+            F.sequence(i, last), lambda j: F.struct(
+                F.array_join(part(i, j), " ").rlike(_USUAL).alias("usual"),
+                F.length(F.array_join(part(i, j), "")).alias("digits"),
+                (-F.length(F.array_join(F.slice(group, 1, i), " ")) - F.when(i > 0, F.lit(1)).otherwise(F.lit(0))).alias("before"),
+                F.array_join(part(i, j), "").alias("number"),
+                F.length(F.array_join(part(i, j), " ")).alias("width"),
+            ))))
+        fitting = F.filter(every, lambda x: x.getField("digits").between(13, 19))
+        return F.array_max(F.filter(fitting, lambda x: luhn_sum(x.getField("number")) % 10 == 0))
+
+    def put(best: Column) -> Column:
+        start, width = -best.getField("before"), best.getField("width")
+        made = _one_card(key, F.substring(value, start + 1, width))
+        return F.when(best.isNotNull(), F.concat(
+            F.substring(value, F.lit(1), start), made, F.substring(value, start + width + 1, F.length(value))))
+
+    return _let(_let(F.split(value, "[ -]"), spans), put)
+
+
 def _phone(key: str, value: Column) -> Column:
     def changed(digits: Column) -> Column:
         code = F.length(digits) - 10
