@@ -49,6 +49,12 @@ def test_features(spark):
     assert rates[5]["capitals"] == 1 and rates[5]["questions"] == 0.5
 
 
+def test_spaced_words_are_undone_without_a_full_stop(spark):
+    texts = ["such an i-d-i-o-t", "such an i_d_i_o_t", "such an i~d~i~o~t", "such an i.d.i.o.t"]
+    rows = toxicity.with_features(documents(spark, list(enumerate(texts))).select("doc_id", "text"), "text", ["idiot"]).collect()
+    assert all(r.rates[toxicity.FEATURES.index("obfuscated_lexicon")] > 0 for r in rows)
+
+
 def test_without_two_kinds_of_labels_all_scores_are_0(spark):
     docs = documents(spark, [(i, "the cat") for i in range(30)])
     none = spark.createDataFrame([(None, 1), (3, None)], "doc_id long, toxic int")

@@ -128,7 +128,7 @@ def _rates(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
             result[row, 0] = len(hits) / n_words[row]
             result[row, 1] = min(len(hits), 20)
             result[row, 2] = near / len(hits)
-        if obfuscated[row] or "." in text and _BETWEEN.search(text):
+        if obfuscated[row] or _BETWEEN.search(text):
             plain = _BETWEEN.sub("", text.translate(_PLAIN))
             result[row, 8] = max(0, len(lexicon.starts(plain)) - len(hits)) / n_words[row]
     return result
