@@ -42,6 +42,12 @@ def test_rules_are_a_table(spark):
     assert quality.passing(docs, rules=[quality.Rule("short", "n_words", most=5)]).count() == 0
 
 
+def test_no_text_is_rejected_for_its_length_alone(spark):
+    measures = dict(word_chars=5_000_000, n_symbols=0, n_lines=1, n_dup_lines=0, n_stop_words=500_000, n_repeat_words=0)
+    row = spark.createDataFrame([(1_000_001, *measures.values())], ["n_words", *measures])
+    assert not row.select(quality.breached(quality.BASE_RULES + quality.DEFAULT_RULES)).first()[0]
+
+
 @pytest.fixture(scope="module")
 def lined(spark):
     rng = random.Random(4)

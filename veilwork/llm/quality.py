@@ -49,7 +49,6 @@ BASE_RULES = (
 )
 
 DEFAULT_RULES = (
-    Rule("too_many_words", "n_words", most=1_000_000),
     Rule("word_length", "word_chars", per="n_words", least=2, most=12),
     Rule("symbols", "n_symbols", per="n_words", scale=100, most=10),
     Rule("stop_words", "n_stop_words", per="n_words", scale=100, least=5, grace=2),
