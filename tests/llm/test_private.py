@@ -74,6 +74,12 @@ def test_spans_equal_plain_python(spark):
     assert secret_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_digit_strings_are_found(spark):
+    texts = ["id 73019264850617394825 x", "id 12345678901234567890 x", "id 98765432109876543210 x", "id 11111111112222222222 x"]
+    found = {r.row.doc_id: [(s.start, s.end) for s in r.added] for r in secret_scan.scan(documents(spark, list(enumerate(texts)))).collect()}
+    assert found == {0: [(3, 23)], 1: [], 2: [], 3: []}
+
+
 def test_query_digest(spark, sf_dir):
     from veilwork.llm.queries import queries
 

@@ -49,13 +49,13 @@ class CharacterClass(NamedTuple):
 
 # The first class whose pattern the whole candidate matches holds.
 CLASSES = (
-    CharacterClass("digits", r"^[0-9]+$", 9.0),
+    CharacterClass("digits", r"^[0-9]+$", 2.6),
     CharacterClass("hex", r"^([0-9a-f]+|[0-9A-F]+)$", 3.0),
     CharacterClass("letters", r"^[A-Za-z]+$", 4.15),
     CharacterClass("base64", r"^[A-Za-z0-9+/_-]+$", 3.7),
 )
 # Candidates that contain one of these are not secrets.
-ALLOWED = r"(?i)example|placeholder|x{8}|0123456789|abcdefghij|^[0-9a-f]{8}-[0-9a-f]{4}-|^[a-z]+([-_/][a-z]+)+$"
+ALLOWED = r"(?i)example|placeholder|x{8}|0123456789|^[0-9]*9876543210[0-9]*$|abcdefghij|^[0-9a-f]{8}-[0-9a-f]{4}-|^[a-z]+([-_/][a-z]+)+$"
 
 # c * log2(c) for counts up to the window and one beyond.
 WEIGHTS = tuple(round(c * math.log2(c) * SCALE) if c else 0 for c in range(WINDOW + 2))
