@@ -5,7 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm import bpe, exact_index, line_templates, mixing, near_duplicates, pseudonyms, quality, secret_scan, toxicity, warc
+from veilwork.llm import (
+    bpe,
+    exact_index,
+    fill_middle,
+    line_templates,
+    mixing,
+    near_duplicates,
+    pseudonyms,
+    quality,
+    secret_scan,
+    sharding,
+    toxicity,
+    warc,
+)
 from veilwork.llm.work import fresh_path, reachable
 
 _QUERIES = {}
@@ -124,3 +137,19 @@ def op9_repeated_lines(spark, sf_dir):
 @query
 def op10_exact_index(spark, sf_dir):
     return exact_index.groups(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_fill_middle(spark, sf_dir):
+    cut = fill_middle.transform(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    output = F.col("output")
+    return cut.select(
+        F.col("row.doc_id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(output, 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(output, F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+@query
+def op13_hash_tree(spark, sf_dir):
+    return sharding.placements(_table(spark, sf_dir, "documents"))

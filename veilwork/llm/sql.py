@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilwork.llm import line_templates, quality, secret_scan
+from veilwork.llm import line_templates, quality, secret_scan, sharding
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -234,6 +234,93 @@ SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_
 FROM raw LEFT JOIN counted USING (doc_id)"""
 
 
+OP12 = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS body,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+         sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+drawn AS (
+  SELECT *, CAST(len(u) AS BIGINT) AS n,
+         [CAST('0x' || h[8 * k + 1:8 * k + 8] AS BIGINT) FOR k IN [0, 1, 2, 3]] AS d
+  FROM cut),
+formed AS (
+  SELECT *, least(d[1] % (n + 1), d[2] % (n + 1)) AS i, greatest(d[1] % (n + 1), d[2] % (n + 1)) AS j,
+         CASE WHEN body = '' OR regexp_matches(body, '<[PSM]>') OR d[3] % 100 >= 50 THEN 'plain'
+              WHEN d[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn),
+parted AS (
+  SELECT *, array_to_string(u[1:i], '') AS p, array_to_string(u[i + 1:j], '') AS m, array_to_string(u[j + 1:], '') AS s
+  FROM formed)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN body WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(body) AS restored_sha256
+FROM parted"""
+
+
+def _sql_draw(key: str, node: sharding.Node) -> str:
+    number = f"CAST('0x' || substr(md5('{node.name}|' || {key}), 1, 13) AS BIGINT)"
+    return f"-ln(({number} + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / {float(node.weight)}::DOUBLE"
+
+
+def _sql_shard(key: str, node: sharding.Node) -> str:
+    """The shard below ``node``: the child with the shortest time, then on below it."""
+    if node.shard is not None:
+        return str(node.shard)
+    if len(node.children) == 1:
+        return _sql_shard(key, node.children[0])
+    draws = [_sql_draw(key, child) for child in node.children]
+    least = f"least({', '.join(draws)})"
+    branches = " ".join(f"WHEN {d} THEN {_sql_shard(key, c)}" for d, c in zip(draws, node.children, strict=True))
+    return f"CASE {least} {branches} END"
+
+
+_TREE = sharding.even_tree()
+
+def _crc_digit(digit: int, place: int) -> int:
+    """What hex digit ``place`` (0: the lowest) of four bytes adds to a CRC-32: its rule, bit by bit."""
+    for _ in range(32 - 4 * place):
+        digit = digit >> 1 ^ (3988292384 if digit & 1 else 0)
+    return digit
+
+
+_DIGITS = [[_crc_digit(digit, place) for digit in range(16)] for place in range(8)]
+_FOUR = " || ".join(f"w[{7 - 2 * k}:{8 - 2 * k}]" for k in range(4))
+_STEPS = "xor(" * 7 + ", ".join(
+    f"CAST({_DIGITS[k]} AS BIGINT[])[1 + ((xor(c, d) >> {4 * k}) & 15)]" + ")" * (k > 0) for k in range(8)
+)
+
+# CRC-32 of four bytes a step, by hex digits; the bytes before the first multiple of four are
+# taken digit by digit, low one first.
+OP13 = f"""
+WITH bytes AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, (strlen(coalesce(text, '')) % 4) AS r,
+         coalesce(CAST(doc_id AS VARCHAR), '') AS k
+  FROM documents),
+started AS (
+  SELECT doc_id, k, x, r, list_reduce(
+           [4294967295] || list_transform(generate_series(1, 2 * r),
+             lambda p: CAST(instr('0123456789ABCDEF', x[p + CASE WHEN p % 2 = 1 THEN 1 ELSE -1 END]) - 1 AS BIGINT)),
+           lambda c, d: xor(c >> 4, CAST({_DIGITS[7]} AS BIGINT[])[1 + (xor(c, d) & 15)])) AS c0
+  FROM bytes),
+summed AS (
+  SELECT doc_id, k, CAST(length(x) // 2 + 8 AS BIGINT) AS size,
+         xor(list_reduce([c0] || list_transform(regexp_extract_all(x[2 * r + 1:], '.{{8}}'),
+           lambda w: CAST('0x' || {_FOUR} AS BIGINT)), lambda c, d: {_STEPS}), 4294967295) AS text_crc32
+  FROM started),
+placed AS (
+  SELECT doc_id, size, text_crc32, {_sql_shard('k', _TREE)} AS shard, {_sql_shard('k', sharding.grown(_TREE))} AS grown_shard,
+         substr(md5(concat_ws('|', k, CAST(size AS VARCHAR), CAST(text_crc32 AS VARCHAR))), 1, 15) AS place
+  FROM summed)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY place, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot,
+       CAST(grown_shard AS INTEGER) AS grown_shard
+FROM placed"""
+
+
 def oracle_sql():
     return {
         "op3_mixing": OP3,
@@ -243,4 +330,6 @@ def oracle_sql():
         "op8_quality_rules": OP8,
         "op9_line_templates": OP9,
         "op10_exact_index": OP10,
+        "op12_fill_middle": OP12,
+        "op13_hash_tree": OP13,
     }
