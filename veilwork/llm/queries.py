@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilwork.llm import (
     bpe,
+    collocations,
     exact_index,
     fill_middle,
     line_templates,
@@ -139,6 +140,11 @@ def op10_exact_index(spark, sf_dir):
     return exact_index.groups(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_collocations(spark, sf_dir):
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_fill_middle(spark, sf_dir):
     cut = fill_middle.transform(_table(spark, sf_dir, "documents"), keep=["doc_id"])

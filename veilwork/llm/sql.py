@@ -234,6 +234,38 @@ SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_
 FROM raw LEFT JOIN counted USING (doc_id)"""
 
 
+OP11 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+split_up AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+places AS (
+  SELECT lang, w, size, unnest(generate_series(1, len(w) - size + 1)) AS p
+  FROM split_up, (SELECT unnest([1, 2, 3, 4]) AS size) WHERE len(w) >= size),
+counted AS (
+  SELECT lang, array_to_string(w[p:p + size - 1], ' ') AS phrase, any_value(size) AS size, count(*) AS f
+  FROM places GROUP BY ALL),
+totals AS (SELECT lang, sum(len(w)) AS n FROM split_up GROUP BY lang),
+candidate AS (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS w FROM counted WHERE size > 1 AND f >= 30),
+cuts AS (
+  SELECT *, array_to_string(w[1:k], ' ') AS first, array_to_string(w[k + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(generate_series(1, size - 1)) AS k FROM candidate)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r, CAST(2000000::HUGEINT * a // (l.f::HUGEINT + r.f) AS BIGINT) AS score
+  FROM cuts c JOIN counted l ON l.lang = c.lang AND l.phrase = c.first JOIN counted r ON r.lang = c.lang AND r.phrase = c.rest),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[p:p + s - 1], ' ') AS phrase, max(a) AS over
+  FROM (SELECT *, unnest(generate_series(1, size - s + 1)) AS p
+        FROM (SELECT *, unnest(generate_series(2, size - 1)) AS s FROM candidate WHERE size > 2))
+  GROUP BY ALL)
+SELECT o.lang, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, o.phrase) AS rank, o.phrase, a, l, r,
+       CAST(n AS BIGINT) AS n, score
+FROM lowest o LEFT JOIN inside i ON i.lang = o.lang AND i.phrase = o.phrase JOIN totals t ON t.lang = o.lang
+WHERE over IS NULL OR 100 * over < 80 * a
+QUALIFY rank <= 2000"""
+
 OP12 = r"""
 WITH cut AS (
   SELECT doc_id, coalesce(text, '') AS body,
@@ -330,6 +362,7 @@ def oracle_sql():
         "op8_quality_rules": OP8,
         "op9_line_templates": OP9,
         "op10_exact_index": OP10,
+        "op11_collocations": OP11,
         "op12_fill_middle": OP12,
         "op13_hash_tree": OP13,
     }
