@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilwork import fixed_values as fv
 from veilwork.functions.masking import has_strict_pii
 from veilwork.functions.once import evaluated_once
-from veilwork.sources.requests import is_text, json_body
+from veilwork.sources.requests import is_text, json_body, written_text
 
 
 def generate_gate(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -23,7 +23,7 @@ def generate_gate(lines: DataFrame, value: str = "value") -> DataFrame:
         json_body(F.col(value), "sanitized_prompt", "provider", "model").alias("_body"),
         F.json_object_keys(F.col(value)).alias("_keys"),
     )
-    text_of = lambda name: F.try_variant_get(F.col(f"_body.{name}"), "$", "string")
+    text_of = lambda name: written_text(F.col(value), name, F.col(f"_body.{name}"))
     has_provider = F.coalesce(F.array_contains("_keys", "provider"), F.lit(False))
     fields = body.select(
         *lines.columns,

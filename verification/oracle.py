@@ -86,14 +86,35 @@ def _decision(source: str, key: str) -> dict[str, str]:
     }
 
 
+def _fields(source: str, names: list[str]) -> dict[str, str]:
+    """CTEs ``bodies`` and ``typed``: ``ok`` where the line is one JSON object with keys, and of each name
+    the JSON value of its last key (``<name>_json``)."""
+    last = ", ".join(f"(SELECT last(value ORDER BY id) FROM json_each(b.body) WHERE key = '{n}') AS {n}_json" for n in names)
+    return {
+        "bodies": f"""SELECT *, CASE WHEN json_valid(value) THEN CASE WHEN json_type(value) = 'OBJECT' THEN value END END AS body
+            FROM {source}""",
+        "typed": f"SELECT *, coalesce(len(json_keys(body)) > 0, false) AS ok, {last} FROM bodies b",
+    }
+
+
+def _as_text(name: str) -> str:
+    return f"CASE WHEN json_type({name}_json) = 'VARCHAR' THEN json_extract_string({name}_json, '$') ELSE CAST({name}_json AS VARCHAR) END"
+
+
+def _if_filled(name: str) -> str:
+    """The text of a value; none where it counts as empty: null, false, 0, an empty list or object."""
+    numbers = "('BIGINT', 'UBIGINT', 'DOUBLE', 'HUGEINT', 'UHUGEINT')"
+    return f"""CASE WHEN json_type({name}_json) = 'NULL' OR {_as_text(name)} IN ('[]', '{{}}') AND json_type({name}_json) <> 'VARCHAR'
+            OR json_type({name}_json) = 'BOOLEAN' AND {_as_text(name)} = 'false'
+            OR json_type({name}_json) IN {numbers} AND try_cast({_as_text(name)} AS DOUBLE) = 0 THEN NULL
+            ELSE {_as_text(name)} END"""
+
+
 PARSED = {
     **PROMPTS,
     "request_lines": seeds.REQUEST_LINES,
-    "bodies": "SELECT line_id, value, CASE WHEN json_valid(value) THEN value END AS body FROM request_lines",
-    "parsed": """SELECT line_id, value, coalesce(json_type(body) = 'OBJECT' AND len(json_keys(body)) > 0, false) AS valid,
-        json_extract_string(body, '$.role') AS role, json_extract_string(body, '$.prompt') AS prompt FROM bodies WHERE line_id >= 0
-        UNION ALL SELECT line_id, value, valid, role, prompt FROM request_lines
-        JOIN (""" + _values([(i, *told) for i, _, *told in seeds.ODD_BODIES]) + """) AS o(line_id, valid, role, prompt) USING (line_id)""",
+    **_fields("request_lines", ["role", "prompt"]),
+    "parsed": f"SELECT line_id, value, ok AS valid, {_if_filled('role')} AS role, {_if_filled('prompt')} AS prompt FROM typed",
 }
 
 
@@ -203,14 +224,13 @@ def _detections(column: str) -> str:
 GATE = {
     **PROMPTS,
     "gate_lines": seeds.GATE_LINES,
-    "gate_bodies": "SELECT *, coalesce(len(json_keys(value)), 0) > 0 AS ok FROM gate_lines",
-    "gate_fields": """SELECT *, CASE WHEN ok AND json_type(value, '$.sanitized_prompt') = 'VARCHAR' THEN json_extract_string(value, '$.sanitized_prompt') END AS sanitized_prompt,
-        CASE WHEN list_contains(json_keys(value), 'provider') THEN json_extract_string(value, '$.provider') WHEN ok THEN 'openai' END AS provider,
-        json_extract_string(value, '$.model') AS model FROM gate_bodies""",
+    **_fields("gate_lines", ["sanitized_prompt", "provider", "model"]),
+    "gate_fields": f"""SELECT *, CASE WHEN json_type(sanitized_prompt_json) = 'VARCHAR' THEN {_as_text('sanitized_prompt')} END AS sanitized_prompt,
+        CASE WHEN list_contains(json_keys(body), 'provider') THEN CASE WHEN json_type(provider_json) <> 'NULL' THEN {_as_text('provider')} END
+             WHEN ok THEN 'openai' END AS provider,
+        CASE WHEN json_type(model_json) <> 'NULL' THEN {_as_text('model')} END AS model FROM typed""",
     "gated": f"""SELECT *, CASE WHEN NOT ok THEN 'invalid_body' WHEN sanitized_prompt IS NULL OR sanitized_prompt = '' THEN 'missing_prompt'
-        WHEN {_mask('sanitized_prompt', *STRICT)} <> sanitized_prompt THEN 'contains_pii' ELSE 'forward' END AS reason FROM gate_fields WHERE line_id >= 0
-        UNION ALL SELECT l.*, NULL, o.sanitized_prompt, o.provider, NULL, o.reason FROM gate_lines l
-        JOIN ({_values([(-i, *told) for i, _, *told in seeds.ODD_GATE_BODIES])}) AS o(line_id, sanitized_prompt, provider, reason) ON l.line_id = o.line_id""",
+        WHEN {_mask('sanitized_prompt', *STRICT)} <> sanitized_prompt THEN 'contains_pii' ELSE 'forward' END AS reason FROM gate_fields""",
 }
 _GATE_OUTCOME = "CASE WHEN reason = 'forward' THEN 200 ELSE 400 END AS code, reason = 'contains_pii' AS audit"
 

@@ -47,23 +47,40 @@ SELECT event_id AS id, ts,
 FROM events
 """
 
-# Bodies a parser must not trip on: id, SQL text, and what they must be read as
-# (valid, role, prompt).
+# Bodies a parser must not trip on: id and SQL text.  What they are read as is computed by the oracle.
 ODD_BODIES = [
-    (-1, "'{}'", False, None, None),
-    (-2, "'not json'", False, None, None),
-    (-3, """'{"role":"client"}'""", True, "client", None),
-    (-4, "'[1, 2]'", False, None, None),
-    (-5, """'{"role":"client","prompt":0}'""", True, "client", None),
-    (-6, """'{"role":"client","prompt":false}'""", True, "client", None),
-    (-7, """'{"role":"client","prompt":[]}'""", True, "client", None),
-    (-8, """'{"role":"client","prompt":{}}'""", True, "client", None),
-    (-9, """'{"role":"client","prompt":"hello"} trailing'""", False, None, None),
-    (-10, """'{"role":"client","prompt":"hello"}, {"a":1}'""", False, None, None),
-    (-11, """replace('{"role":"client","prompt":"hello"}', '"', chr(39))""", False, None, None),
-    (-12, """'{"role":"client","prompt":"hel' || chr(9) || 'lo"}'""", False, None, None),
-    (-13, """'{"role":"client","prompt":"hello","prompt":"my password"}'""", True, "client", "my password"),
-    (-14, """'{"role":"client","prompt":"hello","x":{"a":1,"a":2}}'""", True, "client", "hello"),
+    (-1, "'{}'"),
+    (-2, "'not json'"),
+    (-3, """'{"role":"client"}'"""),
+    (-4, "'[1, 2]'"),
+    (-5, """'{"role":"client","prompt":0}'"""),
+    (-6, """'{"role":"client","prompt":false}'"""),
+    (-7, """'{"role":"client","prompt":[]}'"""),
+    (-8, """'{"role":"client","prompt":{}}'"""),
+    (-9, """'{"role":"client","prompt":"hello"} trailing'"""),
+    (-10, """'{"role":"client","prompt":"hello"}, {"a":1}'"""),
+    (-11, """replace('{"role":"client","prompt":"hello"}', '"', chr(39))"""),
+    (-12, """'{"role":"client","prompt":"hel' || chr(9) || 'lo"}'"""),
+    (-13, """'{"role":"client","prompt":"hello","prompt":"my password"}'"""),
+    (-14, """'{"role":"client","prompt":"hello","x":{"a":1,"a":2}}'"""),
+    (-15, """'{"role":"client","prompt":"hi"}] garbage'"""),
+    (-16, """'{"role":"client","prompt":"hi"}]'"""),
+    (-17, """'{"role":"client","prompt":"hi"}] , {"x":1}'"""),
+    (-18, """'{"role":"client","prompt":"hi"}, {"_seal":"x"}]'"""),
+    (-19, """'{"role":"client","prompt":"hi"}, {"_seal":null}] [{"a":1}'"""),
+    (-20, """'{"role":"client","prompt":"hi"}}'"""),
+    (-21, """'{"role":"client","prompt":"hi"'"""),
+    (-22, """'  {"role":"client","prompt":"hi"}  '"""),
+    (-23, """'{"role":"client","prompt":1.0}'"""),
+    (-24, """'{"role":"client","prompt":-2.50}'"""),
+    (-25, """'{"role":"client","prompt":12}'"""),
+    (-26, """'{"role":"client","prompt":true}'"""),
+    (-27, """'{"role":"client","prompt":0.0}'"""),
+    (-28, """'{"role":"client","prompt":"a ] b } c","_seal":"x"}'"""),
+    (-29, "''"),
+    (-30, "CAST(NULL AS VARCHAR(20))"),
+    (-31, """'{"role":"client"} {"role":"client","prompt":"hi"}'"""),
+    (-32, """'] {"role":"client","prompt":"hi"}'"""),
 ]
 
 # JSON bodies of the prompts, which hold no character that JSON has to escape, and the odd ones.
@@ -71,16 +88,20 @@ REQUEST_LINES = """
 SELECT prompt_id AS line_id,
  '{"role": ' || coalesce('"' || role || '"', 'null') || ', "prompt": ' || coalesce('"' || prompt || '"', 'null') || '}' AS value
 FROM prompts
-""" + "".join(f"UNION ALL SELECT {i} AS line_id, {text} AS value\n" for i, text, *_ in ODD_BODIES)
+""" + "".join(f"UNION ALL SELECT {i} AS line_id, {text} AS value\n" for i, text in ODD_BODIES)
 
-# Odd forwarding bodies: prompt they are made from, SQL text, and what they must be
-# read as (sanitized_prompt, provider, reason).
+# Odd forwarding bodies: the prompt they are made from, and SQL text.
 ODD_GATE_BODIES = [
-    (1, """'{"sanitized_prompt":"hello"} trailing'""", None, None, "invalid_body"),
-    (2, """replace('{"sanitized_prompt":"hello"}', '"', chr(39))""", None, None, "invalid_body"),
-    (3, """'{"sanitized_prompt":"hel' || chr(9) || 'lo"}'""", None, None, "invalid_body"),
-    (4, """'{"sanitized_prompt":"ok","sanitized_prompt":"call 012-3456789"}'""", "call 012-3456789", "openai", "contains_pii"),
-    (5, """'{"sanitized_prompt":false}'""", None, "openai", "missing_prompt"),
+    (1, """'{"sanitized_prompt":"hello"} trailing'"""),
+    (2, """replace('{"sanitized_prompt":"hello"}', '"', chr(39))"""),
+    (3, """'{"sanitized_prompt":"hel' || chr(9) || 'lo"}'"""),
+    (4, """'{"sanitized_prompt":"ok","sanitized_prompt":"call 012-3456789"}'"""),
+    (5, """'{"sanitized_prompt":false}'"""),
+    (6, """'{"sanitized_prompt":"ok"}] {"sanitized_prompt":"a@b.com"}'"""),
+    (7, """'{"sanitized_prompt":"ok"}]'"""),
+    (8, """'{"sanitized_prompt":"ok"}, {"_seal":"x"}]'"""),
+    (9, """'{"sanitized_prompt":"ok","model":1.50,"provider":2}'"""),
+    (10, """'{"sanitized_prompt":"ok ]","model":"m","model":"n"}'"""),
 ]
 
 # Forwarding requests: raw prompts, masked prompts, bodies of a wrong shape, and the odd ones.
@@ -95,6 +116,6 @@ SELECT prompt_id AS line_id, ts, role AS user_role, 'req-' || CAST(prompt_id AS
 FROM prompts
 UNION ALL
 SELECT -prompt_id AS line_id, ts, role AS user_role, 'odd-' || CAST(prompt_id AS VARCHAR(20)) AS request_id,
- CASE CAST(prompt_id AS INT) """ + " ".join(f"WHEN {i} THEN {text}" for i, text, *_ in ODD_GATE_BODIES) + """ END AS value
-FROM prompts WHERE prompt_id BETWEEN 1 AND 5
+ CASE CAST(prompt_id AS INT) """ + " ".join(f"WHEN {i} THEN {text}" for i, text in ODD_GATE_BODIES) + f""" END AS value
+FROM prompts WHERE prompt_id BETWEEN 1 AND {len(ODD_GATE_BODIES)}
 """
