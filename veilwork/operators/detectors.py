@@ -1,7 +1,7 @@
 """Detectors as data: pattern rules or word lists, compiled to columns.
 
 A further detector is a further entry in the list given to the jury; it needs
-no code of its own.
+no code of its own.  What no pattern can tell is in ``vector_detectors``.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from veilwork import fixed_values as fv
 from veilwork.functions import patterns as rx
 from veilwork.functions.masking import GUARDS, LOOSE_RULES, STRICT_RULES, PatternRule
 from veilwork.functions.once import evaluated_once
+from veilwork.functions.spans import matches
 
 SLOTS = ("id", "phone", "email")
 
@@ -35,6 +36,23 @@ class Detector:
     def hit_columns(self, slot: str | None = None) -> list[str]:
         return [self.hit_column(step.kind) for step in self.steps if slot in (None, step.slot)]
 
+    def working_columns(self) -> list[str]:
+        """What ``with_counts`` adds."""
+        return self.hit_columns()
+
+    @property
+    def rounds(self) -> int:
+        """How many masking passes there are."""
+        return len(self.steps)
+
+    def found_before(self, number: int) -> str:
+        """SQL text of the hits that pass ``number`` and those before it replace."""
+        return " + ".join(self.hit_columns()[: number + 1])
+
+    def masked(self, number: int, text: Column) -> Column:
+        """What pass ``number`` makes of the text the passes before it have left."""
+        return self.steps[number].masked(text)
+
     def slot_sum(self, slot: str) -> str:
         """SQL text of the count a slot holds."""
         return " + ".join(self.hit_columns(slot)) or "0"
@@ -68,6 +86,11 @@ class PatternDetector(Detector):
         matches = [self._where_possible(rule, rule.matches(F.col(text))) for rule in self.rules]
         return df.select("*", *[m.alias(name) for m, name in zip(matches, self.hit_columns())])
 
+    def with_spans(self, df: DataFrame, text: str) -> DataFrame:
+        """Add the places of every rule's hits in the text as arrays."""
+        places = [self._where_possible(rule, matches(F.col(text), rule.regex, rule.hit_group)) for rule in self.rules]
+        return df.select("*", *[p.alias(name) for p, name in zip(places, self.hit_columns())])
+
 
 @dataclass(frozen=True)
 class WordList:
@@ -153,6 +176,11 @@ class DictionaryDetector(Detector):
             current = word_list.masked(current)
         return df
 
+    def with_spans(self, df: DataFrame, text: str) -> DataFrame:
+        """Add the places of every list's words in the text as arrays, each list looked for by itself."""
+        places = [matches(F.col(text), word_list.regex) for word_list in self.lists]
+        return df.select("*", *[p.alias(name) for p, name in zip(places, self.hit_columns())])
+
 
 STRICT = PatternDetector("A", STRICT_RULES)
 DICTIONARY = DictionaryDetector(
@@ -173,8 +201,8 @@ def with_guards(df: DataFrame, text: str, detectors) -> DataFrame:
 
 
 def working_columns(detectors) -> list[str]:
-    """The hit columns of all detectors."""
-    return [name for detector in detectors for name in detector.hit_columns()]
+    """What ``with_counts`` adds for all detectors."""
+    return [name for detector in detectors for name in detector.working_columns()]
 
 
 def with_counts(df: DataFrame, text: str, detectors=DETECTORS) -> DataFrame:
@@ -193,17 +221,17 @@ def with_mask(df: DataFrame, text: str, detectors, out: str, chosen: str | None
     detector's replacements run on a row.  A step is skipped while neither it
     nor an earlier step has hits, as the text is then still the original.
     """
-    rounds = max(len(detector.steps) for detector in detectors)
+    rounds = max(detector.rounds for detector in detectors)
     between = [f"_{out}_{k}" for k in range(rounds - 1)]
     current = text
     for k, name in enumerate([*between, out]):
         branches = F
         for detector in detectors:
-            if k < len(detector.steps):
-                applies = f"{' + '.join(detector.hit_columns()[: k + 1])} > 0"
+            if k < detector.rounds:
+                applies = f"{detector.found_before(k)} > 0"
                 if chosen:
                     applies = f"{chosen} = '{detector.name}' AND {applies}"
-                branches = branches.when(F.expr(applies), detector.steps[k].masked(F.col(current)))
+                branches = branches.when(F.expr(applies), detector.masked(k, F.col(current)))
         df = df.select("*", branches.otherwise(F.col(current)).alias(name))
         current = name
     return df.drop(*between)

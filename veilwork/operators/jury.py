@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.functions import masking
+from veilwork.functions import masking, spans
+from veilwork.functions.once import evaluated_once
 from veilwork.operators.detectors import (
     DETECTORS,
     SLOTS,
@@ -122,6 +123,54 @@ def detect_pii_counts(df: DataFrame, text: str = "prompt") -> DataFrame:
     return with_counts(df, text, [STRICT]).selectExpr("*", *counts).drop(*working_columns([STRICT]))
 
 
+def _tagged_spans(order: int, detector, step) -> Column:
+    """The spans of one step of a detector with what a hit needs to be told and masked."""
+    found = F.coalesce(F.col(detector.hit_column(step.kind)), F.array().cast(f"array<{spans.SPAN}>"))
+    return F.transform(
+        found,
+        lambda span: F.struct(
+            span["start"].alias("start"), span["end"].alias("end"), F.lit(order).alias("order"),
+            F.lit(detector.name).alias("tool"), F.lit(step.kind).alias("kind"), F.lit(step.mask).alias("mask"),
+        ),
+    )
+
+
+def _with_all_spans(df: DataFrame, text: str, detectors) -> DataFrame:
+    """Add ``_hits``: the spans of all hits of all detectors with ``order``, ``tool``, ``kind`` and ``mask``."""
+    found = with_guards(df, text, detectors)
+    for detector in detectors:
+        found = detector.with_spans(found, text)
+    steps = [(detector, step) for detector in detectors for step in detector.steps]
+    tagged = [_tagged_spans(order, detector, step) for order, (detector, step) in enumerate(steps)]
+    return evaluated_once(found, df.columns, [F.concat(*tagged).alias("_hits")])
+
+
+def jury_union(df: DataFrame, text: str = "prompt", detectors=DETECTORS) -> DataFrame:
+    """The masks of all detectors together, instead of the winner's alone.
+
+    All hits are those in the original text.  Overlapping hits become one masked stretch, with the
+    mask of the hit that starts first (then of the longest, then of the first detector), so no
+    stretch is masked twice and nothing found by any detector is left.  Adds ``sanitized``, ``hits``,
+    ``masked_spans`` and ``masked_chars``; a null text stays null, without hits.
+    """
+    found = _with_all_spans(df, text, detectors).select("*", spans.union(F.col("_hits")).alias("_spans"))
+    found = evaluated_once(found, [*df.columns, "_hits"], ["_spans"])
+    length = F.aggregate("_spans", F.lit(0), lambda total, s: total + s["end"] - s["start"])
+    return found.select(
+        *[F.col(f"`{name}`") for name in df.columns],
+        spans.masked(F.col(text), F.col("_spans")).alias("sanitized"),
+        F.size("_hits").alias("hits"),
+        F.size("_spans").alias("masked_spans"),
+        length.alias("masked_chars"),
+    )
+
+
+def finding_spans(df: DataFrame, key: list[str], text: str = "prompt", detectors=DETECTORS) -> DataFrame:
+    """One row per hit: key, detector, kind, and its place in the text in code points (end not included)."""
+    found = _with_all_spans(df.select(*key, text), text, detectors)
+    return found.select(*key, F.inline("_hits")).select(*key, "tool", "kind", "start", "end")
+
+
 def findings(df: DataFrame, key: list[str], text: str = "prompt", detectors=DETECTORS) -> DataFrame:
     """One row per hit: key, detector, kind, position among its hits, matched text."""
     found = with_guards(df.select(*key, text), text, detectors)

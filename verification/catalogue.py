@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwork import fixed_values as fv
-from veilwork.operators import detectors, events, gate, integrity, jury, policy, reports
+from veilwork.operators import detectors, events, gate, integrity, jury, policy, reports, vector_detectors
 from veilwork.plans import audit_report, corpus
 from veilwork.plans import requests as flows
 from veilwork.schemas import UNSIGNED_COLUMNS
@@ -169,6 +169,52 @@ def jury_consensus(spark, d):
     return voted.drop("prompt")
 
 
+def _card_texts(spark, d) -> DataFrame:
+    derived = t.derived(spark, seeds.CARD_TEXTS, events=t.table(spark, d, "events"))
+    keyed = derived.select(F.lit("cards").alias("collection"), F.col("text_id").cast("string").alias("row_key"), "text")
+    documents = t.table(spark, d, "documents")
+    return keyed.unionByName(
+        documents.select(F.lit("documents").alias("collection"), F.col("doc_id").cast("string").alias("row_key"), "text")
+    )
+
+
+@query
+def jury_vector_detector(spark, d):
+    """The jury with a fourth detector that is a function over Arrow batches."""
+    tools = [*detectors.DETECTORS, vector_detectors.CARDS]
+    judged = jury.redaction_jury(_card_texts(spark, d), "text", tools)
+    return judged.select(
+        "collection", "row_key", "winning_tool", *JURY_SCORES, "score_v", F.col("v_id").alias("cards"),
+        F.md5("sanitized").alias("sanitized_md5"),
+    )
+
+
+@query
+def vector_findings(spark, d):
+    found = jury.finding_spans(_card_texts(spark, d), ["collection", "row_key"], "text", [vector_detectors.CARDS])
+    return found.select("collection", "row_key", "tool", "kind", "start", "end")
+
+
+@query
+def jury_union(spark, d):
+    """All detectors' masks together, over prompts and documents."""
+    prompts = t.prompts(spark, d).select(
+        F.lit("prompts").alias("collection"), F.col("prompt_id").cast("string").alias("row_key"), F.col("prompt").alias("text")
+    )
+    documents = t.table(spark, d, "documents").select(
+        F.lit("documents").alias("collection"), F.col("doc_id").cast("string").alias("row_key"), "text"
+    )
+    done = jury.jury_union(prompts.unionByName(documents), "text")
+    return done.select(
+        "collection", "row_key", "hits", "masked_spans", "masked_chars", F.md5("sanitized").alias("sanitized_md5")
+    )
+
+
+@query
+def pii_finding_spans(spark, d):
+    return jury.finding_spans(t.prompts(spark, d), ["prompt_id"])
+
+
 @query
 def sanitize_end_to_end(spark, d):
     parsed = request_source.parse_requests(t.request_lines(spark, d))

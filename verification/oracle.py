@@ -255,6 +255,68 @@ def _findings(source: str, key: str, text: str) -> str:
     return f"SELECT {columns} FROM (" + " UNION ALL ".join(parts) + ")"
 
 
+DETECTORS = [
+    ("A", "id", fv.STRICT_ID, fv.MASK_ID), ("A", "phone", fv.STRICT_PHONE, fv.MASK_PHONE), ("A", "email", fv.STRICT_EMAIL, fv.MASK_EMAIL),
+    ("B", "name", NAMES, fv.MASK_NAME), ("B", "location", LOCATIONS, fv.MASK_LOCATION),
+    ("C", "id", fv.LOOSE_ID, fv.MASK_ID), ("C", "phone", fv.LOOSE_PHONE, fv.MASK_PHONE), ("C", "email", fv.LOOSE_EMAIL, fv.MASK_EMAIL),
+]
+
+
+def _spans(source: str, key: str, text: str) -> str:
+    """Every hit with its place in code points: ``ord``, ``tool``, ``kind``, ``mask``, ``start``, ``stop``."""
+    lengths = "CAST(coalesce(list_sum(list_transform({}, lambda x: length(x))), 0) AS BIGINT)".format
+    before = f"{lengths('p[1:i]')} + {lengths('m[1:i - 1]')}"
+    parts = [
+        f"""SELECT {key}, {order} AS ord, '{tool}' AS tool, '{kind}' AS kind, '{mask}' AS mask,
+            unnest(list_transform(generate_series(1, len(m)), lambda i: {{'start': {before}, 'stop': {before} + length(m[i])}}), recursive := true)
+            FROM (SELECT {key}, regexp_extract_all({text}, '{pattern}') AS m, regexp_split_to_array({text}, '{pattern}') AS p FROM {source})
+            WHERE len(m) > 0"""
+        for order, (tool, kind, pattern, mask) in enumerate(DETECTORS)
+    ]
+    return " UNION ALL ".join(parts)
+
+
+def _union(source: str, key: str, text: str) -> dict[str, str]:
+    """CTE ``united``: the key, the counts and the text with overlapping hits masked as one."""
+    order = f"PARTITION BY {key} ORDER BY start, stop DESC, ord"
+    shown = f"substr({text}, 1 + CASE WHEN i = 1 THEN 0 ELSE s[i - 1].stop END, s[i].start - CASE WHEN i = 1 THEN 0 ELSE s[i - 1].stop END) || s[i].mask"
+    return {
+        "hit_spans": _spans(source, key, text),
+        "reached": f"SELECT *, max(stop) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM hit_spans",
+        "numbered": f"SELECT *, count(*) FILTER (reach IS NULL OR start >= reach) OVER ({order} ROWS UNBOUNDED PRECEDING) AS island FROM reached",
+        "islands": f"""SELECT {key}, min(start) AS start, max(stop) AS stop, first(mask ORDER BY start, stop DESC, ord) AS mask,
+            count(*) AS hits FROM numbered GROUP BY {key}, island""",
+        "gathered": f"""SELECT {key}, list({{'start': start, 'stop': stop, 'mask': mask}} ORDER BY start) AS s, sum(hits) AS hits,
+            sum(stop - start) AS masked_chars FROM islands GROUP BY {key}""",
+        "united": f"""SELECT {key}, CAST(coalesce(hits, 0) AS INTEGER) AS hits, CAST(coalesce(len(s), 0) AS INTEGER) AS masked_spans,
+            CAST(coalesce(masked_chars, 0) AS INTEGER) AS masked_chars,
+            CASE WHEN s IS NULL THEN {text} ELSE array_to_string(list_transform(generate_series(1, len(s)), lambda i: {shown}), '')
+              || substr({text}, 1 + s[len(s)].stop) END AS sanitized
+            FROM {source} LEFT JOIN gathered USING ({key})""",
+    }
+
+
+# Card numbers: runs of 13 to 19 digits with single spaces or dashes between, a right Luhn sum, not all digits equal.
+_RUN = "[0-9](?:[ -]?[0-9])*"
+_DIGITS = "regexp_replace({}, '[ -]', '', 'g')"
+_LUHN = """list_sum(list_transform(generate_series(1, length({0})), lambda j:
+    CASE WHEN (length({0}) - j) % 2 = 1 THEN (CAST({0}[j] AS INTEGER) * 2) // 10 + (CAST({0}[j] AS INTEGER) * 2) % 10 ELSE CAST({0}[j] AS INTEGER) END)) % 10 = 0"""
+
+
+def _is_card(run: str) -> str:
+    digits = _DIGITS.format(run)
+    return f"(length({digits}) BETWEEN 13 AND 19 AND {digits} <> repeat({digits}[1], length({digits})) AND {_LUHN.format(digits)})"
+
+
+CARD_CORPUS = {
+    "card_texts": seeds.CARD_TEXTS,
+    "corpus": """SELECT 'cards' AS collection, CAST(text_id AS VARCHAR) AS row_key, text FROM card_texts
+        UNION ALL SELECT 'documents', CAST(doc_id AS VARCHAR), text FROM documents""",
+    "runs": f"SELECT *, regexp_extract_all(text, '{_RUN}') AS m, regexp_split_to_array(text, '{_RUN}') AS p FROM corpus",
+    "marked": f"SELECT *, list_transform(m, lambda x: {_is_card('x')}) AS good FROM runs",
+}
+
+
 def _level(columns: list[str]) -> str:
     return f"CAST(grouping({', '.join(columns)}) AS INTEGER) AS level"
 
@@ -351,6 +413,35 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT collection, row_key, winning_tool, {scores}, {counts}, md5(sanitized) AS sanitized_md5 FROM jury",
         **CORPUS, **_jury("corpus", "text"),
     )
+    sql["jury_vector_detector"] = _with(
+        f"""SELECT collection, row_key, {scores}, score_v, score_v AS cards, winner AS winning_tool, md5(CASE winner WHEN 'A' THEN red_a
+        WHEN 'B' THEN red_b WHEN 'C' THEN red_c WHEN 'V' THEN red_v ELSE text END) AS sanitized_md5 FROM judged""",
+        **CARD_CORPUS,
+        with_cards="""SELECT collection, row_key, text, CAST(coalesce(len(list_filter(good, lambda g: g)), 0) AS INTEGER) AS score_v,
+            array_to_string(list_transform(generate_series(1, len(m)), lambda i: p[i] || CASE WHEN good[i] THEN '[REDACTED_CARD]' ELSE m[i] END), '')
+              || p[len(p)] AS red_v FROM marked""",
+        **_jury("with_cards", "text"),
+        judged="""SELECT *, CASE WHEN text IS NULL OR text = '' THEN NULL WHEN score_v > greatest(score_a, score_b, score_c) THEN 'V'
+            ELSE winning_tool END AS winner FROM jury""",
+    )
+    sql["vector_findings"] = _with(
+        """SELECT collection, row_key, 'V' AS tool, 'card' AS kind, CAST(start AS INTEGER) AS start, CAST(start + size AS INTEGER) AS "end" FROM (
+        SELECT collection, row_key, unnest(list_transform(generate_series(1, len(m)), lambda i: {'good': good[i], 'size': length(m[i]),
+          'start': list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)}),
+          recursive := true) FROM marked) WHERE good""",
+        **CARD_CORPUS,
+    )
+    sql["jury_union"] = _with(
+        "SELECT collection, row_key, hits, masked_spans, masked_chars, md5(sanitized) AS sanitized_md5 FROM united",
+        **PROMPTS,
+        corpus="""SELECT 'prompts' AS collection, CAST(prompt_id AS VARCHAR) AS row_key, prompt AS text FROM prompts
+            UNION ALL SELECT 'documents', CAST(doc_id AS VARCHAR), text FROM documents""",
+        **_union("corpus", "collection, row_key", "text"),
+    )
+    sql["pii_finding_spans"] = _with(
+        'SELECT prompt_id, tool, kind, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS "end" FROM hit_spans',
+        **PROMPTS, hit_spans=_spans("prompts", "prompt_id", "prompt"),
+    )
     sql["corpus_findings"] = _with(_findings("corpus", "collection, row_key", "text"), **CORPUS)
 
     # gate

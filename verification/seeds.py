@@ -119,3 +119,18 @@ SELECT -prompt_id AS line_id, ts, role AS user_role, 'odd-' || CAST(prompt_id AS
  CASE CAST(prompt_id AS INT) """ + " ".join(f"WHEN {i} THEN {text}" for i, text in ODD_GATE_BODIES) + f""" END AS value
 FROM prompts WHERE prompt_id BETWEEN 1 AND {len(ODD_GATE_BODIES)}
 """
+
+# Texts with numbers of card length, by chance every tenth with a right checksum: plain, grouped by
+# spaces or dashes, of 13 digits, too long, and beside letters.
+CARD_TEXTS = """
+SELECT text_id,
+ CASE CAST(text_id % 7 AS INT)
+  WHEN 0 THEN 'Pay with 4' || substr(digits, 1, 15) || ' today'
+  WHEN 1 THEN 'é card 5' || substr(digits, 1, 3) || ' ' || substr(digits, 4, 4) || ' ' || substr(digits, 8, 4) || ' ' || substr(digits, 12, 4) || ', or a' || CAST(text_id AS VARCHAR(20)) || '@ex.com'
+  WHEN 2 THEN '37' || substr(digits, 1, 2) || '-' || substr(digits, 3, 6) || '-' || substr(digits, 9, 5) || ' and 5' || substr(digits, 1, 12) || '.'
+  WHEN 3 THEN 'too long 12' || digits || digits || '; 4' || substr(digits, 2, 15)
+  WHEN 4 THEN 'x4' || substr(digits, 1, 15) || 'y 0000000000000000 Ahmad'
+  WHEN 5 THEN CAST(NULL AS VARCHAR(20))
+  ELSE '4' || substr(digits, 1, 15) || '  4' || substr(digits, 3, 12) || chr(10) || 'tel 012-3456789' END AS text
+FROM (SELECT event_id AS text_id, lpad(CAST(event_id * 7919 % 1000003 AS VARCHAR(20)), 7, '5') || lpad(CAST(event_id * 104729 % 10000019 AS VARCHAR(20)), 9, '3') AS digits FROM events)
+"""
