@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilwork.llm.arrow import pieces
+from veilwork.llm.shingles import word_hashes
 from veilwork.llm.text import whole
 from veilwork.llm.work import written
 
@@ -52,7 +54,7 @@ ROUTE_SUFFIXES = 1_000_000
 LEAST_ROUTES, MOST_ROUTES = 256, 1 << 20
 ROUTES_PER_TASK = 8
 # Suffixes, and different words, that a task holds before it sends what it has.
-BUFFER_SUFFIXES = 2_000_000
+BUFFER_SUFFIXES = 1_000_000
 BUFFER_WORDS = 500_000
 # Partitions of pointers below this size are sorted at once.
 SMALL = 4096
@@ -123,76 +125,112 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hashes(texts: list[str]) -> np.ndarray:
-    """A number per text for routing; equal numbers of different texts do no harm."""
-    return _mixed(np.array([zlib.crc32(text.encode()) + 1 for text in texts], np.uint64))
+def _lang_hashes(langs: pa.Array) -> np.ndarray:
+    return _mixed(np.array([zlib.crc32(lang.encode()) + 1 for lang in langs.to_pylist()], np.uint64))
+
+
+def _batch(columns: list, types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    arrays = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, names)
 
 
 def _sender(routes: int, spread: dict[tuple[str, str], int], longest: int):
     """A function from texts to blocks: lang, route, words, codes, counts."""
     names = ["lang", "route", "words", "codes", "counts"]
     types = [pa.string(), pa.int32(), pa.string(), pa.binary(), pa.binary()]
+    heavy_langs = pa.array([lang for lang, _ in spread], pa.string())
+    heavy_words = pa.array([word for _, word in spread], pa.string())
 
-    def blocks(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        # One numbering of words and languages for the whole buffer; 0 is the end of a piece.
-        every = pa.concat_arrays([words.dictionary for words, *_ in held]).dictionary_encode()
-        langs = pa.concat_arrays([lang_names for *_, lang_names in held]).dictionary_encode()
+    def suffixes(held: list[tuple], word_number: np.ndarray, lang_number: np.ndarray) -> np.ndarray:
+        """A column per suffix of at least two words: its language and its words, 0 behind the end of the piece."""
         word_at, lang_at, parts = 0, 0, []
         for words, run, lang, lang_names in held:
-            number = every.indices.to_numpy()[word_at : word_at + len(words.dictionary)][words.indices.to_numpy()] + 1
-            known = langs.indices.to_numpy()[lang_at : lang_at + len(lang_names)][lang]
+            number = word_number[word_at : word_at + len(words.dictionary)][words.indices.to_numpy()]
             word_at, lang_at = word_at + len(words.dictionary), lang_at + len(lang_names)
-            columns = [known, number]
+            part = np.zeros((longest + 1, len(number)), np.int32)
+            part[0] = lang_number[lang_at - len(lang_names) : lang_at][lang]
+            part[1] = number
             for step in range(1, longest):
-                following = np.zeros_like(number)
-                following[:-step] = np.where(run[step:] == run[:-step], number[step:], 0)
-                columns.append(following)
-            parts.append(np.stack(columns)[:, columns[2] > 0])
-        table = np.concatenate(parts, axis=1)
-        if not table.shape[1]:
-            return
-        # Equal suffixes once, with their number.
-        base, key, reach = len(every.dictionary) + 1, table[0].astype(np.int64), len(langs.dictionary)
-        for column in table[1:]:
+                part[1 + step, :-step] = np.where(run[step:] == run[:-step], number[step:], 0)
+            parts.append(part[:, part[2] > 0])
+        return np.concatenate(parts, axis=1)
+
+    def routed(table: np.ndarray, vocabulary: pa.Array, langs: pa.Array) -> np.ndarray:
+        """The language and route of each suffix as one number, ``lang * routes + route``."""
+        # Numbers for routing; that different words may have equal ones does no harm.
+        word_hash = np.append(np.zeros(1, np.uint64), word_hashes(vocabulary)[0])
+        route = _mixed(_lang_hashes(langs)[table[0]] ^ (word_hash[table[1]] * np.uint64(0x9E3779B97F4A7C15)))
+        if spread:
+            ways = np.ones((len(langs), len(vocabulary) + 1), np.uint64)
+            known = pc.index_in(heavy_words, value_set=vocabulary).to_pylist()
+            known_langs = pc.index_in(heavy_langs, value_set=langs).to_pylist()
+            for word, lang, count in zip(known, known_langs, spread.values(), strict=True):
+                if word is not None and lang is not None:
+                    ways[lang, word + 1] = count
+            third = word_hash[table[3]] if longest > 2 else np.uint64(0)
+            route += _mixed(word_hash[table[2]] * np.uint64(0xD6E8FEB86659FD93) + third) % ways[table[0], table[1]]
+        return table[0].astype(np.int64) * routes + (route % np.uint64(routes)).astype(np.int64)
+
+    def counted(group: np.ndarray, words: np.ndarray, base: int, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Equal suffixes once, in order of group and words: their groups, words and numbers."""
+        key, reach, levels = group, groups, []
+        for column in words:
             if reach * base >= 1 << 62:
                 different, key = np.unique(key, return_inverse=True)
                 reach = len(different)
+                levels.append(different)
+            else:
+                levels.append(None)
             key, reach = key * base + column, reach * base
-        _, first, n = np.unique(key, return_index=True, return_counts=True)
-        table = table[:, first]
-        # The route of each.
-        vocabulary, lang_list = every.dictionary.to_pylist(), langs.dictionary.to_pylist()
-        word_hash = np.append(np.zeros(1, np.uint64), _hashes(vocabulary))
-        lang_hash = _hashes(lang_list)
-        ways = np.ones((len(lang_list), base), np.uint64)
-        number_of = {word: k for k, word in enumerate(vocabulary, 1)} if spread else {}
-        for (lang, word), count in spread.items():
-            if word in number_of and lang in lang_list:
-                ways[lang_list.index(lang), number_of[word]] = count
-        owner = _mixed(lang_hash[table[0]] ^ (word_hash[table[1]] * np.uint64(0x9E3779B97F4A7C15)))
-        third = word_hash[table[3]] if longest > 2 else np.uint64(0)
-        inner = _mixed(word_hash[table[2]] * np.uint64(0xD6E8FEB86659FD93) + third)
-        route = (owner + inner % ways[table[0], table[1]]) % np.uint64(routes)
-        group = table[0].astype(np.int64) * routes + route.astype(np.int64)
-        order = np.argsort(group, kind="stable")
-        group, table, n = group[order], table[:, order], n[order]
-        limits = np.flatnonzero(np.append(np.append(True, group[1:] != group[:-1]), True))
+        key = np.sort(key)
+        limits = np.flatnonzero(np.append(np.append(True, key[1:] != key[:-1]), True))
+        key, columns = key[limits[:-1]], []
+        for different in reversed(levels):
+            key, column = np.divmod(key, base)
+            columns.append(column.astype(np.int32))
+            if different is not None:
+                key = different[key]
+        return key, np.stack(columns[::-1]), np.diff(limits)
+
+    def blocks(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        # One numbering of words and languages for the whole buffer; 0 is the end of a piece.
+        every = pa.concat_arrays([words.dictionary for words, *_ in held]).dictionary_encode()
+        langs = pa.concat_arrays([lang_names for *_, lang_names in held]).dictionary_encode()
+        vocabulary, lang_list = every.dictionary, langs.dictionary.to_pylist()
+        table = suffixes(held, every.indices.to_numpy() + 1, langs.indices.to_numpy())
+        held.clear()
+        if not table.shape[1]:
+            return
+        group = routed(table, vocabulary, langs.dictionary)
+        group, table, n = counted(group, table[1:], len(vocabulary) + 1, len(lang_list) * routes)
+        n = n.astype("<u4")
+        limits = np.flatnonzero(np.append(np.append(True, group[1:] != group[:-1]), True)).tolist()
+        place = np.zeros(len(vocabulary) + 1, np.int32)  # of a word in the list of its block
         made: list[tuple] = []
+        lists: list[np.ndarray] = []
         size = 0
-        for a, b in zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True):
-            used, codes = np.unique(table[1:, a:b], return_inverse=True)
-            if used[0]:
-                codes, used = codes + 1, np.append(0, used)
-            text = " ".join([vocabulary[k - 1] for k in used[1:].tolist()])
-            codes = codes.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes()
+
+        def batch() -> pa.RecordBatch:
+            ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(ends), vocabulary.take(pa.array(np.concatenate(lists) - 1)))
+            lang, way, codes, counts = zip(*made, strict=True)
+            return _batch([lang, way, pc.binary_join(listed, " "), codes, counts], types, names)
+
+        for a, b in zip(limits[:-1], limits[1:], strict=True):
+            codes = table[:, a:b]
+            used = np.sort(codes, axis=None)
+            used = used[np.append(used[0] > 0, used[1:] != used[:-1])]
+            place[used] = np.arange(1, len(used) + 1)
+            codes = place[codes].astype("<u2" if len(used) < 1 << 16 else "<u4").tobytes()
             lang, way = divmod(int(group[a]), routes)
-            made.append((lang_list[lang], way, text, codes, n[a:b].astype("<u4").tobytes()))
-            size += len(text) + len(codes)
+            made.append((lang_list[lang], way, codes, n[a:b].tobytes()))
+            lists.append(used)
+            size += 8 * len(used) + len(codes)
             if size > 4_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)], names)
-                made, size = [], 0
+                yield batch()
+                made, lists, size = [], [], 0
         if made:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)], names)
+            yield batch()
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -200,8 +238,8 @@ def _sender(routes: int, spread: dict[tuple[str, str], int], longest: int):
             held.append(part)
             size += len(part[0])
             if size >= BUFFER_SUFFIXES:
-                yield from blocks(held)
-                held, size = [], 0
+                yield from blocks(held)  # which empties ``held``
+                size = 0
         if held:
             yield from blocks(held)
 
@@ -262,37 +300,39 @@ def _owner(spread: dict[tuple[str, str], int], longest: int, least: int):
     types = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.bool_()]
 
     def phrases(lang: str, blocks: list[tuple]) -> Iterator[pa.RecordBatch]:
-        listed = [words.split(" ") for words, _, _ in blocks]
-        every = pa.concat_arrays([pa.array(words) for words in listed]).dictionary_encode()
+        listed = pc.split_pattern(pa.array([words for words, _, _ in blocks], pa.string()), " ")
+        every = listed.flatten().dictionary_encode()
         numbers, at, columns, weights = every.indices.to_numpy(), 0, [], []
-        for words, (_, codes, counts) in zip(listed, blocks, strict=True):
+        sizes = pc.list_value_length(listed).to_pylist()
+        for size, (_, codes, counts) in zip(sizes, blocks, strict=True):
             n = np.frombuffer(counts, "<u4").astype(np.int64)
             wide = len(codes) // (longest * len(n))
             codes = np.frombuffer(codes, f"<u{wide}").reshape(longest, len(n))
-            known = np.append(np.int32(0), numbers[at : at + len(words)] + 1).astype(np.int32)
-            at += len(words)
+            known = np.append(np.int32(0), numbers[at : at + size] + 1).astype(np.int32)
+            at += size
             columns.append(known[codes])
             weights.append(n)
-        vocabulary = every.dictionary.to_pylist()
-        parts_of = {k for k, word in enumerate(vocabulary, 1) if (lang, word) in spread} if spread else set()
-        made = []
-        for path, weight, partial in quicksort(np.concatenate(columns, axis=1), np.concatenate(weights), least, parts_of):
-            made.append((lang, " ".join([vocabulary[k - 1] for k in path]), len(path), weight, partial))
-            if len(made) == 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)], names)
-                made = []
-        if made:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)], names)
+        heavy = pa.array([word for where, word in spread if where == lang], pa.string())
+        parts_of = {k + 1 for k in pc.index_in(heavy, value_set=every.dictionary).to_pylist() if k is not None}
+        found = quicksort(np.concatenate(columns, axis=1), np.concatenate(weights), least, parts_of)
+        while made := list(islice(found, 100_000)):
+            paths, f, partial = zip(*made, strict=True)
+            ends = np.cumsum([0, *map(len, paths)]).astype(np.int32)
+            words = every.dictionary.take(pa.array(np.fromiter(chain.from_iterable(paths), np.int64) - 1))
+            phrase = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), words), " ")
+            yield _batch([[lang] * len(made), phrase, np.diff(ends), f, partial], types, names)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
         for batch in batches:
-            for lang, route, *block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (lang, route) != current:
-                    if held:
-                        yield from phrases(current[0], held)
-                    current, held = (lang, route), []
-                held.append(block)
+            sizes = pc.binary_length(batch.column("codes")).to_numpy()
+            for part in pieces(batch, sizes):
+                for lang, route, *block in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if (lang, route) != current:
+                        if held:
+                            yield from phrases(current[0], held)
+                        current, held = (lang, route), []
+                    held.append(block)
         if held:
             yield from phrases(current[0], held)
 
