@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilwork import fixed_values as fv
 from veilwork.operators.events import copy_key, key_hash
@@ -85,7 +86,9 @@ def keep_current(counts: DataFrame, path: str, checkpoint: str):
 
 def current(spark: SparkSession, counts: DataFrame, path: str) -> DataFrame:
     """The result as of the last batch that ``keep_current`` has written."""
-    stored = spark.read.schema(counts.schema.add("batch", "long")).parquet(path)
+    # A new schema: ``add`` would change the one that ``counts`` goes on using.
+    schema = T.StructType([*counts.schema.fields, T.StructField("batch", T.LongType())])
+    stored = spark.read.schema(schema).parquet(path)
     last = stored.agg(F.max("batch")).first()[0]
     return stored.filter(F.col("batch") == F.lit(last)).drop("batch")
 

@@ -13,7 +13,7 @@ from veilwork.schemas import UNSIGNED_COLUMNS
 from veilwork.sources import audit_table, logs, reference_data
 from veilwork.sources import requests as request_source
 from veilwork.session import fresh_path
-from veilwork.streaming import jobs
+from veilwork.streaming import jobs, stores
 from verification import seeds
 from verification import tables as t
 from verification.tables import AS_OF
@@ -542,5 +542,50 @@ def stream_intents_hourly(spark, d):
     return jobs.counted_once(spark, jobs.intents_per_window(_audit_stream(spark, d)), "stream-intents")
 
 
+@query
+def stream_gate_split(spark, d):
+    """The gate's three outputs as stored by the stream: what passed, what was rejected, audit rows."""
+    lines = t.derived(spark, seeds.GATE_LINES, prompts=_prompt_stream(spark, d))
+    folder = fresh_path(spark, "gate-split")
+    stores.gate_outputs(lines, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    parts = [
+        stores.read_gate_output(lines, f"{folder}/out", name).select(F.lit(name).alias("output"), "request_id", *columns)
+        for name, columns in (
+            (stores.FORWARDED, ["provider", "reason", "code"]),
+            (stores.REJECTED, ["provider", "reason", "code"]),
+            (stores.AUDIT, [F.col("user_role").alias("provider"), F.col("event_type").alias("reason"), F.lit(400).alias("code")]),
+        )
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def stream_audit_dedup_keys(spark, d):
+    """As stream_audit_dedup, with the keys in files instead of a state store."""
+    rows = t.with_copies(_audit_stream(spark, d))
+    folder = fresh_path(spark, "dedup-keys")
+    stores.deduplicated_outputs(rows, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return stores.read_deduplicated(rows, f"{folder}/out").select("request_id", "event_type", "ts", "user_role", "message")
+
+
+def _windows(spark, stream, counts, keys, label):
+    folder = fresh_path(spark, label)
+    query, store = stores.window_outputs(stream, counts, keys, f"{folder}/out", f"{folder}/checkpoint")
+    query.awaitTermination()
+    return store.read()
+
+
+@query
+def stream_blocked_24h_store(spark, d):
+    """As stream_blocked_24h, from a store of date versions."""
+    return jobs.rolled(_windows(spark, _audit_stream(spark, d), jobs.counts_per_step, ["step_start"], "blocked-store"))
+
+
+@query
+def stream_intents_hourly_store(spark, d):
+    keys = ["window_start", "window_end", "intent"]
+    return _windows(spark, _audit_stream(spark, d), jobs.intents_per_window, keys, "intents-store")
+
+
 def queries():
     return dict(_QUERIES)

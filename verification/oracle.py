@@ -663,4 +663,13 @@ def oracle_sql() -> dict[str, str]:
         GROUP BY ALL""",
         **_STREAMED,
     )
+    sql["stream_gate_split"] = _with(
+        """SELECT CASE WHEN reason = 'forward' THEN 'forwarded' ELSE 'rejected' END AS output, request_id, provider, reason,
+        CASE WHEN reason = 'forward' THEN 200 ELSE 400 END AS code FROM gated
+        UNION ALL SELECT 'audit', request_id, user_role, 'SECURITY_DENIED', 400 FROM gated WHERE reason = 'contains_pii'""",
+        **GATE,
+    )
+    sql["stream_audit_dedup_keys"] = sql["stream_audit_dedup"]
+    sql["stream_blocked_24h_store"] = sql["stream_blocked_24h"]
+    sql["stream_intents_hourly_store"] = sql["stream_intents_hourly"]
     return sql
