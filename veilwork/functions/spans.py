@@ -24,7 +24,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _numbers(count: Column) -> Column:
+def numbers(count: Column) -> Column:
     """0 to ``count - 1``; nothing where that is 0."""
     return F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
 
@@ -39,7 +39,7 @@ def running(values: Column, combine: Callable[[Column, Column], Column]) -> Colu
     def of(entries: Column) -> Column:
         count = F.ceil(F.size(entries) / F.lit(float(_ENTRIES))).cast("int")
         return let(
-            F.transform(_numbers(count), lambda b: F.slice(entries, b * _ENTRIES + 1, F.lit(_ENTRIES))),
+            F.transform(numbers(count), lambda b: F.slice(entries, b * _ENTRIES + 1, F.lit(_ENTRIES))),
             lambda blocks: let(
                 F.aggregate(
                     F.transform(blocks, total), F.array(F.lit(0)),
@@ -94,7 +94,7 @@ def union(hits: Column) -> Column:
         def joined(reach: Column) -> Column:
             opens = lambda i: (i == 0) | (F.get(spans, i)["start"] >= F.get(reach, i - 1))
             last = lambda firsts, j: F.coalesce(F.get(firsts, j + 1), F.size(spans)) - 1
-            return let(F.filter(_numbers(F.size(spans)), opens), lambda firsts: F.transform(firsts, lambda i, j: F.struct(
+            return let(F.filter(numbers(F.size(spans)), opens), lambda firsts: F.transform(firsts, lambda i, j: F.struct(
                 F.get(spans, i)["start"].alias("start"),
                 F.get(reach, last(firsts, j)).alias("end"),
                 F.get(spans, i)["mask"].alias("mask"),
@@ -108,7 +108,7 @@ def union(hits: Column) -> Column:
 def masked(text: Column, spans: Column) -> Column:
     """``text`` with each span (start, end, mask) replaced by its mask; spans are in order and do not overlap."""
     count = F.floor(F.length(text) / F.lit(_CHARS)).cast("int") + 1
-    blocks = F.transform(_numbers(count), lambda b: F.substring(text, b * _CHARS + 1, F.lit(_CHARS)))
+    blocks = F.transform(numbers(count), lambda b: F.substring(text, b * _CHARS + 1, F.lit(_CHARS)))
 
     def between(pieces: Column, start: Column, end: Column) -> Column:
         first = F.floor(start / F.lit(_CHARS)).cast("int")

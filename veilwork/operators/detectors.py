@@ -36,6 +36,10 @@ class Detector:
     def hit_columns(self, slot: str | None = None) -> list[str]:
         return [self.hit_column(step.kind) for step in self.steps if slot in (None, step.slot)]
 
+    def inputs(self) -> list[str]:
+        """Columns it reads beside the text."""
+        return []
+
     def working_columns(self) -> list[str]:
         """What ``with_counts`` adds."""
         return self.hit_columns()

@@ -123,6 +123,10 @@ def detect_pii_counts(df: DataFrame, text: str = "prompt") -> DataFrame:
     return with_counts(df, text, [STRICT]).selectExpr("*", *counts).drop(*working_columns([STRICT]))
 
 
+def _inputs(detectors) -> list[str]:
+    return [name for detector in detectors for name in detector.inputs()]
+
+
 def _tagged_spans(order: int, detector, step) -> Column:
     """The spans of one step of a detector with what a hit needs to be told and masked."""
     found = F.coalesce(F.col(detector.hit_column(step.kind)), F.array().cast(f"array<{spans.SPAN}>"))
@@ -167,13 +171,13 @@ def jury_union(df: DataFrame, text: str = "prompt", detectors=DETECTORS) -> Data
 
 def finding_spans(df: DataFrame, key: list[str], text: str = "prompt", detectors=DETECTORS) -> DataFrame:
     """One row per hit: key, detector, kind, and its place in the text in code points (end not included)."""
-    found = _with_all_spans(df.select(*key, text), text, detectors)
+    found = _with_all_spans(df.select(*key, text, *_inputs(detectors)), text, detectors)
     return found.select(*key, F.inline("_hits")).select(*key, "tool", "kind", "start", "end")
 
 
 def findings(df: DataFrame, key: list[str], text: str = "prompt", detectors=DETECTORS) -> DataFrame:
     """One row per hit: key, detector, kind, position among its hits, matched text."""
-    found = with_guards(df.select(*key, text), text, detectors)
+    found = with_guards(df.select(*key, text, *_inputs(detectors)), text, detectors)
     for detector in detectors:
         found = detector.with_matches(found, text)
     hits = [_tagged(detector, step.kind) for detector in detectors for step in detector.steps]

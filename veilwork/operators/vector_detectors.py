@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from veilwork.functions import spans
 from veilwork.operators.detectors import Detector
 
-_HITS = "array<struct<rule:int,start:int,end:int>>"
+PLACES = "array<struct<rule:int,start:int,end:int>>"
 
 
 @dataclass(frozen=True)
@@ -52,26 +52,22 @@ def _batch_function(find: Finder):
         places = pa.StructArray.from_arrays(fields, names=["rule", "start", "end"])
         return pa.ListArray.from_arrays(pa.array(bounds), places)
 
-    return F.arrow_udf(hits_of, _HITS)
+    return F.arrow_udf(hits_of, PLACES)
 
 
-@dataclass(frozen=True)
-class VectorDetector(Detector):
-    """Counts and masks the hits that ``find`` reports; ``guard`` names texts that cannot have any."""
+class PlacedDetector(Detector):
+    """A detector that knows the places of its hits: counts, matches and masks are made from them.
+
+    Subclasses add the places, as ``rule``, ``start`` and ``end``, by ``_with_places``.
+    """
 
     name: str
     rules: tuple[VectorRule, ...]
-    find: Finder
-    guard: str | None = None
 
     @property
     def steps(self) -> tuple[VectorRule, ...]:
         return self.rules
 
-    @property
-    def guards(self) -> frozenset[str]:
-        return frozenset([self.guard] if self.guard else [])
-
     @property
     def _places(self) -> str:
         return f"_{self.name.lower()}_places"
@@ -80,9 +76,7 @@ class VectorDetector(Detector):
         return [*self.hit_columns(), self._places]
 
     def _with_places(self, df: DataFrame, text: str) -> DataFrame:
-        possible = F.when(F.col(f"_{self.guard}"), F.col(text)) if self.guard else F.col(text)
-        found = _batch_function(self.find)(possible)
-        return df.select("*", F.coalesce(found, F.array().cast(_HITS)).alias(self._places))
+        raise NotImplementedError
 
     def _of_rule(self, number: int) -> Column:
         return F.filter(self._places, lambda hit: hit["rule"] == number)
@@ -115,9 +109,28 @@ class VectorDetector(Detector):
     def masked(self, number: int, text: Column) -> Column:
         masks = F.array(*[F.lit(rule.mask) for rule in self.rules])
         shown = F.transform(self._places, lambda hit: F.struct(
-            hit["start"].alias("start"), hit["end"].alias("end"), F.get(masks, hit["rule"]).alias("mask")
+            hit["start"].alias("start"), hit["end"].alias("end"), hit["rule"].alias("order"), F.get(masks, hit["rule"]).alias("mask")
         ))
-        return spans.masked(text, shown)
+        return spans.masked(text, spans.union(shown))
+
+
+@dataclass(frozen=True)
+class VectorDetector(PlacedDetector):
+    """Counts and masks the hits that ``find`` reports; ``guard`` names texts that can have any."""
+
+    name: str
+    rules: tuple[VectorRule, ...]
+    find: Finder
+    guard: str | None = None
+
+    @property
+    def guards(self) -> frozenset[str]:
+        return frozenset([self.guard] if self.guard else [])
+
+    def _with_places(self, df: DataFrame, text: str) -> DataFrame:
+        possible = F.when(F.col(f"_{self.guard}"), F.col(text)) if self.guard else F.col(text)
+        found = _batch_function(self.find)(possible)
+        return df.select("*", F.coalesce(found, F.array().cast(PLACES)).alias(self._places))
 
 
 def _digit_runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

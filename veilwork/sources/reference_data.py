@@ -52,6 +52,11 @@ def policy_table(spark: SparkSession, policy: Policy = Policy()) -> DataFrame:
     return _rows(spark, triples, ["role", "intent", "ord", "keyword"])
 
 
+def term_table(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
+    """Word lists given in Python as a table (``kind``, ``term``); large ones are read from files instead."""
+    return spark.createDataFrame(rows, "kind string, term string")
+
+
 def read_policy(roles: DataFrame, keywords: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stored tables ``(role, intent, ord)`` and ``(intent, keyword)`` as role and policy tables.
 

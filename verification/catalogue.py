@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwork import fixed_values as fv
-from veilwork.operators import detectors, events, gate, integrity, jury, policy, reports, vector_detectors
+from veilwork.operators import detectors, dictionaries, events, gate, integrity, jury, policy, reports, vector_detectors
 from veilwork.plans import audit_report, corpus
 from veilwork.plans import requests as flows
 from veilwork.schemas import UNSIGNED_COLUMNS
@@ -195,6 +195,28 @@ def vector_findings(spark, d):
     return found.select("collection", "row_key", "tool", "kind", "start", "end")
 
 
+@query
+def jury_table_dictionary(spark, d):
+    """The jury with the word lists of its second detector read from a table."""
+    rows = [(kind, term) for kind, terms in (("name", fv.NAMES), ("location", fv.LOCATIONS)) for term in terms]
+    terms = dictionaries.stored_terms(reference_data.term_table(spark, rows))
+    lists = dictionaries.TableDictionary("B", tuple(vector_detectors.VectorRule(w.kind, w.slot, w.mask) for w in detectors.DICTIONARY.lists))
+    prompts = t.prompts(spark, d).select("prompt_id", "prompt")
+    placed = dictionaries.with_term_places(prompts, ["prompt_id"], "prompt", terms, lists)
+    judged = jury.redaction_jury(placed, detectors=[detectors.STRICT, lists, detectors.LOOSE])
+    return judged.select("prompt_id", "sanitized", "winning_tool", *JURY_SCORES, *JURY_COUNTS)
+
+
+@query
+def dictionary_counts(spark, d):
+    """All words and pairs of words of the conversations as two lists of terms, looked for in all documents."""
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+(?: [A-Za-z]+)?"), F.lit(0))
+    terms = t.table(spark, d, "conversations").select(F.explode(words).alias("term"))
+    terms = terms.select(F.when(F.contains("term", F.lit(" ")), "pair").otherwise("word").alias("kind"), "term")
+    documents = t.table(spark, d, "documents").select("doc_id", "text")
+    return dictionaries.term_counts(documents, ["doc_id"], "text", dictionaries.stored_terms(terms))
+
+
 @query
 def jury_union(spark, d):
     """All detectors' masks together, over prompts and documents."""

@@ -431,6 +431,22 @@ def oracle_sql() -> dict[str, str]:
           recursive := true) FROM marked) WHERE good""",
         **CARD_CORPUS,
     )
+    sql["jury_table_dictionary"] = sql["redaction_jury"]
+    sql["dictionary_counts"] = """
+    WITH found AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+(?: [A-Za-z]+)?')) AS term FROM conversations),
+    terms AS (SELECT DISTINCT CASE WHEN contains(term, ' ') THEN 'pair' ELSE 'word' END AS kind, lower(term) AS term FROM found),
+    cut AS (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}_]+') AS w, regexp_split_to_array(text, '[\\p{L}\\p{N}_]+') AS g
+            FROM documents WHERE text <> ''),
+    placed AS (SELECT doc_id, w, g, unnest(generate_series(1, len(w))) AS i FROM cut),
+    windows AS (
+      SELECT doc_id, i, 1 AS n, lower(w[i]) AS term FROM placed
+      UNION ALL SELECT doc_id, i, 2, lower(w[i] || g[i + 1] || w[i + 1]) FROM placed WHERE i < len(w)),
+    hits AS (SELECT doc_id, kind, i, n, length(term) AS chars FROM windows JOIN terms USING (term)),
+    listed AS (SELECT doc_id, kind, list([i, n, chars] ORDER BY i, n DESC) AS h FROM hits GROUP BY doc_id, kind),
+    -- [next free word, hits, characters], going from hit to hit
+    chosen AS (SELECT doc_id, kind, list_reduce(h, lambda s, x: CASE WHEN x[1] >= s[1] THEN [x[1] + x[2], s[2] + 1, s[3] + x[3]] ELSE s END,
+                 [0::BIGINT, 0, 0]) AS s FROM listed)
+    SELECT doc_id, kind, CAST(s[2] AS INTEGER) AS n, CAST(s[3] AS INTEGER) AS chars FROM chosen"""
     sql["jury_union"] = _with(
         "SELECT collection, row_key, hits, masked_spans, masked_chars, md5(sanitized) AS sanitized_md5 FROM united",
         **PROMPTS,
