@@ -379,6 +379,19 @@ def audit_round_trip(spark, d):
     return stored.select(*UNSIGNED_COLUMNS, "signature", "key_id", "payload_version", "event_date")
 
 
+@query
+def audit_compacted(spark, d):
+    """The audit table after appends of many small files were compacted, with one more append behind it."""
+    path = fresh_path(spark, "audit-compacted")
+    signed = t.signed(spark, d)
+    parts = 9
+    for part in range(parts):
+        audit_table.append_events(signed.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == part), path)
+        if part == parts - 2:
+            audit_table.compact(spark, path)
+    return audit_table.read_events(spark, path).select(*UNSIGNED_COLUMNS, "signature", "key_id", "payload_version", "event_date")
+
+
 @query
 def tampered_ids(spark, d):
     return integrity.tampered(t.checked(spark, d)).select("id")
@@ -463,7 +476,7 @@ def token_usage(spark, d):
 
 @query
 def recent_events_100(spark, d):
-    return reports.recent_events(t.stored(spark, d))
+    return reports.recent_events(t.stored_newest(spark, d))
 
 
 @query
@@ -480,12 +493,12 @@ def sample_jury_events(spark, d):
 
 @query
 def audit_log_view(spark, d):
-    return reports.audit_log_view(t.stored(spark, d))
+    return reports.audit_log_view(t.stored_newest(spark, d))
 
 
 @query
 def reliability_view(spark, d):
-    return reports.reliability_view(t.stored(spark, d))
+    return reports.reliability_view(t.stored_newest(spark, d))
 
 
 def _scores(spark, d):

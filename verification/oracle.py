@@ -539,6 +539,9 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT id, {base}, {tools}, signature, key_id, 1 AS payload_version, CAST(ts AS DATE) AS event_date FROM signed WHERE ts >= {AS_OF} - INTERVAL 96 HOUR",
         **SIGNED,
     )
+    sql["audit_compacted"] = _with(
+        f"SELECT id, {base}, {tools}, signature, key_id, 1 AS payload_version, CAST(ts AS DATE) AS event_date FROM signed", **SIGNED
+    )
     sql["tampered_ids"] = _with("SELECT id FROM verified WHERE NOT valid", **CHECKED)
     sql["tampered_since"] = _with(f"SELECT id, ts FROM verified WHERE NOT valid AND ts >= {AS_OF} - INTERVAL 72 HOUR", **CHECKED)
     sql["tampered_top10"] = _with("SELECT id FROM verified WHERE NOT valid ORDER BY id LIMIT 10", **CHECKED)

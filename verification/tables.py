@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilwork import fixed_values as fv
 from veilwork.functions.canonical import keyring
 from veilwork.operators import integrity
 from veilwork.schemas import ADDED_LATER
@@ -86,6 +87,13 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_table.read_events(spark, path)
 
 
+def stored_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the stored rows, those of the newest dates that hold the recent events."""
+    path = fresh_path(spark, "audit")
+    audit_table.append_events(signed(spark, sf_dir), path)
+    return audit_table.read_newest(spark, path, fv.RECENT_EVENTS)
+
+
 def mixed_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of both payload versions, those of the first without key id and version, some of them edited."""
     seed = audit_seed(spark, sf_dir)
