@@ -132,7 +132,16 @@ def test_long_passages_go_from_two_texts(spark):
         left[i] = "\n".join(own) if i < 5 else rows[-1][1]
     short = line(18)
     rows += [(10 + i, "\n".join([line(25), short, line(25)])) for i in range(4)]
-    whole = [line(25) for _ in range(8)]  # versions of one text keep what they share
-    rows += [(20 + i, "\n".join([*whole[:7], line(25)])) for i in range(2)]
+    whole = [line(25) for _ in range(8)]  # near copies keep what they share
+    rows += [(20 + i, "\n".join([*whole, line(5)])) for i in range(2)]
     left |= {i: text for i, text in rows if i >= 10}
     assert _kept(spark, rows) == left
+
+
+@pytest.mark.parametrize("own_words", [60, 80, 100, 120, 140])
+def test_a_shared_passage_goes_whatever_share_of_the_texts_it_is(spark, own_words):
+    line = _prose(own_words)
+    passage = [line(20) for _ in range(20)]
+    own = {i: [line(own_words // 4) for _ in range(4)] for i in range(2)}
+    rows = [(i, "\n".join([*lines[:2], *passage, *lines[2:]])) for i, lines in own.items()]
+    assert _kept(spark, rows) == {i: "\n".join(lines) for i, lines in own.items()}

@@ -13,21 +13,13 @@ on a table of any size.
 
 A template recurs if at least ``min_groups`` groups of near copies contain it; a text
 that is no near copy is a group of its own.  Sequences of lines recur in fewer groups
-if they are long (``runs``), counted in texts that also have lines of their own, so that
-edited versions of one text do not empty each other.  Copies are left to the operators
-that find copies.  All lines of a recurring template or sequence are dropped from all
-documents.
-
-``recurring_by_surroundings`` is the narrower rule of the SQL of ``op9_line_templates``: a
-word that two lines of a leaf share is fixed, and a template recurs if it stands in at
-least ``min_contexts`` different surroundings (the leaves of the line before and after
-it), and in at least half as many as there are different texts that contain it.  It
-keeps blocks of several lines, lines that many near copies share with other texts, and
-what repeats in two to four texts.
+if they are long (``runs``).  Only the groups decide what counts once: versions of one text that
+are no near copies lose the passages they share, as unrelated texts do.  All lines of
+a recurring template or sequence are dropped from all documents.
 
 Lines travel as 64-bit hashes.  Words are compared only in leaves with two or more
 different lines.  The lists of those leaves and of dropped lines per text are
-broadcast up to a number of rows; beyond it, texts are shuffled to meet them.
+broadcast up to a number of bytes of their files; beyond it, texts are shuffled to meet them.
 """
 
 from __future__ import annotations
@@ -37,22 +29,18 @@ from pyspark.sql import functions as F
 
 from veilwork.llm import near_duplicates
 from veilwork.llm.text import SPACES, WORD, held, whole
-from veilwork.llm.work import hinted, written
+from veilwork.llm.work import small, written
 
 LEADING = 3
-MIN_CONTEXTS = 5
 FIXED_PERCENT = 70
 MIN_GROUPS = 5
 # Sequences of lines of more words than the first number recur in as many groups as the second.
 RUNS = ((50, 2), (30, 3))
 # Texts are near copies from this similarity on, in percent of their shingles.
 NEAR = 80
-# A text counts for sequences if so many of its words, in percent, are in lines that no other group has.
-OWN_PERCENT = 25
 FIELD = "<*>"
-# Tables with more rows are joined by a shuffle instead of a broadcast.
-BROADCAST_LEAVES = 2_000_000
-BROADCAST_TEXTS = 500_000
+# Tables of larger files are joined by a shuffle instead of a broadcast.
+BROADCAST_BYTES = 4_000_000
 # A word with a digit; starts are tried at word starts only, so that the scan stays linear.
 _WITH_DIGIT = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
@@ -78,48 +66,33 @@ def _lines(bodies: DataFrame, leading: int) -> DataFrame:
     return held(cut, ["key"], shown=F.filter(named, lambda x: x.getField("text") != ""))
 
 
-def _placed(bodies: DataFrame, leading: int) -> DataFrame:
-    """One narrow row per line of each different text: key, place, leaf, line, context."""
-    leaf_at = lambda i: F.coalesce(F.when(i >= 0, F.get("shown", i).getField("leaf")), F.lit(0))
-    rows = F.transform(
-        "shown",
-        lambda x, i: F.struct(
-            x.getField("place").alias("place"), x.getField("leaf").alias("leaf"), x.getField("line").alias("line"),
-            F.xxhash64(leaf_at(i - 1), F.lit("|"), leaf_at(i + 1)).alias("context"),
-        ),
-    )
-    return _lines(bodies, leading).select("key", F.inline(rows)).distinct()
-
-
 def _counted(bodies: DataFrame, leading: int) -> DataFrame:
-    """One narrow row per line of each different text: key, total, place, at, leaf, line, n_words.
+    """One narrow row per line of each different text: key, place, at, leaf, line, n_words.
 
-    ``at`` counts lines with a word, ``n_words`` the words of the line and ``total`` those of the text.
+    ``at`` counts lines with a word, ``n_words`` the words of the line.
     """
     rows = F.transform("shown", lambda x, i: F.struct(
         x.getField("place").alias("place"), i.alias("at"), x.getField("leaf").alias("leaf"), x.getField("line").alias("line"),
         (F.length(x.getField("text")) - F.length(F.replace(x.getField("text"), F.lit(" "))) + 1).cast("long").alias("n_words")))
-    cut = held(_lines(bodies, leading), ["key"], row=rows)
-    total = F.aggregate("row", F.lit(0).cast("long"), lambda n, x: n + x.getField("n_words"))
-    cut = held(cut, ["key", "row"], total=total)
-    return cut.select("key", "total", F.inline("row")).distinct()
+    return _lines(bodies, leading).select("key", F.inline(rows)).distinct()
 
 
-def _generalised(bodies: DataFrame, placed: DataFrame, leading: int, fixed_percent: int, by_share: bool) -> DataFrame:
+def _generalised(bodies: DataFrame, placed: DataFrame, leading: int, fixed_percent: int) -> DataFrame:
     """``leaf``, ``line`` -> ``template`` for the lines that share a leaf with other lines.
 
-    A word is fixed if another line of the leaf has it at its place; ``by_share``, only if
-    more than half as many lines have it as have the least shared of the words that must stay.
+    A word is fixed if another line of the leaf has it at its place, and more than half as many
+    lines have it as have the least shared of the words that must stay.
     """
     different = placed.select("leaf", "line").distinct()
     shared = different.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1").select("leaf")
-    shared = hinted(written(shared, "leaves"), BROADCAST_LEAVES)
+    shared = small(written(shared, "leaves"), BROADCAST_BYTES)
     texts = _lines(bodies, leading).select(F.inline(F.transform("shown", lambda x: F.struct(
         x.getField("leaf").alias("leaf"), x.getField("line").alias("line"), x.getField("text").alias("text")))))
     open_lines = texts.join(shared, "leaf", "left_semi").distinct()
     open_lines = written(open_lines.select("leaf", "line", F.split("text", " ").alias("word")), "lines")
     tokens = open_lines.select("leaf", "line", F.posexplode("word").alias("at", "token"))
-    fixed = tokens.groupBy("leaf", "at", "token").agg(F.count("*").alias("n")).filter("n > 1")
+    # Stored, so that the join with it can split a leaf word that very many lines have.
+    fixed = written(tokens.groupBy("leaf", "at", "token").agg(F.count("*").alias("n")).filter("n > 1"), "fixed")
     # One row per fixed word; the words of one line meet again under their line.
     marked = tokens.join(fixed, ["leaf", "at", "token"]).groupBy("leaf", "line").agg(
         F.sort_array(F.collect_list(F.struct("at", "token", "n"))).alias("fixed")
@@ -127,37 +100,15 @@ def _generalised(bodies: DataFrame, placed: DataFrame, leading: int, fixed_perce
     size = open_lines.select("leaf", "line", F.size("word").alias("size"))
     known = marked.join(size, ["leaf", "line"])
     known = known.filter(F.size("fixed") * F.lit(100) >= F.col("size") * F.lit(fixed_percent))
-    if by_share:
-        must = F.ceil(F.col("size") * F.lit(fixed_percent) / F.lit(100)).cast("int")
-        least = F.get(F.sort_array("fixed.n", asc=False), F.greatest(must, F.lit(1)) - 1)
-        known = held(known, ["leaf", "line", "size", "fixed"], least=least)
-        known = known.withColumn("fixed", F.filter("fixed", lambda x: x.getField("n") * 2 > F.col("least")))
+    must = F.ceil(F.col("size") * F.lit(fixed_percent) / F.lit(100)).cast("int")
+    least = F.get(F.sort_array("fixed.n", asc=False), F.greatest(must, F.lit(1)) - 1)
+    known = held(known, ["leaf", "line", "size", "fixed"], least=least)
+    known = known.withColumn("fixed", F.filter("fixed", lambda x: x.getField("n") * 2 > F.col("least")))
     known = known.withColumn("fixed", F.transform("fixed", lambda x: F.struct(
         x.getField("at").alias("at"), x.getField("token").alias("token"))))
     return known.select("leaf", "line", F.xxhash64("size", "fixed").alias("template"))
 
 
-def recurring_by_surroundings(
-    bodies: DataFrame, leading: int = LEADING, min_contexts: int = MIN_CONTEXTS, fixed_percent: int = FIXED_PERCENT
-) -> DataFrame:
-    """``key``, ``place`` of the lines whose template recurs in different surroundings.
-
-    ``bodies`` has ``key`` (a digest of the text) and ``body``.
-    """
-    placed = written(_placed(bodies, leading), "placed")
-    templates = written(_generalised(bodies, placed, leading, fixed_percent, by_share=False), "templates")
-    lines = placed.join(templates, ["leaf", "line"], "left")
-    lines = written(
-        lines.select("key", "place", "context", F.coalesce("template", F.col("line")).alias("template")), "named"
-    )
-    counted = lines.groupBy("template").agg(
-        F.countDistinct("context").alias("contexts"), F.countDistinct("key").alias("texts")
-    )
-    found = counted.filter((F.col("contexts") >= min_contexts) & (F.col("contexts") * 2 >= F.col("texts")))
-    found = written(found, "recurring")
-    return lines.join(found.select("template"), "template", "left_semi").select("key", "place")
-
-
 def _sequences(lines: DataFrame, more_than: int) -> DataFrame:
     """The shortest sequences of more than so many words from each line on, and up to each line.
 
@@ -175,7 +126,7 @@ def _sequences(lines: DataFrame, more_than: int) -> DataFrame:
                                (back, F.col("at") - F.size("part") + 1, F.col("at"))):
         found = lines.withColumns({"part": F.collect_list("template").over(reach), "words": F.sum("n_words").over(reach)})
         made.append(found.filter(F.col("words") > more_than).select(
-            "key", "group", "counts", first.alias("first"), last.alias("last"), F.xxhash64("part").alias("sequence")))
+            "key", "group", first.alias("first"), last.alias("last"), F.xxhash64("part").alias("sequence")))
     return made[0].union(made[1])
 
 
@@ -184,51 +135,47 @@ def recurring(
 ) -> DataFrame:
     """``key``, ``place`` of the lines that recur in different groups of near copies.
 
-    ``bodies`` has ``key`` (a digest of the text) and ``body``.
+    ``bodies`` has ``key`` (the SHA-256 of the text) and ``body``.
     """
     placed = written(_counted(bodies, leading), "placed")
-    templates = written(_generalised(bodies, placed, leading, fixed_percent, by_share=True), "templates")
+    templates = written(_generalised(bodies, placed, leading, fixed_percent), "templates")
     lines = placed.join(templates, ["leaf", "line"], "left")
-    lines = written(lines.select(
-        "key", "total", "place", "at", "n_words", F.coalesce("template", F.col("line")).alias("template")), "named")
+    lines = written(lines.select("key", "place", "at", "n_words", F.coalesce("template", F.col("line")).alias("template")), "named")
     # Only texts that share a line with another text are compared as near copies.
     several = lines.groupBy("template").agg(F.countDistinct("key").alias("n")).filter("n > 1").select("template")
-    shared = written(lines.join(several, "template", "left_semi"), "shared")
-    keys = hinted(written(shared.select("key").distinct(), "keys"), BROADCAST_TEXTS)
-    texts = bodies.join(keys, "key", "left_semi").select(F.xxhash64("key").alias("number"), "body")
+    shared = written(lines.join(written(several, "several"), "template", "left_semi"), "shared")
+    keys = shared.select("key").distinct().withColumn("number", F.monotonically_increasing_id())
+    keys = written(keys, "keys")
+    texts = bodies.join(small(keys, BROADCAST_BYTES), "key").select("number", "body")
     alike = near_duplicates.groups(texts, "number", "body", NEAR)
-    alike = written(alike.select(F.col("doc_id").alias("number"), F.col("component_id").alias("group")).distinct(), "alike")
-    grouped = shared.withColumn("number", F.xxhash64("key")).join(hinted(alike, BROADCAST_TEXTS), "number").drop("number")
-    grouped = written(grouped, "grouped")
+    alike = alike.select(F.col("doc_id").alias("number"), F.col("component_id").alias("group")).distinct()
+    alike = written(keys.join(alike, "number").select("key", "group"), "alike")
+    grouped = written(shared.join(small(alike, BROADCAST_BYTES), "key"), "grouped")
     spread = grouped.groupBy("template").agg(F.countDistinct("group").alias("groups")).filter("groups > 1")
     repeated = written(grouped.join(written(spread, "spread"), "template"), "repeated")
-    by_text = Window.partitionBy("key")
-    own = F.col("total") - F.sum("n_words").over(by_text)
-    counting = repeated.withColumn("counts", own * 100 >= F.col("total") * OWN_PERCENT)
     dropped = repeated.filter(F.col("groups") >= min_groups).select("key", "at")
     for more_than, least in runs:
-        sequences = written(_sequences(counting, more_than), "sequences")
-        found = sequences.filter("counts").groupBy("sequence").agg(F.countDistinct("group").alias("n"))
-        found = sequences.join(found.filter(F.col("n") >= least), "sequence", "left_semi")
+        sequences = written(_sequences(repeated, more_than), "sequences")
+        found = sequences.groupBy("sequence").agg(F.countDistinct("group").alias("n")).filter(F.col("n") >= least)
+        found = sequences.join(written(found, "found"), "sequence", "left_semi")
         dropped = dropped.union(found.select("key", F.explode(F.sequence("first", "last")).alias("at")))
     return repeated.join(dropped.distinct(), ["key", "at"], "left_semi").select("key", "place")
 
 
-def drop_recurring(df: DataFrame, text: str = "text", rule=recurring, **settings) -> DataFrame:
+def drop_recurring(df: DataFrame, text: str = "text", **settings) -> DataFrame:
     """``row`` (the input row as a struct), ``text`` without dropped lines, ``n_lines``, ``n_dropped``.
 
     ``n_lines`` counts lines with a word; lines without one are never dropped.  A
     text without dropped lines stays as it is, a null text stays null, and a text of
     which all lines are dropped becomes empty.  The decision depends on texts only,
     so repeated rows get equal results, whatever their other columns hold.  An
-    empty table gives an empty result.  ``rule`` is ``recurring`` or
-    ``recurring_by_surroundings``, with its ``settings``.
+    empty table gives an empty result.  ``settings`` are those of ``recurring``.
     """
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     body = whole(F.col("row").getField(text))
-    packed = packed.select("row", F.md5(body).alias("key"))
-    bodies = df.select(whole(text).alias("body")).select("body", F.md5("body").alias("key"))
-    dropped = rule(bodies, **settings)
+    packed = packed.select("row", F.unhex(F.sha2(body, 256)).alias("key"))
+    bodies = df.select(whole(text).alias("body")).select("body", F.unhex(F.sha2("body", 256)).alias("key"))
+    dropped = recurring(bodies, **settings)
     # One entry per text: its dropped places as flags, so that each line is looked up at once.
     flags = dropped.groupBy("key").agg(F.sort_array(F.collect_list("place")).alias("places"))
     flags = flags.withColumn("runs", F.transform(
@@ -237,7 +184,7 @@ def drop_recurring(df: DataFrame, text: str = "text", rule=recurring, **settings
     ))
     flags = held(flags, ["key"], flag=F.flatten(F.transform(
         "runs", lambda run: F.concat(F.array_repeat(F.lit(False), run), F.array(F.lit(True))))))
-    joined = packed.join(hinted(written(flags, "dropped"), BROADCAST_TEXTS), "key", "left")
+    joined = packed.join(small(written(flags, "dropped"), BROADCAST_BYTES), "key", "left")
     cut = held(joined, ["row", "flag"], line=F.split(whole(F.col("row").getField(text)), "\n", -1))
     kept = F.array_join(F.filter("line", lambda x, i: ~F.coalesce(F.get("flag", i), F.lit(False))), "\n")
     filled = F.size(F.filter("line", lambda x: x.rlike(WORD))).cast("long")

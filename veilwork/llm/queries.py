@@ -123,14 +123,6 @@ def op6_warc(spark, sf_dir):
 
 @query
 def op9_line_templates(spark, sf_dir):
-    """The rule of its SQL; the whole rule is ``op9_repeated_lines``."""
-    documents = _table(spark, sf_dir, "documents")
-    done = line_templates.drop_recurring(documents, rule=line_templates.recurring_by_surroundings)
-    return done.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", "text")
-
-
-@query
-def op9_repeated_lines(spark, sf_dir):
     done = line_templates.drop_recurring(_table(spark, sf_dir, "documents"))
     return done.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", "text")
 

@@ -195,43 +195,80 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, min(r.b) AS compo
 FROM documents d JOIN reach r ON r.a = d.doc_id LEFT JOIN size s ON s.doc_id = d.doc_id
 GROUP BY d.doc_id, n"""
 
+def _sequences_sql(more_than: int, least: int) -> str:
+    """Lines of sequences of more than so many words that stand in so many groups: the sequences from each line on, and up to it."""
+    made = []
+    for order, frame, first, last in (
+        ("start", f"CURRENT ROW AND {more_than} FOLLOWING", "nth", "nth + len(part) - 1"),
+        ("stop", f"{more_than} PRECEDING AND CURRENT ROW", "nth - len(part) + 1", "nth"),
+    ):
+        over = f"(PARTITION BY body, run ORDER BY {order} RANGE BETWEEN {frame})"
+        made.append(f"""SELECT body, grp, {first} AS first, {last} AS last, part FROM (
+          SELECT body, grp, nth, list(template) OVER {over} AS part, sum(n_words) OVER {over} AS n FROM stretch) WHERE n > {more_than}""")
+    both = " UNION ALL ".join(made)
+    return f"""SELECT body, unnest(generate_series(first, last)) AS nth FROM (
+      SELECT * FROM ({both})) JOIN (
+      SELECT part FROM ({both}) GROUP BY part HAVING count(DISTINCT grp) >= {least}) USING (part)"""
+
+
 OP9 = rf"""
-WITH raw AS (
+WITH RECURSIVE raw AS (
   SELECT doc_id, coalesce(text, '') AS body, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-lines AS (
-  SELECT doc_id, body, p, list_transform(regexp_extract_all(l[p], '[^\x20\x09-\x0D]+'),
+cut AS (
+  SELECT body, p, list_transform(regexp_extract_all(l[p], '[^\x20\x09-\x0D]+'),
          lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w
-  FROM (SELECT doc_id, body, l, unnest(generate_series(1, len(l))) AS p FROM raw)),
+  FROM (SELECT body, l, unnest(generate_series(1, len(l))) AS p FROM (SELECT DISTINCT body, l FROM raw))),
 shown AS (
-  SELECT doc_id, body, p, w, [CAST(len(w) AS VARCHAR)] || w[1:{line_templates.LEADING}] AS leaf FROM lines WHERE len(w) > 0),
-placed AS (
-  SELECT *, [lag(leaf) OVER by_doc, lead(leaf) OVER by_doc] AS context
-  FROM shown WINDOW by_doc AS (PARTITION BY doc_id ORDER BY p)),
+  SELECT body, p, row_number() OVER (PARTITION BY body ORDER BY p) - 1 AS nth, len(w) AS n_words, w,
+         [CAST(len(w) AS VARCHAR)] || w[1:{line_templates.LEADING}] AS leaf
+  FROM cut WHERE len(w) > 0),
 different AS (SELECT DISTINCT leaf, w FROM shown),
 tokens AS (SELECT leaf, w, unnest(w) AS token, unnest(generate_series(1, len(w))) AS k FROM different),
-fixed AS (SELECT *, count(*) OVER (PARTITION BY leaf, k, token) AS n FROM tokens),
+counts AS (SELECT leaf, k, token, count(*) AS n FROM tokens GROUP BY ALL HAVING count(*) > 1),
+shares AS (
+  SELECT leaf, w, list({{'k': k, 'token': token, 'n': n}} ORDER BY k) AS fixed, list(n ORDER BY n DESC) AS ns
+  FROM tokens JOIN counts USING (leaf, k, token) GROUP BY leaf, w
+  HAVING count(*) * 100 >= len(w) * {line_templates.FIXED_PERCENT}),
 templates AS (
-  SELECT leaf, w, list([CAST(k AS VARCHAR), token] ORDER BY k) AS template
-  FROM fixed WHERE n > 1 GROUP BY leaf, w HAVING count(*) * 100 >= len(w) * {line_templates.FIXED_PERCENT}),
+  SELECT leaf, w, [CAST(len(w) AS VARCHAR)] || list_transform(
+           list_filter(fixed, lambda x: x.n * 2 > ns[CAST(greatest(ceil(len(w) * {line_templates.FIXED_PERCENT} / 100.0), 1) AS BIGINT)]),
+           lambda x: CAST(x.k AS VARCHAR) || ' ' || x.token) AS template
+  FROM shares),
 named AS (
-  SELECT doc_id, body, p, context, leaf, template, CASE WHEN template IS NULL THEN p.w END AS own
-  FROM placed p LEFT JOIN templates t USING (leaf, w)),
-found AS (
-  SELECT leaf[1] AS size, template, own FROM named GROUP BY ALL
-  HAVING count(DISTINCT context) >= {line_templates.MIN_CONTEXTS}
-     AND count(DISTINCT context) * 2 >= count(DISTINCT body)),
-marked AS (
-  SELECT doc_id, p, f.size IS NOT NULL AS dropped
-  FROM named n LEFT JOIN found f
-    ON n.leaf[1] = f.size AND n.template IS NOT DISTINCT FROM f.template AND n.own IS NOT DISTINCT FROM f.own),
-counted AS (
-  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
-         list(p) FILTER (dropped) AS gone
-  FROM marked GROUP BY doc_id)
-SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped,
-       CASE WHEN coalesce(n_dropped, 0) = 0 THEN text
-            ELSE array_to_string(list_filter(l, lambda x, i: NOT list_contains(gone, i)), chr(10)) END AS text
-FROM raw LEFT JOIN counted USING (doc_id)"""
+  SELECT body, p, nth, n_words, coalesce(template, ['line'] || s.w) AS template
+  FROM shown s LEFT JOIN templates t ON t.leaf = s.leaf AND t.w = s.w),
+common AS (
+  SELECT * FROM named SEMI JOIN (SELECT template FROM named GROUP BY template HAVING count(DISTINCT body) > 1) USING (template)),
+met AS (SELECT body, row_number() OVER (ORDER BY body) AS id FROM (SELECT DISTINCT body FROM common)),
+spoken AS (
+  SELECT id, regexp_extract_all(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM met),
+shingle AS (
+  SELECT DISTINCT id, array_to_string(w[q:q + 4], ' ') AS s
+  FROM (SELECT id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS q FROM spoken)),
+size AS (SELECT id, count(*) AS n FROM shingle GROUP BY id),
+pairs AS (SELECT a.id AS a, b.id AS b, count(*) AS n_both FROM shingle a JOIN shingle b ON a.s = b.s AND a.id < b.id GROUP BY ALL),
+link AS (
+  SELECT a, b FROM pairs JOIN size x ON x.id = a JOIN size y ON y.id = b
+  WHERE 100 * n_both >= {line_templates.NEAR} * (x.n + y.n - n_both)),
+ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT id AS a, id AS b FROM met UNION SELECT r.a, e.b FROM reach r JOIN ways e ON r.b = e.a),
+grouped AS (
+  SELECT c.*, g.grp FROM common c JOIN met USING (body) JOIN (SELECT a AS id, min(b) AS grp FROM reach GROUP BY a) g USING (id)),
+repeated AS (
+  SELECT * FROM grouped JOIN (SELECT template, count(DISTINCT grp) AS n_groups FROM grouped GROUP BY template) USING (template) WHERE n_groups > 1),
+numbered AS (SELECT *, nth - row_number() OVER (PARTITION BY body ORDER BY nth) AS run FROM repeated),
+stretch AS (
+  SELECT *, sum(n_words) OVER (PARTITION BY body, run ORDER BY nth) AS stop,
+         sum(n_words) OVER (PARTITION BY body, run ORDER BY nth) - n_words AS start FROM numbered),
+gone AS (
+  SELECT body, nth FROM repeated WHERE n_groups >= {line_templates.MIN_GROUPS}
+  {' '.join(f'UNION {_sequences_sql(*run)}' for run in line_templates.RUNS)}),
+dropped AS (SELECT body, list(p) AS places FROM repeated SEMI JOIN gone USING (body, nth) GROUP BY body),
+filled AS (SELECT body, count(*) AS n_lines FROM shown GROUP BY body)
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(len(places), 0) AS BIGINT) AS n_dropped,
+       CASE WHEN places IS NULL THEN text
+            ELSE array_to_string(list_filter(l, lambda x, i: NOT list_contains(places, i)), chr(10)) END AS text
+FROM raw LEFT JOIN dropped USING (body) LEFT JOIN filled USING (body)"""
 
 
 OP11 = r"""

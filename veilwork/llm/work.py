@@ -70,3 +70,11 @@ def hinted(table: DataFrame, most_rows: int) -> DataFrame:
     A larger one is joined by a shuffle, with the same result.
     """
     return F.broadcast(table) if table.count() <= most_rows else table
+
+
+def small(table: DataFrame, most_bytes: int) -> DataFrame:
+    """A written table, to be broadcast if its files hold at most ``most_bytes`` bytes, and shuffled beyond."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return F.broadcast(table) if files.getContentSummary(path).getLength() <= most_bytes else table
