@@ -41,7 +41,7 @@ def ranked_sources(sized: DataFrame) -> DataFrame:
 
     Sources are dealt to tasks by range, so numbering them is not the work of one task.
     """
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    totals = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     order = [F.col("source").isNull(), F.col("source")]
     dealt = written(
         totals.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "sources"
@@ -110,16 +110,17 @@ def _place(u: Column, odds: Column) -> Column:
 
 
 def cuts(sized: DataFrame, weights=(1, 2, 3), most_times: int = 3) -> DataFrame:
-    """The columns of ``targets`` and ``cut``: documents of rank up to it are taken once more.
+    """The columns of ``targets``, ``cut`` and ``part``: rows of rank below the cut are taken once more,
+    and of those of that rank ``part`` rows.
 
-    ``sized`` has ``source``, ``size``, ``u``.  Of the rows in order of rank, a
-    row enters if at most half of it lies beyond the wanted words; rows of equal
-    rank (the same id and text) enter together.
+    ``sized`` has ``source``, ``size``, ``u`` and ``n``, the number of such rows.  Of the rows in
+    order of rank, a row enters if at most half of it lies beyond the wanted words.  Rows
+    of equal rank (the same id and text) are interchangeable; as many enter as fit.
     """
     sources = written(targets(sized, weights, most_times), "targets")
     same = F.col("d.source").eqNullSafe(F.col("t.source"))
     ranked = sized.alias("d").join(sources.alias("t"), same).select(
-        "d.source", "t.wanted", "size", _place(F.col("u"), F.col("odds")).alias("x")
+        "d.source", "t.wanted", "size", (F.col("size") * F.col("n")).alias("words"), _place(F.col("u"), F.col("odds")).alias("x")
     )
     first = F.least(F.floor(F.col("x") * INTERVALS), F.lit(INTERVALS - 1)).cast("int")
     second = F.least(
@@ -133,7 +134,7 @@ def cuts(sized: DataFrame, weights=(1, 2, 3), most_times: int = 3) -> DataFrame:
         end = sums.withColumn("end", start + F.sum("words").over(ordered))
         return end.filter((F.col("end") > F.col("wanted")) & (F.col("end") - F.col("words") <= F.col("wanted")))
 
-    coarse = ranked.groupBy("source", "wanted", "first").agg(F.sum("size").alias("words"))
+    coarse = ranked.groupBy("source", "wanted", "first").agg(F.sum("words").alias("words"))
     coarse = reached(coarse.filter("words > 0"), "first", F.lit(0)).select(
         "source", "first", (F.col("end") - F.col("words")).alias("start")
     )
@@ -142,28 +143,29 @@ def cuts(sized: DataFrame, weights=(1, 2, 3), most_times: int = 3) -> DataFrame:
         F.col("r.source").eqNullSafe(F.col("c.source")) & (F.col("r.first") == F.col("c.first")),
     ).select("r.*", "c.start")
     inner = written(inner, "interval")
-    fine = inner.groupBy("source", "wanted", "start", "second").agg(F.sum("size").alias("words"))
+    fine = inner.groupBy("source", "wanted", "start", "second").agg(F.sum("words").alias("words"))
     fine = reached(fine.filter("words > 0"), "second", F.col("start")).select(
         "source", "second", (F.col("end") - F.col("words")).alias("start")
     )
     last = inner.drop("start").alias("r").join(
         fine.alias("c"),
         F.col("r.source").eqNullSafe(F.col("c.source")) & (F.col("r.second") == F.col("c.second")),
-    ).select("r.source", "r.wanted", "c.start", "r.x", "r.size")
-    last = last.groupBy("source", "wanted", "start", "x").agg(F.sum("size").alias("words"))
-    ordered = Window.partitionBy("source").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.col("start") + F.sum("words").over(ordered)
-    entered = (end - F.col("words") / F.lit(2)) <= F.col("wanted")
-    # The cut is the highest rank that enters, or else just below the interval.
-    below = (F.col("first") + F.col("second") / F.lit(float(INTERVALS))) / F.lit(float(INTERVALS))
-    cut = last.withColumn("enters", entered).groupBy("source").agg(
-        F.max(F.when(F.col("enters"), F.col("x"))).alias("cut"), F.min("x").alias("lowest")
+    ).select("r.source", "r.wanted", "c.start", "r.x", "r.size", "r.words")
+    last = last.filter("size > 0").groupBy("source", "wanted", "start", "x", "size").agg(F.sum("words").alias("words"))
+    ordered = Window.partitionBy("source").orderBy("x", "size").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("start") + F.coalesce(F.sum("words").over(ordered), F.lit(0))
+    fitting = F.floor((F.col("wanted") - before) / F.col("size") + F.lit(0.5)).cast("long")
+    fitting = F.greatest(F.lit(0), F.least(fitting, (F.col("words") / F.col("size")).cast("long")))
+    # The cut is the highest rank of which rows enter, or else just below the interval.
+    last = last.withColumn("part", fitting)
+    cut = last.groupBy("source").agg(
+        F.max(F.when(F.col("part") > 0, F.struct("x", "size", "part"))).alias("at"), F.min("x").alias("lowest")
     )
     joined = sources.alias("t").join(cut.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left")
     # No interval is reached if the wanted words are all words of the source or none.
     rest = F.when(F.col("lowest").isNull(), F.when(F.col("wanted") > 0, F.lit(2.0)).otherwise(F.lit(-1.0)))
     low = F.col("lowest") * F.lit(1.0 - 2.0**-52)
-    return joined.select("t.*", F.coalesce("cut", rest, low).alias("cut"))
+    return joined.select("t.*", F.coalesce("at.x", rest, low).alias("cut"), F.coalesce("at.part", F.lit(0)).alias("part"))
 
 
 def _sized(packed: DataFrame, doc_id: str, text: str, source: str, seed: str, keep) -> DataFrame:
@@ -182,15 +184,25 @@ def _packed(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
 
 
+def _merged(sized: DataFrame) -> DataFrame:
+    """Equal rows once, with their number ``n``: they draw alike, however many there are."""
+    return sized.groupBy(*sized.columns).agg(F.count("*").alias("n"))
+
+
 def _with_copies(rows: DataFrame, bounds: DataFrame) -> DataFrame:
-    """``rows`` (source, size, u, ...) with ``source_size``, ``target`` and ``copies``."""
+    """``rows`` (source, size, u, ...) with ``source_size``, ``target``, ``copies`` and ``part``.
+
+    ``part`` of the rows that are equal to a row at the cut have a copy more (null: not at the cut).
+    """
     bounds = bounds.withColumnRenamed("source", "of")
     joined = rows.join(bounds, F.col("source").eqNullSafe(F.col("of")))
-    enters = (_place(F.col("u"), F.col("odds")) <= F.col("cut")) & (F.col("odds") > 0)
-    copies = F.col("whole") + enters.cast("long")
+    x = _place(F.col("u"), F.col("odds"))
+    filled = F.col("size") > 0
+    copies = F.col("whole") + ((x < F.col("cut")) & (F.col("odds") > 0)).cast("long")
     return joined.select(
         *rows.columns, "source_size", "target",
-        F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("long").alias("copies"),
+        F.when(filled, copies).otherwise(F.lit(0)).cast("long").alias("copies"),
+        F.when(filled & (x == F.col("cut")) & (F.col("odds") > 0), F.col("part")).alias("part"),
     )
 
 
@@ -201,15 +213,19 @@ def allocate(
     """Per row: ``doc_id``, ``size``, ``source_size``, ``target``, ``taken`` (words, repeats counted).
 
     A null source is a source of its own, the last.  A null or empty text has
-    size 0 and is taken 0 times.  Rows equal in id and text draw alike and enter
-    together.  An empty table gives an empty result.
+    size 0 and is taken 0 times.  Rows equal in id and text draw alike; of those at the
+    cut as many are taken once more as fit, so a source misses its target by at most half of
+    one document.  An empty table gives an empty result.
     """
     key = F.col("row").getField(doc_id).alias("doc_id")
-    rows = written(_sized(_packed(df), doc_id, text, source, seed, [key]), "sized")
+    rows = written(_merged(_sized(_packed(df), doc_id, text, source, seed, [key])), "sized")
     bounds = written(cuts(rows, weights, most_times), "cuts")
     mixed = _with_copies(rows, bounds)
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("row")
+    mixed = mixed.select("doc_id", "size", "source_size", "target", "copies", "part", each)
+    more = (F.col("row") <= F.coalesce("part", F.lit(0))).cast("long")
     return mixed.select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
+        "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("copies") + more)).alias("taken")
     )
 
 
@@ -217,10 +233,18 @@ def mix(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
     weights=(1, 2, 3), most_times: int = 3, seed: str = "mix",
 ) -> DataFrame:
-    """The mixed rows themselves, with the columns of ``df``; a row taken n times is there n times."""
-    sized = written(_sized(_packed(df), doc_id, text, source, seed, []), "sized")
+    """The mixed rows themselves, with the columns of ``df``; a row taken n times is there n times.
+
+    Of rows equal in id and text at the cut of a source, one stands for the copies that fit.
+    """
+    sized = written(_merged(_sized(_packed(df), doc_id, text, source, seed, [])), "sized")
     bounds = written(cuts(sized, weights, most_times), "cuts")
     rows = _sized(_packed(df), doc_id, text, source, seed, ["row"])
-    copied = _with_copies(rows, bounds).filter("copies > 0")
-    repeated = copied.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-    return repeated.select(*[F.col("row").getField(c).alias(c) for c in df.columns])
+    copied = _with_copies(rows, bounds)
+    repeated = copied.filter("copies > 0").select("row", "copies")
+    # One row per source, chosen in each task before rows move.
+    at_cut = copied.filter("part > 0").select("source", F.to_json("row").alias("shown"), "row", F.col("part").alias("copies"))
+    at_cut = at_cut.groupBy("source").agg(F.min_by(F.struct("row", "copies"), F.col("shown")).alias("one"))
+    both = repeated.unionByName(at_cut.select("one.row", "one.copies"))
+    each = both.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return each.select(*[F.col("row").getField(c).alias(c) for c in df.columns])

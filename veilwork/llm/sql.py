@@ -84,8 +84,8 @@ ranked AS (
   FROM sized d JOIN rated t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
        CAST(size * (whole + CASE WHEN part > 0 AND
-         (sum(size) OVER (PARTITION BY source ORDER BY q RANGE UNBOUNDED PRECEDING))
-         - (sum(size) OVER (PARTITION BY source, q)) / 2 <= wanted THEN 1 ELSE 0 END) AS BIGINT) AS taken
+         (sum(size) OVER (PARTITION BY source ORDER BY q ROWS UNBOUNDED PRECEDING)) - size / 2 <= wanted THEN 1 ELSE 0 END)
+         AS BIGINT) AS taken
 FROM ranked"""
 
 

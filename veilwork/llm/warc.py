@@ -9,13 +9,18 @@ than ``segment_chars`` is cut into ``continuation`` records.
 Reading takes whole files (their size is bounded by ``records_per_file``), splits
 them into records, groups continuation records by the id of their origin, orders
 them by segment number, verifies the total length, and decodes the HTTP message
-with its chunked framing.  A damaged record gives a row with ``intact`` false.
+with its chunked framing.  A damaged record gives a row with ``intact`` false: one whose header
+lacks its length, whose block is cut off or does not end where it says, or whose
+payload has another digest.  Reading goes on with the next record header, and bytes between
+records that are no header are passed over.  Records of other kinds (``warcinfo``, ``request``,
+``metadata``) are no pages.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwork.llm.text import whole
+from veilwork.llm.work import written
 
 # Archive format (fixed values).
 VERSION = "WARC/1.1"
@@ -82,7 +88,8 @@ def with_record_types(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     )
     seen = rows.filter(F.col("payload_bytes") >= min_bytes).groupBy("digest", "payload_bytes")
     seen = seen.agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null")
-    marked = rows.join(seen.drop("n"), ["digest", "payload_bytes"], "left")
+    # Stored, so that the join carries bodies but once and can split a payload that very many pages have.
+    marked = rows.join(written(seen.drop("n"), "seen"), ["digest", "payload_bytes"], "left")
     return marked.withColumn("first", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
 
 
@@ -142,45 +149,64 @@ _RECORD = pa.schema(
     [
         ("record_id", pa.string()), ("kind", pa.string()), ("page_id", pa.int64()), ("url", pa.string()),
         ("digest", pa.string()), ("refers_to", pa.int64()), ("origin", pa.string()), ("segment", pa.int32()),
-        ("total", pa.int64()), ("block", pa.binary()),
+        ("total", pa.int64()), ("whole", pa.bool_()), ("block", pa.binary()),
     ]
 )
 _RECORD_DDL = (
     "record_id string, kind string, page_id bigint, url string, digest string, refers_to bigint,"
-    " origin string, segment int, total bigint, block binary"
+    " origin string, segment int, total bigint, whole boolean, block binary"
 )
 _BATCH_BYTES = 8_000_000
+_READ_BYTES = 1 << 14
 
 
 def _unpacked(data: bytes) -> bytes:
-    """The content of a file that may be gzip, in one member or in many."""
-    parts = []
-    while data[:2] == b"\x1f\x8b":
+    """The content of a file that may be gzip, in one member or in many; of a damaged member what can be read."""
+    view, at, parts = memoryview(data), 0, []
+    while data[at : at + 2] == b"\x1f\x8b":
         stream = zlib.decompressobj(31)
-        parts.append(stream.decompress(data))
-        data = stream.unused_data
-    return b"".join([*parts, data])
+        try:
+            while not stream.eof and at < len(data):
+                piece = view[at : at + _READ_BYTES]
+                parts.append(stream.decompress(piece))
+                at += len(piece) - len(stream.unused_data)
+        except zlib.error:
+            return b"".join(parts)
+    return b"".join([*parts, view[at:]])
+
+
+_HEADER = re.compile(rb"(?:^|(?<=\n))WARC/[0-9]")
 
 
 def _records(data: bytes) -> Iterator[tuple]:
-    at = 0
-    while at < len(data):
-        stop = data.index(b"\r\n\r\n", at)
-        lines = data[at:stop].split(b"\r\n")
-        if not lines[0].startswith(b"WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+    """The records of an archive; ``whole`` is false where the length and the place of the next record disagree."""
+    found = _HEADER.search(data)
+    while found:
+        at = found.start()
+        stop = data.find(b"\r\n\r\n", at)
+        if stop < 0:
+            return
         fields = {}
-        for line in lines[1:]:
+        for line in data[at:stop].split(b"\r\n")[1:]:
             name, _, value = line.partition(b":")
-            fields[name.strip().lower()] = value.strip().decode()
-        number = lambda name: int(fields[name]) if name in fields else None  # noqa: B023, E731
-        block = data[stop + 4 : stop + 4 + number(b"content-length")]
-        at = stop + 4 + len(block) + 4
+            fields[name.strip().lower()] = value.strip().decode(errors="replace")
+
+        def number(name: bytes) -> int | None:
+            digits = fields.get(name, "")  # noqa: B023
+            return int(digits) if re.fullmatch("-?[0-9]{1,18}", digits) else None
+
+        begin, length = stop + 4, number(b"content-length")
+        end = begin + length if length is not None and length >= 0 else None
+        whole_block = end is not None and data[end : end + 4] == b"\r\n\r\n"
+        found = _HEADER.search(data, end + 4 if whole_block else begin)
+        if not whole_block:
+            end = found.start() if found else len(data)
+        digest = fields.get(b"warc-payload-digest", "")
         yield (
-            fields[b"warc-record-id"], fields[b"warc-type"], number(b"warc-page-id"), fields.get(b"warc-target-uri"),
-            fields.get(b"warc-payload-digest", "").removeprefix("sha1:") or None, number(b"warc-refers-to-page-id"),
+            fields.get(b"warc-record-id"), fields.get(b"warc-type"), number(b"warc-page-id"), fields.get(b"warc-target-uri"),
+            digest.removeprefix("sha1:") if digest.startswith("sha1:") else None, number(b"warc-refers-to-page-id"),
             fields.get(b"warc-segment-origin-id"), number(b"warc-segment-number"),
-            number(b"warc-segment-total-length"), block,
+            number(b"warc-segment-total-length"), whole_block, data[begin:end],
         )
 
 
@@ -202,6 +228,10 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield packed(rows)
 
 
+# Records that are pages or parts of one.
+_PAGE_KINDS = ("response", "revisit", "continuation")
+
+
 def records(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives below ``path``, continuation records as they are."""
     files = spark.read.format("binaryFile").load(path).select("content")
@@ -258,13 +288,15 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             payload, size, digest, intact = None, None, row["digest"], True
             try:
+                if not row["whole"]:
+                    raise ValueError("the record is damaged")
                 headers, body = _message([(p["segment"], p["block"]) for p in row["parts"]], row["total"])
                 if row["kind"] == "revisit":
                     size = int(headers[b"content-length"])
                 else:
                     payload, size = body, len(body)
                     digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
-                    intact = digest == row["digest"]
+                    intact = row["digest"] in (None, digest)  # an archive need not give one
             except (ValueError, KeyError):
                 intact = False
             rows.append((row["page_id"], row["url"], row["kind"], row["refers_to"], size, digest, payload, intact))
@@ -279,17 +311,20 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     The payload of a revisit is null; its size and digest are those of the full
     payload.  Only the segments of cut records are shuffled.
     """
-    found = records(spark, path)
+    found = records(spark, path).filter(F.col("kind").isin(*_PAGE_KINDS))
     part = F.struct(F.coalesce("segment", F.lit(1)).alias("segment"), "block")
     head = ["kind", "page_id", "url", "digest", "refers_to"]
-    single = found.filter("segment is null").select(*head, "total", F.array(part).alias("parts"))
+    # A segment that names no origin cannot be put together with others.
+    lone = F.col("segment").isNull() | F.coalesce("origin", "record_id").isNull()
+    single = found.filter(lone).select(*head, "total", "whole", F.array(part).alias("parts"))
     first = F.col("kind") != "continuation"
     joined = (
-        found.filter("segment is not null")
+        found.filter(~lone)
         .groupBy(F.coalesce("origin", "record_id").alias("origin"))
         .agg(
             *[F.max(F.when(first, F.col(c))).alias(c) for c in head],
             F.max("total").alias("total"),
+            F.bool_and("whole").alias("whole"),
             F.collect_list(part).alias("parts"),
         )
     )
