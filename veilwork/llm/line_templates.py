@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from veilwork.llm import near_duplicates
 from veilwork.llm.text import SPACES, WORD, held, whole
-from veilwork.llm.work import small, written
+from veilwork.llm.work import discard, small, written
 
 LEADING = 3
 FIXED_PERCENT = 70
@@ -141,18 +141,19 @@ def recurring(
     templates = written(_generalised(bodies, placed, leading, fixed_percent), "templates")
     lines = placed.join(templates, ["leaf", "line"], "left")
     lines = written(lines.select("key", "place", "at", "n_words", F.coalesce("template", F.col("line")).alias("template")), "named")
-    # Only texts that share a line with another text are compared as near copies.
+    discard(placed, templates)
     several = lines.groupBy("template").agg(F.countDistinct("key").alias("n")).filter("n > 1").select("template")
-    shared = written(lines.join(written(several, "several"), "template", "left_semi"), "shared")
-    keys = shared.select("key").distinct().withColumn("number", F.monotonically_increasing_id())
-    keys = written(keys, "keys")
-    texts = bodies.join(small(keys, BROADCAST_BYTES), "key").select("number", "body")
-    alike = near_duplicates.groups(texts, "number", "body", NEAR)
-    alike = alike.select(F.col("doc_id").alias("number"), F.col("component_id").alias("group")).distinct()
-    alike = written(keys.join(alike, "number").select("key", "group"), "alike")
-    grouped = written(shared.join(small(alike, BROADCAST_BYTES), "key"), "grouped")
+    several = written(several, "several")
+    shared = written(lines.join(several, "template", "left_semi").withColumn("number", F.xxhash64("key")), "shared")
+    discard(lines, several)
+    alike = near_duplicates.groups(bodies.select(F.xxhash64("key").alias("number"), "body"), "number", "body", NEAR)
+    alike = written(alike.select(F.col("doc_id").alias("number"), F.col("component_id").alias("group")).distinct(), "alike")
+    grouped = written(shared.join(small(alike, BROADCAST_BYTES), "number").drop("number"), "grouped")
+    discard(shared, alike)
     spread = grouped.groupBy("template").agg(F.countDistinct("group").alias("groups")).filter("groups > 1")
-    repeated = written(grouped.join(written(spread, "spread"), "template"), "repeated")
+    spread = written(spread, "spread")
+    repeated = written(grouped.join(spread, "template"), "repeated")
+    discard(grouped, spread)
     dropped = repeated.filter(F.col("groups") >= min_groups).select("key", "at")
     for more_than, least in runs:
         sequences = written(_sequences(repeated, more_than), "sequences")

@@ -239,12 +239,12 @@ named AS (
   FROM shown s LEFT JOIN templates t ON t.leaf = s.leaf AND t.w = s.w),
 common AS (
   SELECT * FROM named SEMI JOIN (SELECT template FROM named GROUP BY template HAVING count(DISTINCT body) > 1) USING (template)),
-met AS (SELECT body, row_number() OVER (ORDER BY body) AS id FROM (SELECT DISTINCT body FROM common)),
+met AS (SELECT body, row_number() OVER (ORDER BY body) AS id FROM (SELECT DISTINCT body FROM raw)),
 spoken AS (
   SELECT id, regexp_extract_all(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM met),
 shingle AS (
   SELECT DISTINCT id, array_to_string(w[q:q + 4], ' ') AS s
-  FROM (SELECT id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS q FROM spoken)),
+  FROM (SELECT id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS q FROM spoken WHERE len(w) > 0)),
 size AS (SELECT id, count(*) AS n FROM shingle GROUP BY id),
 pairs AS (SELECT a.id AS a, b.id AS b, count(*) AS n_both FROM shingle a JOIN shingle b ON a.s = b.s AND a.id < b.id GROUP BY ALL),
 link AS (
