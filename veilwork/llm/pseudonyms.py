@@ -10,15 +10,22 @@ whatever way their separators are written.  A domain is a pair of numbers below
 |-------|-----------------------------------------------|-------------------------------------------|
 | email | local part, ``@``, two or more labels         | letters and digits of the local part      |
 | ip    | four numbers up to 255                        | both halves of the address                |
-| date  | a calendar day of 1900-2099 (year-month-day)  | the day among these days                  |
+| date  | a calendar day of 1900-2099 (``2024-02-28``,  | the day among these days                  |
+|       | ``28.02.2024``, ``02/28/2024``, ``28/02/2024``)|                                          |
 | ssn   | area, group and serial that can be assigned   | (area, group) and serial                  |
 | phone | ten digits, ``+`` and country code in front   | the ten digits                            |
+|       | or area and exchange from 200 on, grouped 3-3-4| area, exchange and line                  |
+| iban  | country, check digits that are right (mod 97) | the digits of the account; check digits   |
 | card  | 13 to 19 digits with a right Luhn digit       | all but the last; that is computed anew   |
 
 Other numbers that stand beside a card number, as its check value or date, stay as they are: of the
 whole groups of digits, those are the card that have a right Luhn digit; groups written in
 the usual way win, then longer ones.
 
+A date with slashes is month first if that is a day, and else day first; those that can only be day
+first are permuted among themselves, so no two dates get one text.  A phone number without
+a country code is linked with others without, not with the international form.
+
 What does not validate stays as it is.  The key is a secret of the caller.
 """
 
@@ -36,9 +43,12 @@ ROUNDS = 10
 SHAPES = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
     ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"),
-    ("date", r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9]|-[0-9])"),
+    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    ("date", r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9]|-[0-9])"
+             r"|(?<![0-9.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9]|\.[0-9])|(?<![0-9/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9]|/[0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"),
-    ("phone", r"(?<![0-9+])\+[0-9]{1,3}[ -]?(?:\([0-9]{3}\)|[0-9]{3})[ -]?[0-9]{3}[ -]?[0-9]{4}(?![0-9])"),
+    ("phone", r"(?<![0-9+])\+[0-9]{1,3}[ -]?(?:\([0-9]{3}\)|[0-9]{3})[ -]?[0-9]{3}[ -]?[0-9]{4}(?![0-9])"
+              r"|(?<![0-9+.(-])(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[-. ])[2-9][0-9]{2}[-. ][0-9]{4}(?![0-9]|[-.][0-9])"),
     ("card", r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"),
 )
 # Cards as they are printed, with spaces for separators.
@@ -48,6 +58,8 @@ PATTERN = "|".join(shape for _, shape in SHAPES)
 
 # The days from 1900-01-01 to 2099-12-31 are 319 * 229.
 FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 319, 229
+# So many steps a day-first date walks at most; that none of them fits is less likely than 1e-25.
+STEPS = 64
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -160,13 +172,53 @@ def _card(key: str, value: Column) -> Column:
 
 
 def _phone(key: str, value: Column) -> Column:
-    def changed(digits: Column) -> Column:
+    def international(digits: Column) -> Column:
         code = F.length(digits) - 10
         pair = permuted(key, "phone", _number(digits, code + 1, 5), 100_000, _number(digits, code + 6, 5), 100_000)
         moved = _let(pair, lambda p: F.concat(_padded(p.getField("x"), 5), _padded(p.getField("y"), 5)))
         return _put_back(value, F.concat(F.substring(digits, F.lit(1), code), moved))
 
-    return _let(_digits(value), changed)
+    def national(digits: Column) -> Column:
+        area, exchange = _number(digits, 1, 3) - 200, _number(digits, 4, 3) - 200
+        pair = permuted(key, "national", area * 800 + exchange, 800 * 800, _number(digits, 7, 4), 10_000)
+        return _put_back(value, _let(pair, lambda p: F.concat(
+            (F.floor(p.getField("x") / 800) + 200).cast("string"), (p.getField("x") % 800 + 200).cast("string"),
+            _padded(p.getField("y"), 4))))
+
+    return _let(_digits(value), lambda d: F.when(F.startswith(value, F.lit("+")), international(d)).otherwise(national(d)))
+
+
+def _mod97(text: Column) -> Column:
+    """The remainder by 97 of the number a text of digits and letters (A is 10) stands for."""
+    def add(rest: Column, char: Column) -> Column:
+        letter = F.instr(F.lit(LETTERS.upper()), char)
+        return F.when(letter > 0, (rest * 100 + letter + 9) % 97).otherwise((rest * 10 + char.cast("long")) % 97)
+
+    return F.aggregate(F.split(text, ""), F.lit(0).cast("long"), add)
+
+
+def _iban(key: str, value: Column) -> Column:
+    """Country and letters stay; the digits of the account are permuted and the check digits computed anew."""
+    def changed(plain: Column) -> Column:
+        country, account = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
+
+        def told(digits: Column) -> Column:
+            half = (F.length(digits) / F.lit(2)).cast("int")
+            rest = F.length(digits) - half
+            pair = permuted(
+                key, "iban", _number(digits, 1, half), F.pow(F.lit(10), half).cast("long"),
+                _number(digits, half + 1, rest), F.pow(F.lit(10), rest).cast("long"),
+            )
+            moved = _let(pair, lambda p: F.concat(_padded(p.getField("x"), half), _padded(p.getField("y"), rest)))
+            made = _put_back(account, moved)
+            checked = _let(made, lambda m: F.concat(
+                _padded(F.lit(98) - _mod97(F.concat(m, country, F.lit("00"))), 2), _digits(m)))
+            return _put_back(value, checked)
+
+        right = _mod97(F.concat(account, F.substring(plain, 1, 4))) == 1
+        return F.when(right & plain.rlike("^.{15,34}$") & (F.length(_digits(account)) >= 6), _let(_digits(account), told))
+
+    return _let(F.replace(value, F.lit(" "), F.lit("")), changed)
 
 
 def _ssn(key: str, value: Column) -> Column:
@@ -202,15 +254,35 @@ def _ip(key: str, value: Column) -> Column:
     return _let(F.transform(F.split(value, r"\."), lambda p: p.cast("long")), changed)
 
 
+def _moved_day(key: str, day: Column) -> Column:
+    """A day of 1900 to 2099 permuted among these days; null for others."""
+    place = F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long")
+    pair = permuted(key, "date", F.floor(place / DAYS_B), DAYS_A, place % DAYS_B, DAYS_B)
+    moved = _let(pair, lambda p: (p.getField("x") * DAYS_B + p.getField("y")).cast("int"))
+    return F.when(place.between(0, DAYS_A * DAYS_B - 1), F.date_add(F.lit(FIRST_DAY).cast("date"), moved))
+
+
 def _date(key: str, value: Column) -> Column:
-    def changed(day: Column) -> Column:
-        place = F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long")
-        pair = permuted(key, "date", F.floor(place / DAYS_B), DAYS_A, place % DAYS_B, DAYS_B)
-        moved = _let(pair, lambda p: (p.getField("x") * DAYS_B + p.getField("y")).cast("int"))
-        told = F.date_add(F.lit(FIRST_DAY).cast("date"), moved).cast("string")
-        return F.when(place.between(0, DAYS_A * DAYS_B - 1), told)
+    part = lambda *bounds: F.concat_ws("-", *[F.substring(value, a, n) for a, n in bounds]).try_cast("date")
+    year, first, second = (7, 4), (1, 2), (4, 2)
+
+    def day_first(day: Column) -> Column:
+        # On until the day is over 12 again: a permutation of those days, of which three in five are such.
+        walked = F.aggregate(
+            F.sequence(F.lit(1), F.lit(STEPS)), _moved_day(key, day),
+            lambda at, _: F.when(F.dayofmonth(at) > 12, at).otherwise(_moved_day(key, at)),
+        )
+        return _let(walked, lambda d: F.when(F.dayofmonth(d) > 12, F.date_format(d, "dd/MM/yyyy")))
 
-    return _let(value.try_cast("date"), changed)
+    def slashes(month_first: Column) -> Column:
+        return F.when(month_first.isNotNull(), F.date_format(_moved_day(key, month_first), "MM/dd/yyyy")).otherwise(
+            _let(part(year, second, first), day_first))
+
+    return (
+        F.when(F.contains(value, F.lit(".")), F.date_format(_moved_day(key, part(year, second, first)), "dd.MM.yyyy"))
+        .when(F.contains(value, F.lit("/")), _let(part(year, first, second), slashes))
+        .otherwise(_let(value.try_cast("date"), lambda day: _moved_day(key, day).cast("string")))
+    )
 
 
 def _added(half: Column, stream: Column) -> Column:
@@ -258,7 +330,7 @@ def _email(key: str, value: Column) -> Column:
     return _let(F.substring_index(value, "@", 1), changed)
 
 
-_MAKE = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
+_MAKE = {"email": _email, "ip": _ip, "iban": _iban, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
 def _replaced(key: str, value: Column) -> Column:
