@@ -3,11 +3,13 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from veilwork import fixed_values as fv
-from veilwork.operators import dictionaries, jury
+from veilwork.operators import dictionaries, jury, term_chunks
 from veilwork.operators.detectors import DICTIONARY, LOOSE, STRICT, DictionaryDetector, WordList
 from veilwork.operators.vector_detectors import VectorRule
 from veilwork.sources.reference_data import term_table
@@ -104,3 +106,34 @@ def test_odd_lists(spark):
         dictionaries.stored_terms(term_table(spark, [("x", "ends with a dash-")]))
     empty = spark.createDataFrame([], "k int, prompt string")
     assert dictionaries.term_counts(empty, ["k"], "prompt", dictionaries.stored_terms(term_table(spark, [("x", "a")]))).count() == 0
+
+
+def test_a_long_list_is_met_without_moving_windows(spark, monkeypatch):
+    """Chunks find what the broadcast list finds, for odd letters, equal and null keys too; only texts and packed fingerprints move."""
+    monkeypatch.setattr(term_chunks, "CHUNK_BYTES", 400)
+    odd = ["ΟΔΟΣ ΟΔΟΣ'α οδος", "İstanbul la İ", "Σ Σ1 \U0001f600 ali", "Ɤ ali ɤ", "ΑΣ York", "Ünal ünal ÜNAL"]
+    rows = [*enumerate([*texts(120, 3), *odd]), (5, "ali new york"), (5, "ali new york"), (None, "la york"), (None, "york ali baba")]
+    listed = [*rows_of(TERMS), ("odd", "ΟΔΟΣ"), ("odd", "οδος'α"), ("odd", "İstanbul"), ("odd", "i"), ("odd", "Σ1"), ("odd", "ας york"), ("odd", "ɤ"), ("odd", "ünal Ünal")]
+    df = spark.createDataFrame(rows, "n int, body string").select("n", F.lit("x").alias("a b"), "body")
+    terms = dictionaries.stored_terms(term_table(spark, listed))
+    found = {}
+    for threshold in ("10485760", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            hits = dictionaries.term_hits(df, ["n", "a b"], "body", terms)
+            plan = hits._jdf.queryExecution().executedPlan().toString()
+            found[threshold] = sorted(map(str, hits.collect()))
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found["-1"] == found["10485760"] and any("odd" in row for row in found["-1"])
+    assert "_salt" not in plan and "Generate" not in plan and "SortMergeJoin" not in plan
+
+
+def test_fingerprints_that_clash_make_no_hits():
+    asked = pa.table({"chunk": pa.array([3], pa.int32()), "prints": [np.array([7, 9], np.uint32).tobytes()]})
+    terms = pa.table({"print": pa.array([9, 9, 8]), "kind": ["a", "b", "a"], "window": ["la", "york", "x"]})
+    answers = term_chunks._answered(asked, terms)
+    assert answers.to_pylist() == [{"chunk": 3, "kind": "a", "window": "la"}, {"chunk": 3, "kind": "b", "window": "york"}]
+    rows = pa.table({"k": ["r"], "size": [4], "words": [["york"]], "gaps": [["", ""]], "given": pa.array([None], pa.list_(pa.string()))})
+    hits = term_chunks._looked_up(1, ["k"])(rows, answers)
+    assert hits.to_pylist() == [{"k": "r", "kind": "b", "hits": [{"token": 0, "tokens": 1, "start": 0, "end": 4}]}]

@@ -7,7 +7,7 @@ only terms it holds.  The result is the same as that of the compiled form: whole
 case, of overlapping terms of a kind the one that begins first and then the longest.
 
 The terms are broadcast if their stored bytes are below the session's threshold, and nothing but hits is
-then shuffled; larger ones are joined by a shuffle of the windows in which frequent words are split.
+then shuffled.  Larger lists are met chunk by chunk (``term_chunks``), so that texts and not their windows are shuffled.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from veilwork.functions import patterns as rx
 from veilwork.functions import spans
 from veilwork.functions.once import evaluated_once
+from veilwork.operators.term_chunks import HITS, chunked_hits
 from veilwork.operators.vector_detectors import PLACES, PlacedDetector, VectorRule
-from veilwork.session import lookup_join
+from veilwork.session import fits_broadcast, lookup_join
 from veilwork.sources.files import written_once
 
 _TOKEN = f"{rx.WORD}+"
@@ -50,6 +51,18 @@ def stored_terms(terms: DataFrame) -> Terms:
     return Terms(table.select("kind", "window"), seen[0] or 0)
 
 
+def _window_text(i: Column, n: int) -> Column:
+    """The window of ``n`` words from word ``i`` on, in lower case."""
+    parts = [F.get("_words", i)]
+    for k in range(1, n):
+        parts += [F.get("_gaps", i + k), F.get("_words", i + k)]
+    return F.lower(F.concat(*parts))
+
+
+def _texts_of_length(n: int) -> Column:
+    return F.transform(spans.numbers(F.size("_words") - (n - 1)), lambda i: _window_text(i, n))
+
+
 def _windows(df: DataFrame, key: list[str], text: str, longest: int) -> DataFrame:
     """``key``, ``token`` (the number of the first), ``tokens``, ``start``, ``end``, ``window``."""
     words = F.regexp_extract_all(F.col(text), F.lit(_TOKEN), F.lit(0)).alias("_words")
@@ -62,13 +75,10 @@ def _windows(df: DataFrame, key: list[str], text: str, longest: int) -> DataFram
 
     def of_length(n: int) -> Column:
         def window(i: Column) -> Column:
-            parts = [F.get("_words", i)]
-            for k in range(1, n):
-                parts += [F.get("_gaps", i + k), F.get("_words", i + k)]
             return F.struct(
                 i.alias("token"), F.lit(n).alias("tokens"),
                 (F.get("_ends", i) - F.length(F.get("_words", i))).alias("start"), F.get("_ends", i + (n - 1)).alias("end"),
-                F.lower(F.concat(*parts)).alias("window"),
+                _window_text(i, n).alias("window"),
             )
 
         return F.transform(spans.numbers(F.size("_words") - (n - 1)), window)
@@ -80,7 +90,7 @@ def _first_and_longest(hits: Column) -> Column:
     """Of hits in order of place (the longer first), those that none before overlaps."""
     kept = F.aggregate(
         hits,
-        F.struct(F.lit(0).alias("free"), F.array().cast(_HITS).alias("kept")),
+        F.struct(F.lit(0).alias("free"), F.array().cast(HITS).alias("kept")),
         lambda seen, hit: F.when(
             hit["token"] >= seen["free"],
             F.struct((hit["token"] + hit["tokens"]).alias("free"), F.concat(seen["kept"], F.array(hit)).alias("kept")),
@@ -89,9 +99,6 @@ def _first_and_longest(hits: Column) -> Column:
     return kept["kept"]
 
 
-_HITS = "array<struct<token:int,tokens:int,start:int,end:int>>"
-
-
 def term_hits(df: DataFrame, key: list[str], text: str, terms: Terms) -> DataFrame:
     """One row per text and kind that has hits: ``key``, ``kind``, ``hits`` (in order, with ``start`` and ``end``).
 
@@ -99,9 +106,12 @@ def term_hits(df: DataFrame, key: list[str], text: str, terms: Terms) -> DataFra
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*key).schema.fields)
     if not terms.longest:
-        return df.sparkSession.createDataFrame([], f"{schema}, kind string, hits {_HITS}")
+        return df.sparkSession.createDataFrame([], f"{schema}, kind string, hits {HITS}")
+    if not fits_broadcast(terms.table):
+        texts = F.concat(*[_texts_of_length(n) for n in range(1, terms.longest + 1)])
+        return chunked_hits(df, key, text, terms.table, terms.longest, _TOKEN, texts)
     windows = _windows(df, key, text, terms.longest)
-    met = lookup_join(windows, terms.table, "window", "inner")
+    met = lookup_join(windows, terms.table, "window", "inner", small=True)
     hit = F.struct("facts.token", (-F.col("facts.tokens")).alias("shorter"), "facts.start", "facts.end")
     found = met.select(*[F.col(f"facts.`{name}`") for name in key], "lookup.kind", hit.alias("_hit"))
     # A text's hits are fewer than its words.
