@@ -190,3 +190,21 @@ def test_weights_and_consensus(spark):
     votes = jury.consensus(frame, "text").orderBy("n").collect()
     assert [(r.votes_id, r.agreed_id) for r in votes] == [(2, True), (1, False), (0, False)]
     assert (votes[2].votes_name, votes[2].votes_location, votes[2].agreed_name) == (1, 1, False)
+
+
+def test_texts_without_listed_words_are_told_by_one_scan(spark):
+    """The fast scan and the one for hits agree, for odd letters and gaps and for very long texts."""
+    terms = [["ali", "kl", "İsa", "o'neil's bar"], ["Kuala Lumpur", "ski", "köln", "s_1"]]
+    made = ["", " ", "ali", "Ali.", "alias", "xali", "_kl", "kl", "Kl", "sKI", "ſki", "İsa", "isa", "ALİ", "alı", "KÖLN", "o'neil's bars", "o'neil's bar",
+            "O'NEIL", "kuala  lumpur", "kuala\nlumpur", "in kuala lumpur", "\U0001d400li ali\U0001d400", "\U0001f600ali", "é-s_1", "éali", "x\nali\n", "alı ski\n", None, "word " * 200_000, "word " * 200_000 + "kl", "w" * 1_000_000]
+    df = spark.createDataFrame([(text,) for text in made], "body string")
+    hits = F.col("body").rlike(patterns.whole_words(*terms))
+    rows = df.select("body", hits.alias("hits"), F.col("body").rlike(patterns.without_terms(*terms)).alias("free")).collect()
+    assert [r.body[:20] for r in rows if r.body is not None and r.hits == r.free] == []
+    assert {r.hits for r in rows} == {True, False, None} and sum(bool(r.hits) for r in rows) > 10
+
+
+def test_word_lists_are_scanned_for_hits_only_where_there_are_some(spark, sf_dir):
+    united = jury.jury_union(spark.createDataFrame([("no such word",)], "prompt string"))
+    plan = united._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("\\A[^") == 1

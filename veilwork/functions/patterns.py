@@ -83,6 +83,16 @@ def whole_words(*term_lists: Iterable[str]) -> str:
     return f"(?iu)(?=[{first}]){NOT_AFTER_WORD}(?:{body}){NOT_BEFORE_WORD}"
 
 
+def without_terms(*term_lists: Iterable[str]) -> str:
+    """Matches texts in which ``whole_words`` of the lists has no hit.
+
+    A hit begins where a word begins, so terms are tried once per word instead of once per
+    character; the possessive loop over the words neither goes back nor nests.
+    """
+    body = "|".join(term_regex(terms) for terms in term_lists)
+    return rf"\A[^{WORD[1:]}*+(?:(?!(?iu:{body}){NOT_BEFORE_WORD}){WORD}+[^{WORD[1:]}*)*+\z"
+
+
 def literal_replacement(text: str) -> str:
     """Escape a text for use as a Java replacement string."""
     return re.sub(r"([\\$])", r"\\\1", text)

@@ -141,9 +141,13 @@ class DictionaryDetector(Detector):
     def one_scan(self) -> bool:
         return self.independent and len(self.lists) == 2
 
+    def _free(self, text: str) -> Column:
+        """True where no list has a hit, told by one scan that is much faster than those for hits."""
+        return F.col(text).rlike(rx.without_terms(*[word_list.terms for word_list in self.lists]))
+
     def _with_found(self, df: DataFrame, text: str, group: int) -> DataFrame:
         scan = rx.whole_words(*[word_list.terms for word_list in self.lists])
-        found = F.regexp_extract_all(F.col(text), F.lit(scan), F.lit(group))
+        found = F.when(~self._free(text), F.regexp_extract_all(F.col(text), F.lit(scan), F.lit(group)))
         return df.select("*", F.coalesce(found, F.expr("array()")).alias("_found"))
 
     def with_counts(self, df: DataFrame, text: str) -> DataFrame:
@@ -182,8 +186,10 @@ class DictionaryDetector(Detector):
 
     def with_spans(self, df: DataFrame, text: str) -> DataFrame:
         """Add the places of every list's words in the text as arrays, each list looked for by itself."""
-        places = [matches(F.col(text), word_list.regex) for word_list in self.lists]
-        return df.select("*", *[p.alias(name) for p, name in zip(places, self.hit_columns())])
+        free = f"_{self.name.lower()}_free"
+        places = [F.when(~F.col(free), matches(F.col(text), word_list.regex)) for word_list in self.lists]
+        found = df.select("*", self._free(text).alias(free))
+        return found.select("*", *[p.alias(name) for p, name in zip(places, self.hit_columns())]).drop(free)
 
 
 STRICT = PatternDetector("A", STRICT_RULES)
