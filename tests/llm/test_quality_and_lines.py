@@ -145,3 +145,39 @@ def test_a_shared_passage_goes_whatever_share_of_the_texts_it_is(spark, own_word
     own = {i: [line(own_words // 4) for _ in range(4)] for i in range(2)}
     rows = [(i, "\n".join([*lines[:2], *passage, *lines[2:]])) for i, lines in own.items()]
     assert _kept(spark, rows) == {i: "\n".join(lines) for i, lines in own.items()}
+
+
+def test_lines_of_one_pass_equal_plain_python():
+    import pyarrow as pa
+
+    from veilwork.llm.shingles import Words
+
+    rng = random.Random(15)
+    texts = ["", " \n", "\n\n a", "x2 b\tC \r é", *("".join(rng.choice("abAB1 \n\t é") for _ in range(rng.randint(0, 200))) for _ in range(300))]
+    found, bounds = Words(pa.array(texts)).lines(3, line_templates.FIELD)
+    leaves, lines = {}, {}
+    for i, text in enumerate(texts):
+        cut = [["<*>" if any(c in "0123456789" for c in w) else w for w in words(x)] for x in text.split("\n")]
+        cut = [(place, tuple(line)) for place, line in enumerate(cut) if line]
+        mine = {name: found[name][bounds[i] : bounds[i + 1]].tolist() for name in ("place", "leaf", "line", "n_words")}
+        assert mine["place"] == [place for place, _ in cut] and mine["n_words"] == [len(line) for _, line in cut]
+        for (_, line), leaf, hashed in zip(cut, mine["leaf"], mine["line"], strict=True):
+            assert leaves.setdefault((len(line), line[:3]), leaf) == leaf and lines.setdefault(line, hashed) == hashed
+    assert len(set(leaves.values())) == len(leaves) and len(set(lines.values())) == len(lines)
+
+
+def test_small_and_large_leaves_have_the_same_templates(spark):
+    rng = random.Random(16)
+    rows = [(leaf, 1000 * leaf + i, [100 * leaf + 10 * at + rng.choice([0, 0, 0, 1, i % 7]) for at in range(9)])
+            for leaf in range(40) for i in range(rng.randint(1, 30))]
+    lines = spark.createDataFrame(rows, "leaf bigint, line bigint, token array<bigint>")
+
+    def classes(found):
+        members = {}
+        for r in found.collect():
+            members.setdefault(r.template, set()).add(r.line)
+        return {frozenset(x) for x in members.values()}
+
+    dealt = lines.repartition(3, "leaf").sortWithinPartitions("leaf")
+    small = classes(dealt.mapInArrow(line_templates._agreed(70), "line bigint, template bigint"))
+    assert small and small == classes(line_templates._agreed_in_large(lines, 70))
